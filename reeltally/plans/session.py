@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/reeltally-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: fixed rows that survive lost executors."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = 8, app: str = "reeltally") -> SparkSession:
     """Session for tests and the single-machine bench."""
     spark = (
