@@ -28,10 +28,14 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Fixed value: decimal number syntax.  Java also parses "1d" or "0x1p3", which must not pass.
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def finite(text: ColumnOrName, limit: float | None = 1e9) -> Column:
     """Number from text, null unless finite (and within ``limit`` in magnitude)."""
-    x = _c(text).try_cast("double")
-    ok = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    x = F.when(_c(text).rlike(DECIMAL), _c(text).try_cast("double"))
+    ok = F.abs(x) < float("inf")
     if limit is not None:
         ok = ok & (F.abs(x) <= limit)
     return F.when(ok, x)
