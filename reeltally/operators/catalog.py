@@ -165,10 +165,6 @@ def stream_signature(streams: DataFrame, *, keep: Sequence[str], colour: bool =
     return streams.select(*keep, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("signature"))
 
 
-def _exploded(df: DataFrame, on: Sequence[str], column: str, group: str) -> DataFrame:
-    return df.select(*on, F.lit(group).alias("part"), F.explode(column).alias("field", "value"))
-
-
 def _upper_tags(tags: str, dropped: Sequence[str]) -> Column:
     e = F.transform(F.map_entries(F.coalesce(F.col(tags), F.expr("map()").cast("map<string,string>"))),
                     lambda x: F.struct(F.upper(x["key"]).alias("key"), x["value"].alias("value")))
@@ -187,17 +183,28 @@ def compare_stream_layout(
     """
     on = [pair, position]
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        sig = _exploded(stream_signature(df, keep=on, colour=colour), on, "signature", "signature")
-        disp = df.select(*on, F.col("disposition").cast("map<string,string>").alias("d"))
-        tags = df.select(*on, _upper_tags("tags", STREAM_DERIVED).alias("d"))
-        own = df.select(*on, F.lit("stream").alias("part"), F.lit("stream").alias("field"), F.lit("present").alias("value"))
-        rows = sig.unionByName(_exploded(disp, on, "d", "disposition")).unionByName(_exploded(tags, on, "d", "tag")).unionByName(own)
-        return rows.withColumnRenamed("value", name)
-
-    d = side(expected, "expected").join(side(actual, "actual"), [*on, "part", "field"], "full")
-    d = d.where(~F.col("expected").eqNullSafe(F.col("actual")) & ~((F.col("part") == "tag") & F.col("expected").isNull()))
-    return d
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        d = df.withColumns({"disposition": F.col("disposition").cast("map<string,string>"), "tags": _upper_tags("tags", STREAM_DERIVED)})
+        d = stream_signature(d, keep=[*on, "disposition", "tags"], colour=colour)
+        own = F.create_map(F.lit("stream"), F.lit("present"))
+        return d.select(*on, own.alias(f"{tag}_stream"), *[F.col(c).alias(f"{tag}_{c}") for c in ("signature", "disposition", "tags")])
+
+    # One row per stream is shuffled; only fields that differ become rows.
+    d = side(expected, "l").join(side(actual, "r"), on, "full")
+    empty = F.expr("map()").cast("map<string,string>")
+
+    def differing(column: str, part: str, *, left_only: bool = False) -> Column:
+        l, r = F.coalesce(f"l_{column}", empty), F.coalesce(f"r_{column}", empty)
+        names = F.map_keys(l) if left_only else F.array_union(F.map_keys(l), F.map_keys(r))
+        entry = lambda k: F.struct(
+            F.lit(part).alias("part"), k.alias("field"), F.try_element_at(l, k).alias("expected"), F.try_element_at(r, k).alias("actual")
+        )
+        return F.filter(F.transform(names, entry), lambda e: ~e["expected"].eqNullSafe(e["actual"]))
+
+    found = F.concat(
+        differing("stream", "stream"), differing("signature", "signature"), differing("disposition", "disposition"), differing("tags", "tag", left_only=True)
+    )
+    return d.select(*on, F.explode(found).alias("d")).select(*on, "d.*")
 
 
 def layout_verdict(differences: DataFrame, pairs: DataFrame, *, pair: str = "pair_id") -> DataFrame:

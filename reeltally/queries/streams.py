@@ -47,7 +47,7 @@ def progress_estimate(spark, sf):
     o = _events(spark, sf).select(
         F.col("user_id").alias("job_id"), F.when(F.col("user_id") % 7 == 0, F.when(i % 500 < 250, "a").otherwise("b")).otherwise("a").alias("phase"), i.alias("seq"),
         F.expr("t_us div 10000000").alias("t_ms"), (i / 100.0).alias("progress"), F.when(F.col("user_id") % 3 != 0, 120.0).alias("duration"))
-    return run_available(stateful.progress_estimate(o)).drop("batch")
+    return run_available(stateful.progress_estimate(o, timers=False)).drop("batch")
 
 
 def _redraws(lines):

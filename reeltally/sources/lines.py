@@ -64,12 +64,13 @@ def with_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def judged(df: DataFrame, why: Column) -> DataFrame:
-    """Adds ``__reason`` behind a generator.
+    """Adds ``__reason`` and passes the row through a one-row generator.
 
-    The filter that separates good rows from quarantine then stays above the parsing instead of
-    being pushed down as a second copy of it.
+    Later filters (good rows against quarantine, null checks of join keys) then work on the parsed
+    columns instead of being pushed below as further copies of the parsing.
     """
-    return df.withColumn("__reason", F.explode(F.array(why)))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns], why.alias("__reason"))
+    return df.select(F.explode(F.array(row)).alias("__row")).select("__row.*")
 
 
 def repeated(line: Column, names: Sequence[str]) -> Column:

@@ -86,6 +86,9 @@ def estimate_rows(job, rows: pd.DataFrame, samples, phase):
 
 
 class ProgressProcessor(StatefulProcessor):
+    def __init__(self, timers: bool) -> None:
+        self.timers = timers
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("progress", "phase string, times array<bigint>, values array<double>")
@@ -95,9 +98,10 @@ class ProgressProcessor(StatefulProcessor):
         samples = list(zip([int(x) for x in s[1]], [float(x) for x in s[2]]))
         out, samples, phase = estimate_rows(key[0], _ordered(rows, ["t_ms", "seq"]), samples, s[0])
         self.state.update((phase, [a for a, _ in samples], [b for _, b in samples]))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + STALE_MS)
+        if self.timers:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + STALE_MS)
         yield pd.DataFrame(out, columns=["job_id", "t_ms", "kind", "speed", "remaining_s"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -110,16 +114,18 @@ class ProgressProcessor(StatefulProcessor):
         pass
 
 
-def progress_estimate(observations: DataFrame) -> DataFrame:
+def progress_estimate(observations: DataFrame, *, timers: bool = True) -> DataFrame:
     """Speed and remaining time per job.
 
     ``observations``: ``job_id, phase, seq, t_ms, progress, duration``.  A job that stays silent for fifteen
-    seconds gets a ``waiting`` row from a processing-time timer.
+    seconds gets a ``waiting`` row from a processing-time timer.  Replays of recorded observations pass
+    ``timers=False``, as a stream with timers never runs out of batches.
     """
     use_rocksdb(observations.sparkSession)
     cols = ["job_id", "phase", "seq", "t_ms", "progress", "duration"]
     return observations.select(*cols).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=ProgressProcessor(), outputStructType=ESTIMATE_SCHEMA, outputMode="Update", timeMode="ProcessingTime"
+        statefulProcessor=ProgressProcessor(timers), outputStructType=ESTIMATE_SCHEMA, outputMode="Update",
+        timeMode="ProcessingTime" if timers else "None",
     )
 
 
