@@ -151,18 +151,12 @@ def assemble_tracks(plan: DataFrame, streams: DataFrame, files: DataFrame, *, ke
     return attach(out, roles.select(key, "duration_s", "container_title"), [key], spread="position")
 
 
-def stream_signature(streams: DataFrame, *, keep: Sequence[str], colour: bool = True) -> DataFrame:
-    """``keep`` columns plus ``signature``: the compared fields that are present, as text."""
-    fields = [f for f in SIGNATURE_FIELDS if f in streams.columns and (colour or f not in COLOUR_BLIND)]
-
-    def text(f: str) -> Column:
-        c = F.col(f).cast("string")
-        if f in ("codec_tag", "field_order", "sample_aspect_ratio", "chroma_location") or f.startswith("color_"):
-            c = X.known_colour(c)
-        return F.when(c != "progressive", c) if f == "field_order" else c
-
-    pairs = F.array(*[F.struct(F.lit(f).alias("key"), text(f).alias("value")) for f in fields])
-    return streams.select(*keep, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("signature"))
+def _signature_text(column: Column, field: str) -> Column:
+    """Comparable text of one signature field; unset tags and the default field order are null."""
+    c = column.cast("string")
+    if field in ("codec_tag", "field_order", "sample_aspect_ratio", "chroma_location") or field.startswith("color_"):
+        c = X.known_colour(c)
+    return F.when(c != "progressive", c) if field == "field_order" else c
 
 
 def _upper_tags(tags: str, dropped: Sequence[str]) -> Column:
@@ -182,28 +176,30 @@ def compare_stream_layout(
     The right side may carry extra tags.  A stream missing on one side gives one ``stream`` row.
     """
     on = [pair, position]
+    fields = [f for f in SIGNATURE_FIELDS if f in expected.columns and f in actual.columns and (colour or f not in COLOUR_BLIND)]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        d = df.withColumns({"disposition": F.col("disposition").cast("map<string,string>"), "tags": _upper_tags("tags", STREAM_DERIVED)})
-        d = stream_signature(d, keep=[*on, "disposition", "tags"], colour=colour)
-        own = F.create_map(F.lit("stream"), F.lit("present"))
-        return d.select(*on, own.alias(f"{tag}_stream"), *[F.col(c).alias(f"{tag}_{c}") for c in ("signature", "disposition", "tags")])
+        cols = [F.col(c).alias(f"{tag}_{c}") for c in (*fields, "disposition", "tags")]
+        return df.select(*on, F.lit("present").alias(f"{tag}_stream"), *cols)
 
-    # One row per stream is shuffled; only fields that differ become rows.
+    # One row per stream is shuffled; fields are compared in place and only those that differ become rows.
     d = side(expected, "l").join(side(actual, "r"), on, "full")
+    d = d.withColumns({f"{t}_tags": _upper_tags(f"{t}_tags", STREAM_DERIVED) for t in "lr"})
     empty = F.expr("map()").cast("map<string,string>")
+    row = lambda part, field, l, r: F.struct(F.lit(part).alias("part"), field.alias("field"), l.alias("expected"), r.alias("actual"))
 
-    def differing(column: str, part: str, *, left_only: bool = False) -> Column:
-        l, r = F.coalesce(f"l_{column}", empty), F.coalesce(f"r_{column}", empty)
+    def scalar(part: str, field: str, l: Column, r: Column) -> Column:
+        return F.when(~l.eqNullSafe(r), row(part, F.lit(field), l, r))
+
+    def entries(column: str, part: str, *, left_only: bool = False) -> Column:
+        l, r = (F.coalesce(F.col(f"{t}_{column}").cast("map<string,string>"), empty) for t in "lr")
         names = F.map_keys(l) if left_only else F.array_union(F.map_keys(l), F.map_keys(r))
-        entry = lambda k: F.struct(
-            F.lit(part).alias("part"), k.alias("field"), F.try_element_at(l, k).alias("expected"), F.try_element_at(r, k).alias("actual")
-        )
-        return F.filter(F.transform(names, entry), lambda e: ~e["expected"].eqNullSafe(e["actual"]))
+        pairs = F.transform(names, lambda k: row(part, k, F.try_element_at(l, k), F.try_element_at(r, k)))
+        return F.filter(pairs, lambda e: ~e["expected"].eqNullSafe(e["actual"]))
 
-    found = F.concat(
-        differing("stream", "stream"), differing("signature", "signature"), differing("disposition", "disposition"), differing("tags", "tag", left_only=True)
-    )
+    plain = [scalar("stream", "stream", F.col("l_stream"), F.col("r_stream"))]
+    plain += [scalar("signature", f, _signature_text(F.col(f"l_{f}"), f), _signature_text(F.col(f"r_{f}"), f)) for f in fields]
+    found = F.concat(F.array_compact(F.array(*plain)), entries("disposition", "disposition"), entries("tags", "tag", left_only=True))
     return d.select(*on, F.explode(found).alias("d")).select(*on, "d.*")
 
 

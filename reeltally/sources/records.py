@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reeltally.functions import exprs as X
 from reeltally.plans.blocks import attach, numbered
 from reeltally.plans.verdicts import reason, with_verdict
-from reeltally.sources.lines import MAX_RECORD, judged, read_lines, repeated, split_quarantine, with_fields, with_file_id
+from reeltally.sources.lines import MAX_RECORD, judged, read_lines, repeated, split_quarantine, unexpected, with_fields, with_file_id
 
 # Accepted record fields, pixel formats and colour tags.
 PACKET_FIELDS = ("stream_index", "pts_time", "dts_time", "duration_time", "size")
@@ -45,15 +45,12 @@ def _typed_packets(lines: DataFrame, extra: list[str]) -> DataFrame:
 
 def parse_packet_records(lines: DataFrame, *, stream_index: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Strict packet records: only the five known fields, none repeated, size required."""
-    v = F.trim("value")
-    known = "|".join(PACKET_FIELDS)
     d = _typed_packets(lines, [])
-    d = d.withColumn("__rest", F.regexp_replace(F.regexp_replace(v, rf"(?:^|\|)(?:{known})=[^|]*", ""), r"\|", ""))
     other = F.lit(False) if stream_index is None else F.col("stream_index") != stream_index
     why = reason(
         (F.octet_length("value") > MAX_RECORD, "record too long"),
-        (F.col("__rest") != "", "unexpected field"),
-        (repeated(v, PACKET_FIELDS), "repeated field"),
+        (unexpected(PACKET_FIELDS), "unexpected field"),
+        (repeated(PACKET_FIELDS), "repeated field"),
         (F.col("stream_index").isNull(), "no stream index"),
         (other, "different stream"),
         (F.col("__odd_time"), "invalid time"),
@@ -124,7 +121,7 @@ def parse_frame_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = with_fields(with_file_id(lines), FRAME_FIELDS)
     cols, why = _frame_columns(lambda f: F.col(f"__f_{f}"))
     shape = reason(
-        (F.octet_length("value") > MAX_RECORD, "record too long"), (repeated(F.trim("value"), FRAME_FIELDS), "repeated field")
+        (F.octet_length("value") > MAX_RECORD, "record too long"), (repeated(FRAME_FIELDS), "repeated field")
     )
     d = judged(d.withColumns(cols), F.coalesce(shape, why))
     rows, bad = split_quarantine(d, ["file_id", "n", *FRAME_COLUMNS], ["file_id", "path", "n", "value"])
