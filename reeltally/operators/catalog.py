@@ -352,7 +352,7 @@ def order_folder_frames(
         first = d.groupBy(folder).agg(F.min(collated).alias("__first"))
         plain = F.expr("collate(__first, 'UTF8_BINARY')")
         first = first.select(folder, F.lower(F.regexp_extract(plain, r"\.([^.]+)$", 1)).alias("__ext"))
-        d = attach(d, first, [folder], spread=name).where(F.col("extension") == F.col("__ext")).drop("__ext")
+        d = attach(d, first, [folder], spread=name, dense=False).where(F.col("extension") == F.col("__ext")).drop("__ext")
     else:
         d = d.where(F.col("extension") == extension.lower())
     ranges = d.withColumn("__key", collated).repartitionByRange(folder, "__key", name).drop("__key")

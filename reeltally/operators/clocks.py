@@ -169,7 +169,7 @@ def reorder_check(
     timed = packets.select(*keys, order, pts).where(F.col(pts).isNotNull())
     ranked = numbered(timed, keys=keys, order=[pts, order], name="presented", block=blocks.time_block(pts, block_us))
     frame = _frame_us(F.col("rate_num"), F.col("rate_den"))
-    d = attach(ranked, rates, keys, spread=order, how="inner")
+    d = attach(ranked, rates, keys, spread=order, how="inner", extent_of=packets)
     residual = F.col(pts) - F.col("presented") * frame
     origin = F.min("origin_us") if "origin_us" in rates.columns else F.min(pts)
     facts = d.groupBy(*keys).agg(
@@ -210,7 +210,7 @@ def ordered_clock_check(
     """Packets that are already an ordered constant clock from zero, starting on a keyframe."""
     keys = list(keys)
     d = neighbours(packets.select(*keys, order, pts, dts, duration, flags), keys=keys, order=order, prev=[pts], block_rows=block_rows)
-    d = attach(d, rates, keys, spread=order, how="inner")
+    d = attach(d, rates, keys, spread=order, how="inner", extent_of=packets)
     frame = _frame_us(F.col("rate_num"), F.col("rate_den"))
     p, n = F.col(pts), F.col(order)
     first = n == 0
@@ -280,7 +280,7 @@ def resolve_frame_interval(edits: DataFrame, streams: DataFrame, *, keys: Sequen
     ``edits``: ``start_ms, end_ms`` or ``start_frame, end_frame``; ``streams``: ``frames, rate_num, rate_den``.
     """
     keys = list(keys)
-    d = attach(edits, streams.select(*keys, "frames", "rate_num", "rate_den"), keys, spread="edit_id")
+    d = attach(edits, streams.select(*keys, "frames", "rate_num", "rate_den"), keys, spread="edit_id", dense=False)
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     scale = (wide("rate_den") * F.lit(1000)).cast("decimal(22,0)")
 
@@ -321,7 +321,7 @@ def audio_continuity(
     """
     keys = list(keys)
     d = running(frames.select(*keys, order, t, samples, rate), keys=keys, order=[order], sums={"__before": samples}, block_rows=block_rows)
-    d = attach(d, rates.select(*keys, "sample_rate", "tolerance_us"), keys, spread=order, how="inner")
+    d = attach(d, rates.select(*keys, "sample_rate", "tolerance_us"), keys, spread=order, how="inner", extent_of=frames)
     drift = F.col(t) - F.col("__before") * 1e6 / F.col("sample_rate")
     out = d.groupBy(*keys, "sample_rate", "tolerance_us").agg(
         F.count(F.lit(1)).alias("frames"),

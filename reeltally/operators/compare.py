@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reeltally.plans import blocks
 from reeltally.plans.blocks import BLOCK_ROWS, BLOCK_US, KEYS, attach, neighbours, running
+from reeltally.plans.session import materialise
 from reeltally.plans.verdicts import with_verdict
 
 COPY_TOLERANCE_US = 2_000
@@ -160,7 +161,8 @@ def packet_fidelity_diff(
 
 def _leading_rule(rows, facts, source, copy, keys, order, reconstruct, omit, limit) -> DataFrame:
     """Packets whose DTS is missing on one side: allowed for a short, ordered prefix of that side."""
-    soft = rows.where("__soft").select(*keys, order, "l_dts_us", "r_dts_us", "l_pts_us", "r_pts_us")
+    # Few rows by nature; written down so that the full join is not repeated for each use below.
+    soft = materialise(rows.where("__soft").select(*keys, order, "l_dts_us", "r_dts_us", "l_pts_us", "r_pts_us"))
     soft = attach(soft, facts.select(*keys, "__l_seen", "__r_seen"), keys, spread=order)
     before = lambda df, name: df.select(*keys, (F.col(order) + 1).alias(order), F.col("dts_us").alias(name))
     soft = soft.join(before(source, "__l_prev"), [*keys, order], "left").join(before(copy, "__r_prev"), [*keys, order], "left")

@@ -328,12 +328,14 @@ def scan_inventory(listing: DataFrame, max_media: int | None = None, *, fold_cas
     # The key is unique after this aggregate, which combines repeats before the shuffle.
     keep = [c for c in listing.columns if c not in ("path", "is_link")]
     media = d.where("__media").groupBy("path_key").agg(F.min("path").alias("path"), *[F.min(c).alias(c) for c in keep])
-    counts = d.agg(F.count(F.lit(1)).alias("entries"))
-    found = media.agg(F.count(F.lit(1)).alias("__found"))
+    # Both counts meet in one more aggregate rather than in a join of single rows.
+    none = F.lit(0).cast("long")
+    counts = d.agg(F.count(F.lit(1)).alias("entries"), none.alias("found"))
+    found = media.agg(none.alias("entries"), F.count(F.lit(1)).alias("found"))
     limit = F.lit(max_media).cast("long")
-    summary = counts.join(found).select(
-        "entries", (F.col("entries") - F.col("__found")).alias("skipped"), F.coalesce(F.least("__found", limit), "__found").alias("media"),
-        F.coalesce(F.col("__found") > limit, F.lit(False)).alias("truncated"),
+    summary = counts.unionByName(found).agg(F.sum("entries").alias("entries"), F.sum("found").alias("found")).select(
+        "entries", (F.col("entries") - F.col("found")).alias("skipped"), F.coalesce(F.least("found", limit), "found").alias("media"),
+        F.coalesce(F.col("found") > limit, F.lit(False)).alias("truncated"),
     )
     rows = media.drop("path_key").orderBy("path")
     return (rows if max_media is None else rows.limit(max_media)), summary

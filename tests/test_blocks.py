@@ -76,10 +76,11 @@ def test_numbered_by_time(spark, width):
     assert rows(got, [*KEYS, "ordinal", "k"]) == rows(want, [*KEYS, "ordinal", "k"])
 
 
-def test_attach_spreads_a_hot_key(spark):
+@pytest.mark.parametrize("how", [dict(chunk_rows=9), dict(dense=False, salts=5), {}])
+def test_attach_spreads_a_hot_key(spark, how):
     d = make(spark)
-    one = spark.createDataFrame([(1, 0, "x"), (2, 0, "y")], "file_id long, stream_index long, v string")
-    got = attach(d, one, KEYS)
+    one = spark.createDataFrame([(1, 0, "x"), (2, 0, "y"), (9, 0, "z")], "file_id long, stream_index long, v string")
+    got = attach(d, one, KEYS, **how)
     want = d.join(one, KEYS, "left")
     assert rows(got, [*KEYS, "ordinal", "v"]) == rows(want, [*KEYS, "ordinal", "v"])
 

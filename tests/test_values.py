@@ -154,7 +154,7 @@ def test_reorder_check_equals_a_bounded_heap(spark):
 
 def test_film_clock_falls_back(spark):
     f = spark.createDataFrame([(1, 0, i, round(i * 125e6 / 2997)) for i in range(2000)], "file_id long, stream_index long, ordinal long, t_us long")
-    r = spark.createDataFrame([(1, 0, 24000, 1001, 500)], "file_id long, stream_index long, rate_num long, rate_den long, tolerance_us long")
+    r = spark.createDataFrame([(1, 0, 24000, 1001, 50)], "file_id long, stream_index long, rate_num long, rate_den long, tolerance_us long")
     x = one(clocks.constant_clock_check(f, r))
     assert x["ok"] and x["reconciled"] and x["used_num"] == 2997
 
