@@ -221,10 +221,10 @@ def downsample_series(spark, sf):
     return scoring.downsample_series(v.frames(spark, sf), 100).select("file_id", "stream_index", "ordinal", "score_centi")
 
 
-@query("report_series_csv", """
+@query("write_report_csv", """
 SELECT file_id, ordinal AS comparison_frame, ordinal + 10 AS reference_frame, ordinal + 20 AS candidate_frame,
   CASE WHEN score_centi % 100 = 0 THEN 'infinity' ELSE CAST(score_centi AS VARCHAR) END AS score FROM frames""")
-def report_series_csv(spark, sf):
+def write_report_csv(spark, sf):
     """Writes the quality series as CSV and reads it back."""
     from reeltally.plans.session import shared_dir
 

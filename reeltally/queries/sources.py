@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from reeltally.functions import exprs as X
 from reeltally.queries import stand_ins as v
 from reeltally.queries.cues import CUES, cue_rows
 from reeltally.queries.registry import query
 from reeltally.sources import documents as docs
+from reeltally.sources import readers
 from reeltally.sources import records as rec
 
 S = lambda c: F.col(c).cast("string")
@@ -297,7 +299,7 @@ def read_dynamic_metadata(spark, sf):
     return docs.parse_dynamic_metadata(d)[0].drop("hash")
 
 
-@query("read_probe_streams", """
+@query("read_probe_documents", """
 WITH l AS (SELECT *, l_linenumber AS i FROM lineitem),
 g AS (SELECT l_orderkey AS file_id, i AS stream_index, min(l_quantity) AS q, min(l_partkey) AS p FROM l GROUP BY ALL)
 SELECT file_id, CAST(stream_index AS BIGINT) AS stream_index, CASE WHEN i = 1 THEN 'video' WHEN i < 5 THEN 'audio' ELSE 'unknown' END AS kind,
@@ -308,7 +310,7 @@ SELECT file_id, CAST(stream_index AS BIGINT) AS stream_index, CASE WHEN i = 1 TH
   CASE WHEN i = 1 THEN p % 2 = 0 END AS has_static_hdr, CASE WHEN i = 1 AND p % 7 <> 0 THEN CAST(8 AS BIGINT) END AS dolby_profile,
   CASE WHEN p % 2 = 0 THEN 'T' || p::VARCHAR WHEN p % 3 = 0 THEN 'handler' END AS title
 FROM (SELECT *, stream_index AS i FROM g) WHERE file_id % 50 <> 7""")
-def read_probe_streams(spark, sf):
+def read_probe_documents(spark, sf):
     s = docs.parse_probe_documents(probe_docs(spark, sf))[1]
     rate = F.concat_ws("/", "frame_rate.num", "frame_rate.den")
     return s.select("file_id", "stream_index", "kind", "duration_s", F.when(F.col("frame_rate").isNotNull(), rate).alias("frame_rate"), "bit_depth", "hdr_format", "has_static_hdr", "dolby_profile", "title")
@@ -384,3 +386,26 @@ def scan_inventory(spark, sf):
 @query("scan_inventory_summary", f"WITH {LISTING} SELECT count(*) AS entries, count(*) - (SELECT count(*) FROM me) AS skipped, least((SELECT count(*) FROM me), 100) AS media, (SELECT count(*) FROM me) > 100 AS truncated FROM li")
 def scan_inventory_summary(spark, sf):
     return docs.scan_inventory(_listing(spark, sf), 100)[1]
+
+
+@query("file_verdict", """
+WITH b AS (SELECT user_id % 10 AS file_id, event_id AS n, CASE WHEN event_id % 1021 = 9 THEN 'unexpected field' WHEN event_id % 1031 = 2 THEN 'repeated field'
+  WHEN event_id % 1009 = 5 AND event_id % 17 <> 0 THEN 'negative duration' WHEN event_id % 1013 = 7 THEN 'no usable size' END AS reason FROM events)
+SELECT file_id, count(*) FILTER (reason IS NULL) AS rows, count(reason) AS rejected, min(n) FILTER (reason IS NOT NULL) AS first_bad,
+  arg_min(reason, n) FILTER (reason IS NOT NULL) AS reason, count(reason) = 0 AS ok FROM b GROUP BY file_id""")
+def file_verdict(spark, sf):
+    return readers.file_verdict(*rec.parse_packet_records(_packet_lines(spark, sf, hashed=False)))
+
+
+@query("scalar_expressions", """
+SELECT o_orderkey AS id, CASE WHEN o_totalprice >= 3599.5 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock,
+  ((o_orderkey % 900 + 1) * 1001 // gcd((o_orderkey % 900 + 1) * 1001, 24000))::VARCHAR || '/' || (24000 // gcd((o_orderkey % 900 + 1) * 1001, 24000))::VARCHAR AS rate,
+  CASE WHEN round((o_orderkey % 9000) * 4e0 / 3 / 2) * 2 BETWEEN 32 AND 8192 THEN CAST(round((o_orderkey % 9000) * 4e0 / 3 / 2) * 2 AS BIGINT) END AS display_width
+FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS s FROM orders)""")
+def scalar_expressions(spark, sf):
+    k = F.col("o_orderkey")
+    pair = lambda n, d: F.struct(n.cast("long").alias("num"), d.cast("long").alias("den"))
+    rate = X.reduced(pair((k % 900 + 1) * 1001, F.lit(24000)))
+    return v.table(spark, sf, "orders").select(
+        k.alias("id"), X.short_clock("o_totalprice").alias("clock"), F.concat_ws("/", rate["num"], rate["den"]).alias("rate"),
+        X.display_width((k % 9000).cast("double"), pair(F.lit(4), F.lit(3))).alias("display_width"))
