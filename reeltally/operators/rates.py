@@ -64,12 +64,16 @@ def window_bytes(
         raise ValueError("window out of range")
     t = _when(pts, dts)
     bucket = F.call_function("div", t - F.pmod(t, F.lit(window_us)), F.lit(window_us))
-    return packets.where(t.isNotNull()).groupBy(*keys, bucket.alias("bucket")).agg(F.sum(size).alias("packet_bytes"))
+    # Every null check that a later join would infer is stated here, so that all uses share one plan.
+    keyed = bucket.isNotNull()
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    return packets.where(keyed).groupBy(*keys, bucket.alias("bucket")).agg(F.sum(size).alias("packet_bytes"))
 
 
 def window_verdict(buckets: DataFrame, *, keys: Sequence[str] = KEYS, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """First and last window per stream and whether the filled series stays within the limit."""
-    span = buckets.groupBy(*keys).agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"))
+    span = buckets.groupBy(*keys).agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.sum("packet_bytes").alias("timed_bytes"))
     span = span.withColumn("windows", F.col("last_bucket") - F.col("first_bucket") + 1)
     return with_verdict(span, (F.col("windows") > max_windows, "too many windows"))
 
@@ -92,7 +96,8 @@ def windowed_rate(
     """
     keys = list(keys)
     b = window_bytes(packets, window_us, keys=keys, pts=pts, dts=dts, size=size)
-    span = window_verdict(b, keys=keys, max_windows=max_windows).where("ok")
+    # Reading the same columns in both uses lets Spark run the aggregate once and reuse its exchange.
+    span = window_verdict(b, keys=keys, max_windows=max_windows).where("ok and timed_bytes is not null")
     spine = span.select(*keys, F.explode(F.sequence("first_bucket", "last_bucket")).alias("bucket"))
     filled = spine.join(b, [*keys, "bucket"], "left")
     bytes_ = F.coalesce("packet_bytes", F.lit(0)).cast("long")

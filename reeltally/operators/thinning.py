@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reeltally.plans.blocks import neighbours, time_block
-from reeltally.plans.session import materialise
 from reeltally.streaming.stateful import REDRAW_MS
 
 BLOCK_MS = 3_600_000
@@ -69,7 +68,7 @@ def thin_log(lines: DataFrame, *, block_ms: int = BLOCK_MS) -> DataFrame:
 
     ``lines``: ``job_id, n, t_ms, redraw, text`` with dense ``n`` and times that never decrease.
     """
-    d = materialise(lines.select("job_id", "n", "t_ms", "redraw", "text"))
+    d = lines.select("job_id", "n", "t_ms", "redraw", "text")
     redraws = d.where("redraw").select("job_id", "n", "t_ms", time_block("t_ms", block_ms).alias("__block"))
     late = F.pmod("t_ms", F.lit(block_ms)) >= block_ms - REDRAW_MS
     homes = F.when(late, F.array(F.struct(F.col("__block").alias("b"), F.lit(False).alias("halo")), F.struct((F.col("__block") + 1).alias("b"), F.lit(True).alias("halo")))).otherwise(

@@ -100,7 +100,7 @@ def neighbours(
         *[F.lag(f"__l_{c}").over(wb).alias(f"__l_{c}") for c in prev],
         *[F.lead(f"__f_{c}").over(wb).alias(f"__f_{c}") for c in next],
     )
-    out = d.join(edges, [*keys, _B]).withColumn("__n", F.row_number().over(w))
+    out = d.join(edges, [*keys, _B], "left").withColumn("__n", F.row_number().over(w))
     out = out.withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
     for c in prev:
         out = out.withColumn(f"prev_{c}", F.when(F.col("__n") == 1, F.col(f"__l_{c}")).otherwise(F.lag(c).over(w)))
@@ -146,7 +146,7 @@ def running(
         *[F.max(f"__m_{n}").over(before).alias(f"__m_{n}") for n in tops],
     )
     inside = W.partitionBy(*keys, _B).orderBy(*order)
-    out = d.join(carry, [*keys, _B])
+    out = d.join(carry, [*keys, _B], "left")
     for n, c in sums.items():
         inner = F.sum(c).over(inside.rowsBetween(W.unboundedPreceding, -1))
         out = out.withColumn(n, F.col(f"__s_{n}") + F.coalesce(inner, F.lit(0)))
@@ -174,7 +174,8 @@ def numbered(
     )
     inside = W.partitionBy(*keys, _B).orderBy(*order)
     return (
-        d.join(carry, [*keys, _B])
+        # A left join, so that an unused number costs nothing: Spark then drops the whole right side.
+        d.join(carry, [*keys, _B], "left")
         .withColumn(name, F.col("__c") + F.row_number().over(inside) - F.lit(1).cast("long"))
         .drop(_B, "__c")
     )
