@@ -28,6 +28,11 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text: ColumnOrName) -> Column:
+    """Text without surrounding white space of any kind; ``trim`` alone removes only blanks."""
+    return F.btrim(_c(text), F.lit(" \t\r\n\x0b\x0c"))
+
+
 # Fixed value: decimal number syntax.  Java also parses "1d" or "0x1p3", which must not pass.
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -94,7 +99,7 @@ def tag_clock(text: ColumnOrName) -> Column:
 
 def cue_clock(text: ColumnOrName) -> Column:
     """``[h:]m:s`` with comma or dot fraction, in seconds; null when any part is unusable."""
-    parts = F.split(F.trim(_c(text)), ":")
+    parts = F.split(strip(_c(text)), ":")
     nums = F.transform(parts, lambda p: finite(F.replace(p, F.lit(","), F.lit(".")), None))
     usable = F.size(parts).between(2, 3) & F.forall(nums, lambda x: F.coalesce(x >= 0, F.lit(False)))
     total = F.aggregate(nums, F.lit(0.0), lambda acc, x: acc * 60.0 + x)
@@ -103,7 +108,7 @@ def cue_clock(text: ColumnOrName) -> Column:
 
 def srt_clock_ms(text: ColumnOrName) -> Column:
     """Strict ``h:m:s,ms`` in milliseconds."""
-    g = lambda i: F.regexp_extract(F.trim(_c(text)), r"^([0-9]+):([0-9]+):([0-9]+),([0-9]+)$", i).try_cast("bigint")
+    g = lambda i: F.regexp_extract(strip(_c(text)), r"^([0-9]+):([0-9]+):([0-9]+),([0-9]+)$", i).try_cast("bigint")
     good = (g(2) < 60) & (g(3) < 60) & (g(4) < 1000)
     return F.when(good, ((g(1) * 60 + g(2)) * 60 + g(3)) * 1000 + g(4))
 
@@ -153,7 +158,7 @@ def format_bytes(value: ColumnOrName) -> Column:
 
 def nonblank(text: ColumnOrName) -> Column:
     t = _c(text)
-    return F.when(F.trim(t) != "", t)
+    return F.when(strip(t) != "", t)
 
 
 def known_colour(text: ColumnOrName) -> Column:
@@ -163,7 +168,7 @@ def known_colour(text: ColumnOrName) -> Column:
 
 def tag(tags: ColumnOrName, name: str) -> Column:
     """First non-blank value whose key matches ``name`` without regard to case."""
-    hit = F.map_filter(_c(tags), lambda k, v: (F.lower(k) == name.lower()) & (F.trim(v) != ""))
+    hit = F.map_filter(_c(tags), lambda k, v: (F.lower(k) == name.lower()) & (strip(v) != ""))
     return F.get(F.map_values(hit), F.lit(0))
 
 

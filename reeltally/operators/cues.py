@@ -149,7 +149,7 @@ def cue_quality(
     """Verdict per cue document: ordered starts, positive intervals, at least one cue with text."""
     keys = list(keys)
     d = neighbours(cues.select(*keys, "n", "start_ms", "end_ms", "body"), keys=keys, order="n", prev=["start_ms"], dense=False, block_rows=block_rows)
-    lines = F.transform(F.split("body", "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split("body", "\n"), lambda x: X.strip(x))
     text = F.exists(lines, lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     late = F.col("start_ms") < F.col("prev_start_ms")
     reverse = F.col("end_ms") <= F.col("start_ms")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reeltally.functions import exprs as X
 from reeltally.functions.exprs import RECOVERABLE_STATES, TERMINAL_STATES
 from reeltally.plans.blocks import BLOCK_ROWS, neighbours
 from reeltally.plans.verdicts import with_verdict
@@ -73,8 +74,8 @@ def drop_probe_noise(
 def latest_step(lines: DataFrame, *, keys: Sequence[str] = ("job_id",), order: str = "n", text: str = "text") -> DataFrame:
     """Newest line per job that is a step: not blank, tool output, bookkeeping or a pause notice."""
     t = F.col(text)
-    step = (F.trim(t) != "") & ~t.rlike(TOOL_OUTPUT) & ~t.rlike(BOOKKEEPING) & ~t.rlike(PAUSE_NOTICE)
-    return lines.groupBy(*keys).agg(F.max_by(F.when(step, F.trim(t)), F.when(step, F.col(order))).alias("step"))
+    step = (X.strip(t) != "") & ~t.rlike(TOOL_OUTPUT) & ~t.rlike(BOOKKEEPING) & ~t.rlike(PAUSE_NOTICE)
+    return lines.groupBy(*keys).agg(F.max_by(F.when(step, X.strip(t)), F.when(step, F.col(order))).alias("step"))
 
 
 def log_tail(

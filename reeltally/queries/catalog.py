@@ -367,10 +367,15 @@ def merge_scene_slices(spark, sf):
     return catalog.merge_scene_slices(*_scenes(spark, sf))
 
 
-@query("scene_slice_verdict", """
-SELECT file_id, CAST(4 AS BIGINT) AS slices, CAST(CASE WHEN file_id % 6 = 5 THEN 1 ELSE 0 END AS BIGINT) AS wrong_length, CAST(CASE WHEN file_id % 6 = 4 THEN 4 ELSE 0 END AS BIGINT) AS not_tiled,
-  CASE file_id % 6 WHEN 5 THEN 'slice reports the wrong frame count' WHEN 3 THEN 'slices disagree on split scenes' WHEN 4 THEN 'scenes do not tile a slice' END AS reason
-FROM frames GROUP BY file_id""")
+@query("scene_slice_verdict", f"""WITH {SCENES},
+p AS (SELECT *, lag(e) OVER (PARTITION BY file_id, slice, list ORDER BY n) AS prev FROM sc),
+ls AS (SELECT file_id, slice, list, count(*) FILTER (s <> coalesce(prev, 0) OR e <= s) AS bad, max(e) AS last FROM p GROUP BY ALL),
+q AS (SELECT b.file_id, b.slice, hi - lo AS due, coalesce(max(bad), 0) AS bad, min(last) AS a, max(last) AS z, count(*) FILTER (list = 'split_scenes') AS split
+  FROM b LEFT JOIN ls USING (file_id, slice) GROUP BY ALL),
+v AS (SELECT file_id, count(*) AS slices, CAST(CASE WHEN file_id % 6 = 5 THEN 1 ELSE 0 END AS BIGINT) AS wrong_length,
+  count(*) FILTER (a IS NULL OR bad > 0 OR a <> due OR z <> due) AS not_tiled, sum(split) AS split FROM q GROUP BY file_id)
+SELECT file_id, slices, wrong_length, not_tiled, CASE WHEN wrong_length > 0 THEN 'slice reports the wrong frame count'
+  WHEN split > 0 AND split < slices THEN 'slices disagree on split scenes' WHEN not_tiled > 0 THEN 'scenes do not tile a slice' END AS reason FROM v""")
 def scene_slice_verdict(spark, sf):
     return catalog.scene_slice_verdict(*_scenes(spark, sf)).drop("ok")
 

@@ -146,7 +146,7 @@ def parse_cue_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     d = with_file_id(documents).withColumn("__t", F.replace("value", F.lit("\r\n"), F.lit("\n")))
     is_ass = F.col("format") == "ass"
-    blocks = F.filter(F.split("__t", "\n\n"), lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))) != "")
+    blocks = F.filter(F.split("__t", "\n\n"), lambda b: X.strip(b) != "")
     timing = r"(?:^|\n)([^\n]*?) --> ([^\n]*)"
     heading = lambda b: (F.col("format") == "webvtt") & b.startswith("WEBVTT") & ~b.contains(" --> ")
     kept = F.filter(blocks, lambda b: ~heading(b))
@@ -180,7 +180,7 @@ def parse_cue_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     why = reason(
         (is_ass & ~has_events, "no events section"),
         (is_ass & (before_events.startswith("Dialogue: ") | before_events.contains("\nDialogue: ")), "event before the events section"),
-        (is_ass & (fields_line != "") & (F.trim(fields_line) != standard), "unusual event field order"),
+        (is_ass & (fields_line != "") & (X.strip(fields_line) != standard), "unusual event field order"),
         (any_cue(lambda c: ~c["shaped"]), "unsupported block"),
         (any_cue(lambda c: c["start"].isNull() | c["end"].isNull()), "invalid timestamp"),
         (any_cue(lambda c: c["end"] <= c["start"]), "empty or reversed interval"),

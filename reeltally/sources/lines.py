@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], *, glob: str | N
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__split"), "value"
     )
     if skip_blank:
-        raw = raw.where(F.trim("value") != "")
+        raw = raw.where(X.strip("value") != "")
     before = W.partitionBy("path").orderBy("__split").rowsBetween(W.unboundedPreceding, -1)
     sizes = raw.groupBy("path", "__split").agg(F.count(F.lit(1)).alias("__c")).select(
         "path", "__split", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c")
@@ -57,7 +57,7 @@ def with_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:
     Plain substring search on the record with a leading bar; a regular expression per field costs several
     times as much.  ``__plain`` is true when the record holds each found field once and nothing else.
     """
-    d = df.withColumn("__rec", F.concat(F.lit("|"), F.trim("value")))
+    d = df.withColumn("__rec", F.concat(F.lit("|"), X.strip("value")))
     rec = F.col("__rec")
 
     def text(name: str) -> Column:

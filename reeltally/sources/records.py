@@ -150,7 +150,7 @@ def parse_metric_lines(lines: DataFrame, metric: str) -> tuple[DataFrame, DataFr
     ``frame`` is the reported ordinal from zero and ``n`` the record position; see :func:`metric_verdict`.
     XPSNR rows carry the weighted frame error; every other score is used as reported, infinite PSNR as null.
     """
-    v = F.trim("value")
+    v = X.strip("value")
     if metric in ("ssim", "psnr"):
         name = "All" if metric == "ssim" else "psnr_avg"
         get = lambda k: F.when(v.rlike(rf"(?:^|\s){k}:\S+"), F.regexp_extract(v, rf"(?:^|\s){k}:(\S+)", 1))
@@ -225,7 +225,7 @@ def parse_frame_hashes(lines: DataFrame, *, strict: bool = False) -> tuple[DataF
     Every record needs its stream's ``#tb`` header above it.  ``strict`` is the cadence form: SHA-256 and
     column headers required, stream 0 only, decode time equal to presentation time, size above zero.
     """
-    d = with_file_id(lines).withColumn("__v", F.trim("value"))
+    d = with_file_id(lines).withColumn("__v", X.strip("value"))
     head = d.where(F.col("__v").startswith("#"))
     tb = r"^#tb\s+([0-9]+):\s*([0-9]+)\s*/\s*([0-9]+)"
     bases = head.where(F.col("__v").rlike(tb)).select(
@@ -235,7 +235,7 @@ def parse_frame_hashes(lines: DataFrame, *, strict: bool = False) -> tuple[DataF
     marks = head.groupBy("path").agg(
         F.min(F.when(F.col("__v") == HASH_HEADER, F.col("n"))).alias("__hash_n"), F.min(F.when(F.col("__v") == COLUMN_HEADER, F.col("n"))).alias("__cols_n")
     )
-    part = lambda i: F.trim(F.get(F.split("__v", ","), F.lit(i)))
+    part = lambda i: X.strip(F.get(F.split("__v", ","), F.lit(i)))
     body = d.where(~F.col("__v").startswith("#")).withColumn("stream_index", X.unsigned(part(0)))
     body = attach(attach(body, bases, ["path", "stream_index"], spread="n"), marks, ["path"], spread="n")
     ticks = lambda c: F.when(c != "NOPTS", X.signed(c))
@@ -269,7 +269,7 @@ def parse_frame_hashes(lines: DataFrame, *, strict: bool = False) -> tuple[DataF
 
 def parse_grain_segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segment lines ``E start end ...`` of film-grain tables; other lines are ignored."""
-    f = F.split(F.trim("value"), r"[ \t]+")
+    f = F.split(X.strip("value"), r"[ \t]+")
     e = with_file_id(lines).where(F.get(f, F.lit(0)) == "E")
     start, end = X.unsigned(F.get(f, F.lit(1))), X.unsigned(F.get(f, F.lit(2)))
     why = reason((F.size(f) < 6, "too few fields"), (start.isNull() | end.isNull(), "invalid timestamp"), (end <= start, "invalid interval"))
@@ -279,14 +279,14 @@ def parse_grain_segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_progress(lines: DataFrame, *, text: str = "value") -> DataFrame:
     """Encoder progress columns of the log lines that are progress records."""
-    line = F.regexp_replace(F.trim(text), r"^\[consumer\] ", "")
+    line = F.regexp_replace(X.strip(text), r"^\[consumer\] ", "")
     p = r"^Encoding:(.*?) Frames @ (.*)$"
-    count, metrics = F.trim(F.regexp_extract(line, p, 1)), F.regexp_extract(line, p, 2)
+    count, metrics = X.strip(F.regexp_extract(line, p, 1)), F.regexp_extract(line, p, 2)
     frames = X.unsigned(F.regexp_extract(count, r"^([^/]*)(?:/.*)?$", 1))
     total = F.when(F.contains(count, F.lit("/")), X.unsigned(F.regexp_extract(count, r"/(.*)$", 1)))
     total = F.when(total > 0, total)
-    part = lambda i: F.trim(F.get(F.split(metrics, r"\|"), F.lit(i)))
-    number = lambda t: F.when(X.finite(F.trim(t), None) >= 0, X.finite(F.trim(t), None))
+    part = lambda i: X.strip(F.get(F.split(metrics, r"\|"), F.lit(i)))
+    number = lambda t: F.when(X.finite(X.strip(t), None) >= 0, X.finite(X.strip(t), None))
     suffix = lambda t, s: F.when(t.endswith(s), F.substring(t, F.lit(1), F.length(t) - len(s)))
     speed = part(0)
     fps = F.coalesce(number(suffix(speed, "fps")), number(suffix(speed, "fpm")) / 60.0)
@@ -353,7 +353,7 @@ def parse_field_samples(lines: DataFrame) -> DataFrame:
 
 def parse_gap_samples(lines: DataFrame) -> DataFrame:
     """Field differences per sampled position, numbered from zero in log order."""
-    raw = F.trim(F.regexp_extract("value", r"lavfi\.signalstats\.YDIF=(.*)$", 1))
+    raw = X.strip(F.regexp_extract("value", r"lavfi\.signalstats\.YDIF=(.*)$", 1))
     d = with_file_id(lines).where(F.contains("value", F.lit("lavfi.signalstats.YDIF="))).withColumn("value", X.finite(raw, None)).where(F.col("value") >= 0)
     d = numbered(d.select("file_id", "position", F.col("n").alias("__line"), "value"), keys=["file_id", "position"], order=["__line"], name="n")
     return d.select("file_id", "position", "n", "value")
