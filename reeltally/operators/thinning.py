@@ -9,6 +9,8 @@ are then run again with their true entry.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,37 +31,66 @@ def _due(times, entry):
     return out, entry
 
 
-def _outcomes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exit of one block for every entry that can matter; ``entry`` -1 stands for none."""
-    job, block = pdf["job_id"].iloc[0], pdf["__block"].iloc[0]
-    inside = sorted(pdf.loc[~pdf["halo"], "t_ms"].tolist())
-    entries = [None, *sorted(set(pdf.loc[pdf["halo"], "t_ms"].tolist()))]
-    rows = []
-    for e in entries:
-        _, last = _due(inside, e)
-        rows.append((job, block, -1 if e is None else e, -1 if last is None else last))
-    return pd.DataFrame(rows, columns=["job_id", "__block", "entry", "exit"])
-
+def _grouped(batches: Iterator[pd.DataFrame], width: int, handle, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Calls ``handle(key, rows)`` for runs of equal leading ``width`` columns in a sorted partition.
 
-def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
+    A run may cross Arrow batches; only the current run is held.
+    """
+    key, rows = None, []
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False, name=None):
+            if r[:width] != key:
+                if rows:
+                    out += handle(key, rows)
+                key, rows = r[:width], []
+            rows.append(r[width:])
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+    if rows:
+        yield pd.DataFrame(handle(key, rows), columns=columns)
+
+
+def _outcomes(key, rows):
+    """Exit of one block for every entry that can matter; -1 stands for none."""
+    inside = [t for t, halo in rows if not halo]
+    table = []
+    for entry in [None, *sorted({t for t, halo in rows if halo})]:
+        _, last = _due(inside, entry)
+        table.append((*key, -1 if entry is None else entry, -1 if last is None else last))
+    return table
+
+
+def _follow(key, rows):
     """True entry of every block of one job, block by block."""
-    job = pdf["job_id"].iloc[0]
-    current, rows = -1, []
-    for block, group in pdf.sort_values("__block").groupby("__block"):
-        table = dict(zip(group["entry"], group["exit"]))
+    current, out, i = -1, [], 0
+    while i < len(rows):
+        block, table = rows[i][0], {}
+        while i < len(rows) and rows[i][0] == block:
+            table[rows[i][1]] = rows[i][2]
+            i += 1
         entry = current if current in table else -1
-        rows.append((job, block, entry))
+        out.append((*key, block, entry))
         current = table[entry]
-    return pd.DataFrame(rows, columns=["job_id", "__block", "entry"])
+    return out
+
+
+def _run(key, rows):
+    """Logged redraws of one block; of redraws at one time the first."""
+    entry = rows[0][2]
+    logged, last = [], None if entry < 0 else entry
+    for n, t, _ in rows:
+        if last is None or t - last >= REDRAW_MS:
+            logged.append((key[0], n))
+            last = t
+    return logged
 
 
-def _run(pdf: pd.DataFrame) -> pd.DataFrame:
-    entry = pdf["entry"].iloc[0]
-    pdf = pdf.sort_values("n")
-    due, _ = _due(pdf["t_ms"].tolist(), None if entry < 0 else entry)
-    # Equal times: only the first redraw of a logged time is due.
-    first = ~pdf["t_ms"].duplicated()
-    return pdf.loc[pdf["t_ms"].isin(due) & first, ["job_id", "n"]]
+def _sorted_map(df: DataFrame, by: list[str], order: list[str], width: int, handle, schema: str) -> DataFrame:
+    """Runs ``handle`` over groups of ``by`` that Spark has partitioned and sorted."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    placed = df.repartition(*by).sortWithinPartitions(*by, *order)
+    return placed.mapInPandas(lambda batches: _grouped(batches, width, handle, columns), schema)
 
 
 def thin_log(lines: DataFrame, *, block_ms: int = BLOCK_MS) -> DataFrame:
@@ -74,10 +105,12 @@ def thin_log(lines: DataFrame, *, block_ms: int = BLOCK_MS) -> DataFrame:
     homes = F.when(late, F.array(F.struct(F.col("__block").alias("b"), F.lit(False).alias("halo")), F.struct((F.col("__block") + 1).alias("b"), F.lit(True).alias("halo")))).otherwise(
         F.array(F.struct(F.col("__block").alias("b"), F.lit(False).alias("halo"))))
     spread = redraws.select("job_id", "t_ms", F.explode(homes).alias("h")).select("job_id", F.col("h.b").alias("__block"), "t_ms", "h.halo")
-    outcomes = spread.groupBy("job_id", "__block").applyInPandas(_outcomes, "job_id bigint, __block bigint, entry bigint, exit bigint")
-    # One small row set per block: the chain itself is the only per-job step.
-    entries = outcomes.groupBy("job_id").applyInPandas(_follow, "job_id bigint, __block bigint, entry bigint")
-    due = redraws.join(entries, ["job_id", "__block"]).groupBy("job_id", "__block").applyInPandas(_run, "job_id bigint, n bigint")
+    spread = spread.select("job_id", "__block", "t_ms", "halo")
+    outcomes = _sorted_map(spread, ["job_id", "__block"], ["t_ms"], 2, _outcomes, "job_id bigint, __block bigint, entry bigint, exit bigint")
+    # A few rows per block: the chain of blocks is the only per-job step.
+    entries = _sorted_map(outcomes, ["job_id"], ["__block"], 1, _follow, "job_id bigint, __block bigint, entry bigint")
+    entered = redraws.join(entries, ["job_id", "__block"]).select("job_id", "__block", "n", "t_ms", "entry")
+    due = _sorted_map(entered, ["job_id", "__block"], ["n"], 2, _run, "job_id bigint, n bigint")
     marked = d.join(due.withColumn("__due", F.lit(True)), ["job_id", "n"], "left")
     marked = marked.withColumn("__direct", ~F.col("redraw") | F.coalesce("__due", F.lit(False)))
     near = neighbours(marked, keys=["job_id"], order="n", next=["__direct", "text"])

@@ -43,7 +43,7 @@ def sampled_fraction(spark, sf):
 METRICS = ["psnr", "xpsnr", "ssim", "vmaf", "ssimulacra2", "butteraugli"]
 SCORES = """
 pts AS (SELECT file_id, crf, frames, m.metric, CASE WHEN score_centi IS NULL AND (m.k < 2 OR file_id % 3 = 0) THEN NULL
-   WHEN m.k = 2 THEN coalesce(score_centi, 5000) / 10000e0 WHEN m.k = 5 THEN (10000 - coalesce(score_centi, 5000)) / 150e0 ELSE coalesce(score_centi, 5000) / 100e0 END AS score
+   WHEN m.k = 2 THEN coalesce(score_centi, 5000) / 9973e0 WHEN m.k = 5 THEN (10000 - coalesce(score_centi, 5000)) / 151e0 ELSE coalesce(score_centi, 5000) / 97e0 END AS score
   FROM rung_samples, (VALUES ('psnr', 0), ('xpsnr', 1), ('ssim', 2), ('vmaf', 3), ('ssimulacra2', 4), ('butteraugli', 5)) m(metric, k)),
 pooled AS (SELECT file_id, crf, metric, CAST(sum(frames) AS DOUBLE) AS weight,
   CASE WHEN metric IN ('psnr', 'xpsnr') THEN CASE WHEN sum(coalesce(pow(10e0, -score / 10), 0) * frames) > 0 THEN -10 * log10(sum(coalesce(pow(10e0, -score / 10), 0) * frames) / sum(frames)) END
@@ -57,7 +57,7 @@ def _points(spark, sf):
     d = r.select("*", m)
     c = F.coalesce("score_centi", F.lit(5000))
     hole = F.col("score_centi").isNull() & ((F.col("k") < 2) | (F.col("file_id") % 3 == 0))
-    score = F.when(F.col("k") == 2, c / 10000.0).when(F.col("k") == 5, (10000 - c) / 150.0).otherwise(c / 100.0)
+    score = F.when(F.col("k") == 2, c / 9973.0).when(F.col("k") == 5, (10000 - c) / 151.0).otherwise(c / 97.0)
     return d.withColumn("score", F.when(~hole, score)).drop("k")
 
 
