@@ -172,13 +172,22 @@ def tag(tags: ColumnOrName, name: str) -> Column:
     return F.get(F.map_values(hit), F.lit(0))
 
 
-def lower_keys(tags: ColumnOrName) -> Column:
-    """Map with lower-cased keys; the last entry wins when two keys fold together."""
+def fold_keys(tags: ColumnOrName, fold) -> Column:
+    """Map with folded keys; the last entry wins when two keys become equal.
+
+    Keys rarely collide, and then a plain key transform is enough; the general form is only evaluated
+    for maps in which they do.
+    """
     t = _c(tags)
+    keys = F.transform(F.map_keys(t), fold)
     entries = F.map_entries(t)
-    keys = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
-    pick = lambda k: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), -1)["value"]
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), pick(k).alias("value"))))
+    pick = lambda k: F.element_at(F.filter(entries, lambda e: fold(e["key"]) == k), -1)["value"]
+    merged = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), pick(k).alias("value"))))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.transform_keys(t, lambda k, _: fold(k))).otherwise(merged)
+
+
+def lower_keys(tags: ColumnOrName) -> Column:
+    return fold_keys(tags, F.lower)
 
 
 def is_derived_tag(key: Column) -> Column:

@@ -160,12 +160,9 @@ def _signature_text(column: Column, field: str) -> Column:
 
 
 def _upper_tags(tags: str, dropped: Sequence[str]) -> Column:
-    e = F.transform(F.map_entries(F.coalesce(F.col(tags), F.expr("map()").cast("map<string,string>"))),
-                    lambda x: F.struct(F.upper(x["key"]).alias("key"), x["value"].alias("value")))
-    e = F.filter(e, lambda x: ~x["key"].isin(*dropped))
-    keys = F.array_distinct(F.transform(e, lambda x: x["key"]))
-    last = lambda k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), last(k).alias("value"))))
+    """Tags with upper-cased keys, without those a container derives itself."""
+    present = F.coalesce(F.col(tags), F.expr("map()").cast("map<string,string>"))
+    return X.fold_keys(F.map_filter(present, lambda k, _: ~F.upper(k).isin(*dropped)), F.upper)
 
 
 def compare_stream_layout(

@@ -242,3 +242,10 @@ def test_partition_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_colliding_tag_keys_keep_one_value(spark):
+    from reeltally.functions import exprs as X
+
+    d = spark.sql("select map('Title', '1', 'TITLE', '2', 'Other', '3', 'BPS', '4') as tags")
+    assert d.select(X.stable_tags("tags").alias("t")).first().t == {"title": "2", "other": "3"}
