@@ -249,3 +249,21 @@ def test_colliding_tag_keys_keep_one_value(spark):
 
     d = spark.sql("select map('Title', '1', 'TITLE', '2', 'Other', '3', 'BPS', '4') as tags")
     assert d.select(X.stable_tags("tags").alias("t")).first().t == {"title": "2", "other": "3"}
+
+
+def test_shared_folder_is_required_off_one_machine():
+    import pytest
+
+    from reeltally.plans.session import base_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = type("Conf", (), {"get": lambda _, k, d=None: conf.get(k, d), "set": lambda _, k, v: conf.update({k: v})})()
+
+    with pytest.raises(ValueError):
+        base_dir(Session(**{"spark.master": "spark://host:7077"}))
+    with pytest.raises(ValueError):
+        base_dir(Session(**{"spark.master": "local-cluster[2,1,1024]"}))
+    assert base_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "s3a://b/c/"})) == "s3a://b/c"
+    local = Session(**{"spark.master": "local[4]"})
+    assert base_dir(local) == base_dir(local)
