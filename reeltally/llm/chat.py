@@ -48,7 +48,8 @@ def _ancestors(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, int]:
         if 2 ** (k - 1) > most or state.where("up is not null").isEmpty():
             return state, k
         above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        state = state.join(above, ["tree", "up"], "left").select(
+        # Nodes that have reached their root take no part in later rounds.
+        rising = state.where("up is not null").join(above, ["tree", "up"], "left").select(
             "tree",
             "node",
             F.col("up2").alias("up"),
@@ -56,6 +57,7 @@ def _ancestors(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, int]:
             (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
             (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
         )
+        state = state.where("up is null").unionByName(rising)
 
 
 def format_conversations(
@@ -104,7 +106,7 @@ def format_conversations(
     steps = chosen.select("tree", F.col("node").alias("leaf"), "rank", "depth", "node", F.lit(0).cast("long").alias("up_by"))
     ups = state.select("tree", "node", "ups")
     for k in reversed(range(rounds)):
-        further = F.array(F.struct("node", "up_by"), F.struct(F.col("ups")[k].alias("node"), (F.col("up_by") + 2**k).alias("up_by")))
+        further = F.array(F.struct("node", "up_by"), F.struct(F.get("ups", F.lit(k)).alias("node"), (F.col("up_by") + 2**k).alias("up_by")))
         steps = steps.join(ups, ["tree", "node"]).select("tree", "leaf", "rank", "depth", F.explode(further).alias("s")).select("tree", "leaf", "rank", "depth", "s.*").where("node is not null")
 
     head = F.concat(F.lit(OPEN), escape(F.col("role"), line=True), F.lit(HEAD))
