@@ -1,4 +1,4 @@
 """Importing this module fills the registry."""
 
-from reeltally.llm import bpe, chat, exact_dedup, html_text, packing, sharding  # noqa: F401
+from reeltally.llm import bpe, chat, exact_dedup, html_text, packing, sharding, top_k  # noqa: F401
 from reeltally.llm.registry import ORACLES, QUERIES  # noqa: F401
