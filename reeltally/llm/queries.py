@@ -1,4 +1,4 @@
 """Importing this module fills the registry."""
 
-from reeltally.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, sharding, top_k, toxicity  # noqa: F401
+from reeltally.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, repeats, sharding, top_k, toxicity  # noqa: F401
 from reeltally.llm.registry import ORACLES, QUERIES  # noqa: F401
