@@ -1,4 +1,9 @@
 """Importing this module fills the registry."""
 
+import corpus_pipeline
 from reeltally.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, repeats, sharding, top_k, toxicity  # noqa: F401
-from reeltally.llm.registry import ORACLES, QUERIES  # noqa: F401
+from reeltally.llm.registry import ORACLES, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
