@@ -37,7 +37,7 @@ def strip(text: ColumnOrName) -> Column:
 DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def finite(text: ColumnOrName, limit: float | None = 1e9) -> Column:
+def finite(text: ColumnOrName, limit: float | None = 9e12) -> Column:
     """Number from text, null unless finite (and within ``limit`` in magnitude)."""
     x = F.when(_c(text).rlike(DECIMAL), _c(text).try_cast("double"))
     ok = F.abs(x) < float("inf")
@@ -220,10 +220,15 @@ def even_out(low: Column, high: Column) -> tuple[Column, Column]:
 
 
 def display_width(width: ColumnOrName, sar: ColumnOrName) -> Column:
-    """Square-pixel width rounded to an even number, null outside 32..8192."""
+    """Square-pixel width rounded to an even number, null unless positive."""
     s = _c(sar)
     w = (F.round(_c(width) * s["num"] / s["den"] / 2.0) * 2).cast("long")
-    return F.when(w.between(32, 8192), w)
+    return F.when(w > 0, w)
+
+
+def tail(text: ColumnOrName, start: int) -> Column:
+    """The text from character ``start`` (from 1) to its end."""
+    return F.substring(_c(text), F.lit(start), F.length(_c(text)))
 
 
 def path_id(path: ColumnOrName) -> Column:

@@ -180,14 +180,15 @@ def _leading_rule(rows, facts, source, copy, keys, order, reconstruct, omit, lim
     )
     candidate = F.coalesce((F.lit(reconstruct) & rebuilt) | (F.lit(omit) & dropped), F.lit(False))
     soft = soft.withColumn("__candidate", candidate)
-    refused = soft.where(~F.col("__candidate")).groupBy(*keys).agg(F.min(order).alias("__refused"))
+    refused = soft.groupBy(*keys).agg(
+        F.min(F.when(~F.col("__candidate"), F.col(order))).alias("__refused"), F.count(F.when(F.col("__candidate"), 1)).alias("leading_without_dts")
+    )
     # rank <= limit + 1 lets Spark cut each map task to that many rows per stream before the shuffle.
     ranked = soft.where("__candidate").withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
     ranked = ranked.where(F.col("__rank") <= limit + 1).groupBy(*keys).agg(
-        F.count(F.when(F.col("__rank") <= limit, 1)).alias("leading_without_dts"),
         F.min(F.when(F.col("__rank") == limit + 1, F.col(order))).alias("__over"),
     )
-    out = refused.join(ranked, keys, "full").withColumn("__first_soft", F.least("__refused", "__over"))
+    out = refused.join(ranked, keys, "left").withColumn("__first_soft", F.least("__refused", "__over"))
     return out.select(*keys, "__first_soft", "leading_without_dts")
 
 

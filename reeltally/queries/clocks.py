@@ -6,21 +6,21 @@ from reeltally.operators import clocks, rates
 from reeltally.queries import stand_ins as v
 from reeltally.queries.registry import query
 
-HOUR3 = 3 * 3600 * 1_000_000
+WINDOW = 300 * 1_000_000
 
 
 @query("windowed_rate", f"""
 WITH b AS (
-  SELECT file_id, stream_index, CAST(floor(coalesce(pts_us, dts_us) / {HOUR3}) AS BIGINT) AS k, CAST(sum(size) AS BIGINT) AS bytes
+  SELECT file_id, stream_index, CAST(floor(coalesce(pts_us, dts_us) / {WINDOW}) AS BIGINT) AS k, CAST(sum(size) AS BIGINT) AS bytes
   FROM packets WHERE coalesce(pts_us, dts_us) IS NOT NULL GROUP BY ALL),
 span AS (SELECT file_id, stream_index, min(k) AS lo, max(k) AS hi FROM b GROUP BY ALL),
-spine AS (SELECT file_id, stream_index, unnest(generate_series(lo, hi)) AS k FROM span WHERE hi - lo < 7200)
-SELECT s.file_id, s.stream_index, s.k * {HOUR3} AS start_us, coalesce(b.bytes, 0) AS packet_bytes,
-  round(coalesce(b.bytes, 0) * 8e0 / {HOUR3}e0, 9) AS mbps
+spine AS (SELECT file_id, stream_index, unnest(generate_series(lo, hi)) AS k FROM span)
+SELECT s.file_id, s.stream_index, s.k * {WINDOW} AS start_us, coalesce(b.bytes, 0) AS packet_bytes,
+  round(coalesce(b.bytes, 0) * 8e0 / {WINDOW}e0, 9) AS mbps
 FROM spine s LEFT JOIN b USING (file_id, stream_index, k)
 """)
 def windowed_rate(spark, sf):
-    return rates.windowed_rate(v.packets(spark, sf), HOUR3).withColumn("mbps", F.round("mbps", 9))
+    return rates.windowed_rate(v.packets(spark, sf), WINDOW).withColumn("mbps", F.round("mbps", 9))
 
 
 @query("packet_totals", """
@@ -42,14 +42,14 @@ def packet_totals(spark, sf):
 
 @query("bitrate_report", f"""
 WITH p AS (SELECT *, coalesce(pts_us, dts_us) AS t FROM packets),
-b AS (SELECT file_id, stream_index, floor(t / {HOUR3}) AS k, sum(size) AS bytes FROM p WHERE t IS NOT NULL GROUP BY ALL),
-s AS (SELECT file_id, stream_index, CAST(max(k) - min(k) + 1 AS BIGINT) AS windows, max(bytes) * 8e0 / {HOUR3}e0 AS peak FROM b GROUP BY ALL)
+b AS (SELECT file_id, stream_index, floor(t / {WINDOW}) AS k, sum(size) AS bytes FROM p WHERE t IS NOT NULL GROUP BY ALL),
+s AS (SELECT file_id, stream_index, CAST(max(k) - min(k) + 1 AS BIGINT) AS windows, max(bytes) * 8e0 / {WINDOW}e0 AS peak FROM b GROUP BY ALL)
 SELECT file_id, stream_index, CAST(sum(size) AS BIGINT) AS packet_bytes, any_value(windows) AS windows, round(any_value(peak), 9) AS peak_mbps,
-  any_value(windows) <= 7200 AS ok
+  true AS ok
 FROM p JOIN s USING (file_id, stream_index) GROUP BY file_id, stream_index
 """)
 def bitrate_report(spark, sf):
-    summary, _ = rates.bitrate_report(v.packets(spark, sf), HOUR3)
+    summary, _ = rates.bitrate_report(v.packets(spark, sf), WINDOW)
     return summary.select("file_id", "stream_index", "packet_bytes", "windows", F.round("peak_mbps", 9).alias("peak_mbps"), "ok")
 
 

@@ -93,7 +93,7 @@ c AS (SELECT *, lh IS NOT NULL AND rh IS NOT NULL AS paired,
 k AS (SELECT *, count(*) FILTER (paired AND maybe AND lh = rh AND lz = rz AND pts_ok AND dur_ok) OVER (PARTITION BY file_id, stream_index ORDER BY ordinal) AS used FROM c),
 b AS (SELECT *, NOT paired OR lh <> rh OR lz <> rz OR NOT pts_ok OR NOT dur_ok OR (NOT dts_ok AND NOT (maybe AND used <= 16)) AS bad FROM k),
 g AS (SELECT file_id, stream_index, count(*) FILTER (paired) AS matched, count(*) FILTER (rh IS NULL) AS missing, count(*) FILTER (lh IS NULL) AS extra,
-  min(ordinal) FILTER (bad) AS first_bad, CAST(least(max(used), 16) AS BIGINT) AS leading_without_dts FROM b GROUP BY ALL)
+  min(ordinal) FILTER (bad) AS first_bad, CAST(max(used) AS BIGINT) AS leading_without_dts FROM b GROUP BY ALL)
 SELECT *, CASE WHEN first_bad < matched THEN 'content or timing changed' WHEN extra > 0 THEN 'extra packets' WHEN missing > 0 THEN 'missing packets' END AS reason FROM g
 """)
 def packet_fidelity_diff(spark, sf):

@@ -61,7 +61,7 @@ def _frame_fields(k):
     return {
         "best_effort_timestamp_time": F.when(k % 509 == 1, "N/A").otherwise(F.format_string("%d.%06d", F.call_function("div", F.col("t_us"), F.lit(1_000_000)), F.col("t_us") % 1_000_000)),
         "interlaced_frame": F.when(k % 503 == 2, "1").otherwise("0"), "sample_aspect_ratio": F.when(k % 2 == 0, "N/A").otherwise("4:3"),
-        "width": F.lit("1920"), "height": F.when(k % 499 == 3, "16").otherwise("1080"), "pix_fmt": F.when(k % 491 == 4, "rgb24").otherwise(fmt), "color_range": F.lit("tv"),
+        "width": F.lit("1920"), "height": F.when(k % 499 == 3, "0").otherwise("1080"), "pix_fmt": F.when(k % 491 == 4, "rgb24").otherwise(fmt), "color_range": F.lit("tv"),
         "color_space": F.lit("bt709"), "color_transfer": F.when(k % 487 == 5, "smpte2084").otherwise("bt709"), "color_primaries": F.lit("bt709"),
         "chroma_location": F.when(k % 3 == 1, "unspecified").when(k % 479 == 6, "unknown").otherwise("left"),
     }
@@ -400,7 +400,7 @@ def file_verdict(spark, sf):
 @query("scalar_expressions", """
 SELECT o_orderkey AS id, CASE WHEN o_totalprice >= 3599.5 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock,
   ((o_orderkey % 900 + 1) * 1001 // gcd((o_orderkey % 900 + 1) * 1001, 24000))::VARCHAR || '/' || (24000 // gcd((o_orderkey % 900 + 1) * 1001, 24000))::VARCHAR AS rate,
-  CASE WHEN round((o_orderkey % 9000) * 4e0 / 3 / 2) * 2 BETWEEN 32 AND 8192 THEN CAST(round((o_orderkey % 9000) * 4e0 / 3 / 2) * 2 AS BIGINT) END AS display_width
+  CASE WHEN round((o_orderkey % 9000) * 4e0 / 3 / 2) * 2 > 0 THEN CAST(round((o_orderkey % 9000) * 4e0 / 3 / 2) * 2 AS BIGINT) END AS display_width
 FROM (SELECT *, CAST(round(o_totalprice) AS BIGINT) AS s FROM orders)""")
 def scalar_expressions(spark, sf):
     k = F.col("o_orderkey")

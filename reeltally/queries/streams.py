@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from reeltally.operators import thinning
 from reeltally.queries import stand_ins as v
-from reeltally.queries.clocks import HOUR3
+from reeltally.queries.clocks import WINDOW
 from reeltally.queries.jobs import STATE, log_lines
 from reeltally.queries.registry import ORACLES, query
 from reeltally.streaming import native, stateful
@@ -23,8 +23,8 @@ def stream_windowed_rate(spark, sf):
     pts, dts = F.when(i % 11 != 0, F.col("t_us")), F.when(i % 13 != 0, F.col("t_us") - 40000)
     p = _events(spark, sf).select((F.col("user_id") % 10).alias("file_id"), F.expr("(user_id div 10) % 3").alias("stream_index"),
                                   F.coalesce(pts, dts).alias("t_us"), F.round(F.col("value") * 100).cast("long").alias("size"))
-    out = run_available(native.stream_windowed_rate(p, HOUR3, watermark="60 days"))
-    return native.fill_windows(out, HOUR3).withColumn("mbps", F.round("mbps", 9))
+    out = run_available(native.stream_windowed_rate(p, WINDOW, watermark="60 days"))
+    return native.fill_windows(out, WINDOW).withColumn("mbps", F.round("mbps", 9))
 
 
 ORACLES["stream_windowed_rate"] = ORACLES["windowed_rate"]

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from reeltally.functions import exprs as X
 
-MAX_RECORD = 8192
-
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], *, glob: str | None = None, skip_blank: bool = True) -> DataFrame:
     """``path, n, value`` with ``n`` the line's position in its file, counted over the kept lines.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reeltally.functions import exprs as X
 from reeltally.plans.blocks import attach, numbered
 from reeltally.plans.verdicts import reason, with_verdict
-from reeltally.sources.lines import MAX_RECORD, judged, read_lines, repeated, split_quarantine, unexpected, with_fields, with_file_id
+from reeltally.sources.lines import judged, read_lines, repeated, split_quarantine, unexpected, with_fields, with_file_id
 
 # Accepted record fields, pixel formats and colour tags.
 PACKET_FIELDS = ("stream_index", "pts_time", "dts_time", "duration_time", "size")
@@ -48,7 +48,6 @@ def parse_packet_records(lines: DataFrame, *, stream_index: int | None = None) -
     d = _typed_packets(lines, [])
     other = F.lit(False) if stream_index is None else F.col("stream_index") != stream_index
     why = reason(
-        (F.octet_length("value") > MAX_RECORD, "record too long"),
         (unexpected(PACKET_FIELDS), "unexpected field"),
         (repeated(PACKET_FIELDS), "repeated field"),
         (F.col("stream_index").isNull(), "no stream index"),
@@ -69,7 +68,6 @@ def parse_packet_hashes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = d.withColumn("hash", F.when(raw.rlike("^SHA256:[0-9a-fA-F]{64}$"), F.substring(raw, 8, 64)))
     d = d.withColumn("stream_index", F.coalesce("stream_index", F.lit(0).cast("long"))).withColumn("flags", F.col("__f_flags"))
     why = reason(
-        (F.octet_length("value") > MAX_RECORD, "record too long"),
         (F.col("__odd_time"), "invalid time"),
         (F.col("size").isNull(), "no usable size"),
         (F.col("hash").isNull(), "no content hash"),
@@ -95,7 +93,7 @@ def _frame_columns(get) -> tuple[dict[str, Column], Column]:
         (t.isNull(), "invalid timestamp"),
         (~listed(get("interlaced_frame"), ("0", "false")), "not progressive"),
         (sar.isNull() | (sar["num"] / sar["den"] > 100), "invalid aspect ratio"),
-        (~F.coalesce(w.between(32, 8192) & h.between(32, 8192), F.lit(False)), "size out of range"),
+        (~F.coalesce((w > 0) & (h > 0), F.lit(False)), "size out of range"),
         (~listed(fmt, PIXEL_FORMATS), "unsupported pixel format"),
         (~listed(get("color_transfer"), SDR_TAGS), "not tagged SDR"),
         (
@@ -121,8 +119,7 @@ def parse_frame_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = with_fields(with_file_id(lines), FRAME_FIELDS)
     cols, why = _frame_columns(lambda f: F.col(f"__f_{f}"))
     shape = reason(
-        (F.octet_length("value") > MAX_RECORD, "record too long"), (repeated(FRAME_FIELDS), "repeated field")
-    )
+(repeated(FRAME_FIELDS), "repeated field"))
     d = judged(d.withColumns(cols), F.coalesce(shape, why))
     rows, bad = split_quarantine(d, ["file_id", "n", *FRAME_COLUMNS], ["file_id", "path", "n", "value"])
     return numbered(rows, keys=["file_id"], order=["n"]).drop("n"), bad
@@ -160,7 +157,6 @@ def parse_metric_lines(lines: DataFrame, metric: str) -> tuple[DataFrame, DataFr
         infinite = F.lit(metric == "psnr") & (raw == "inf")
         in_range = score.between(-1.0, 1.0) if metric == "ssim" else score >= 0
         why = reason(
-            (F.octet_length("value") > MAX_RECORD, "record too long"),
             (frame.isNull() | (frame < 0), "no frame number"),
             (raw.isNull(), "no metric value"),
             (~F.coalesce(in_range, F.lit(False)) & ~F.coalesce(infinite, F.lit(False)), "score out of range"),
@@ -242,7 +238,6 @@ def parse_frame_hashes(lines: DataFrame, *, strict: bool = False) -> tuple[DataF
     dts, pts, dur, size, digest = ticks(part(1)), ticks(part(2)), ticks(part(3)), X.unsigned(part(4)), part(5)
     broken = lambda c, v: (c != "NOPTS") & v.isNull()
     rules = [
-        (F.octet_length("value") > MAX_RECORD, "record too long"),
         (F.size(F.split("__v", ",")) < 6, "too few fields"),
         (F.coalesce(F.col("__tb_n") > F.col("n"), F.lit(True)) | (F.col("den") <= 0), "no timebase"),
         (broken(part(1), dts) | broken(part(2), pts) | broken(part(3), dur), "invalid timestamp"),
@@ -291,8 +286,8 @@ def parse_progress(lines: DataFrame, *, text: str = "value") -> DataFrame:
     speed = part(0)
     fps = F.coalesce(number(suffix(speed, "fps")), number(suffix(speed, "fpm")) / 60.0)
     size_bytes = lambda t: F.round(number(suffix(t, " MB")) * 1e6).cast("long")
-    size = F.when(part(2).startswith("Size: "), F.substring(part(2), 7, 1 << 20))
-    clock = F.when(part(3).startswith("Time: "), F.substring(part(3), 7, 1 << 20))
+    size = F.when(part(2).startswith("Size: "), X.tail(part(2), 7))
+    clock = F.when(part(3).startswith("Time: "), X.tail(part(3), 7))
     now = lambda t: F.regexp_extract(t, r"^(.*?)(?: \[.*)?$", 1)
     later = lambda t: F.when(t.rlike(r" \[.*\]$"), F.regexp_extract(t, r"^.*? \[(.*)\]$", 1))
 
@@ -300,7 +295,7 @@ def parse_progress(lines: DataFrame, *, text: str = "value") -> DataFrame:
         g = lambda i: X.unsigned(F.regexp_extract(t, r"^([0-9]+):([0-9]+):([0-9]+)$", i))
         return F.when((g(2) < 60) & (g(3) < 60), g(1) * 3600 + g(2) * 60 + g(3))
 
-    eta = F.when(later(clock).startswith("-"), F.substring(later(clock), 2, 1 << 20))
+    eta = F.when(later(clock).startswith("-"), X.tail(later(clock), 2))
     d = lines.withColumns({
         "frames": frames, "total_frames": total, "percent": F.when(total.isNotNull(), F.least(frames / total * 100.0, F.lit(100.0))), "fps": fps,
         "bitrate_kbps": number(suffix(part(1), "kb/s")), "size_bytes": size_bytes(now(size)), "estimated_size_bytes": size_bytes(later(size)),
@@ -317,10 +312,10 @@ def read_tool_logs(spark: SparkSession, path: str, *, glob: str = "*.log") -> tu
     return d, parse_progress(d, text="text")
 
 
-def parse_crop_samples(lines: DataFrame, *, per_position: int = 64) -> DataFrame:
-    """Crop rectangles moved outward to even edges; unusable ones dropped, the first 64 per position kept.
+def parse_crop_samples(lines: DataFrame, *, per_position: int | None = None) -> DataFrame:
+    """Crop rectangles moved outward to even edges; unusable ones dropped.
 
-    ``lines`` also carries ``position, frame_w, frame_h``.  Keeping the first 64 is part of the measurement.
+    ``lines`` also carries ``position, frame_w, frame_h``.  ``per_position`` keeps the first so many of a position.
     """
     from pyspark.sql import Window as W
 
@@ -335,7 +330,8 @@ def parse_crop_samples(lines: DataFrame, *, per_position: int = 64) -> DataFrame
         & (F.col("__ex") <= F.col("frame_w")) & (F.col("__ey") <= F.col("frame_h")) & (F.col("__ex") - F.col("x") >= 64) & (F.col("__ey") - F.col("y") >= 64)
     )
     d = d.withColumn("w", F.col("__ex") - F.col("x")).withColumn("h", F.col("__ey") - F.col("y"))
-    d = d.withColumn("__r", F.row_number().over(W.partitionBy("file_id", "position").orderBy("n"))).where(F.col("__r") <= per_position)
+    if per_position is not None:
+        d = d.withColumn("__r", F.row_number().over(W.partitionBy("file_id", "position").orderBy("n"))).where(F.col("__r") <= per_position)
     return d.select("file_id", "position", "n", "x", "y", "w", "h", "frame_w", "frame_h")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reeltally.operators.jobs import clamp_progress
+from reeltally.operators.rates import every_window
 from reeltally.plans.blocks import KEYS
 
 
@@ -36,13 +37,12 @@ def late_counts(packets: DataFrame, *, t: str = "t_us", watermark_us: int, seen_
     return packets.where(F.col(t) < seen_us - watermark_us).agg(F.count(F.lit(1)).alias("late"))
 
 
-def fill_windows(updates: DataFrame, window_us: int, *, keys: Sequence[str] = KEYS, max_windows: int = 7200) -> DataFrame:
+def fill_windows(updates: DataFrame, window_us: int, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Final value per window from the written updates, zero-filled between first and last window."""
     keys = list(keys)
     final = updates.groupBy(*keys, "start_us").agg(F.max_by("packet_bytes", "batch").alias("packet_bytes"))
     span = final.groupBy(*keys).agg(F.min("start_us").alias("lo"), F.max("start_us").alias("hi"))
-    span = span.where((F.col("hi") - F.col("lo")) / window_us < max_windows)
-    spine = span.select(*keys, F.explode(F.expr(f"sequence(lo, hi, {window_us}L)")).alias("start_us"))
+    spine = every_window(span, keys, "lo", "hi", "start_us", window_us)
     d = spine.join(final, [*keys, "start_us"], "left")
     b = F.coalesce("packet_bytes", F.lit(0).cast("long"))
     return d.select(*keys, "start_us", b.alias("packet_bytes"), (b * 8.0 / F.lit(float(window_us))).alias("mbps"))

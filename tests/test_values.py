@@ -36,12 +36,14 @@ def test_unknown_end(spark):
     assert rates.windowed_rate(p, 1_000_000).count() == 2
 
 
-def test_too_many_windows(spark):
+def test_long_streams_keep_every_window(spark):
     far = lambda s: packets(spark, [(0, None, None, 1), (s * 1_000_000, None, None, 1)])
     assert rates.windowed_rate(far(7199), 1_000_000).count() == 7200
-    assert rates.windowed_rate(far(7200), 1_000_000).count() == 0
+    assert rates.windowed_rate(far(90_000), 1_000_000).count() == 90_001
+    summary, series = rates.bitrate_report(far(7200), 1_000_000, max_windows=7200)
+    assert one(summary)["reason"] == "too many windows" and series.count() == 7201
     summary, _ = rates.bitrate_report(far(7200), 1_000_000)
-    assert one(summary)["reason"] == "too many windows"
+    assert one(summary)["ok"] and one(summary)["windows"] == 7201
 
 
 def crops(spark, rects):
