@@ -71,6 +71,15 @@ def rational(text: ColumnOrName, sep: str = "/") -> Column:
     return F.when(good, F.struct(num.alias("num"), den.alias("den")))
 
 
+def reduced(rate: ColumnOrName) -> Column:
+    """A rational struct in lowest terms, by Euclid's rule; 92 steps are enough for 64 bits."""
+    r = _c(rate)
+    start = F.struct(r["num"].alias("a"), r["den"].alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
+    common = F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["a"]
+    return F.struct(F.call_function("div", r["num"], common).alias("num"), F.call_function("div", r["den"], common).alias("den"))
+
+
 def same_rate(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Two rational structs are equal by cross multiplication."""
     a, b = _c(a), _c(b)

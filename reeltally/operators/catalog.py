@@ -100,15 +100,15 @@ def duplicate_target_check(
     profiles: DataFrame, *, frames: str = "frames", unique: str = "unique", source: str = "source_rate", target: str = "target_rate"
 ) -> DataFrame:
     """Unique frames must equal the frame count the lower output rate needs, in exact integers."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    s, t = F.col(source), F.col(target)
-    den = (wide(s["num"]) * wide(t["den"])).cast("decimal(30,0)")
-    num = (wide(F.col(frames)) * s["den"].cast("decimal(9,0)") * t["num"].cast("decimal(9,0)")).cast("decimal(38,0)")
+    wide = lambda c: c.try_cast("decimal(12,0)")
+    s, t = X.reduced(source), X.reduced(target)
+    den = wide(s["num"]) * wide(t["den"])
+    num = (F.col(frames).try_cast("decimal(14,0)") * wide(s["den"]) * wide(t["num"])).cast("decimal(38,0)")
     half = F.call_function("div", den, F.lit(2).cast("decimal(1,0)"))
-    due = F.call_function("div", num + half, den).cast("long")
+    due = F.call_function("div", num + half, den).try_cast("bigint")
     lower = (wide(t["num"]) * wide(s["den"])) < (wide(s["num"]) * wide(t["den"]))
     d = profiles.withColumn("expected_unique", due)
-    return with_verdict(d, (~lower, "output rate is not lower"), (F.col(unique) != F.col("expected_unique"), "unique frames do not match the rate"))
+    return with_verdict(d, (lower.isNull() | due.isNull(), "rate out of range"), (~lower, "output rate is not lower"), (F.col(unique) != F.col("expected_unique"), "unique frames do not match the rate"))
 
 
 def padding_ratio(streams: DataFrame, *, frames: str = "frames", duration: str = "duration_s", rate: str = "avg_rate") -> DataFrame:
@@ -155,6 +155,8 @@ def _signature_text(column: Column, field: str) -> Column:
     c = column.cast("string")
     if field in ("codec_tag", "field_order", "sample_aspect_ratio", "chroma_location") or field.startswith("color_"):
         c = X.known_colour(c)
+    if field in ("sample_aspect_ratio", "frame_rate"):
+        c = F.when(c != "0/0", c)
     return F.when(c != "progressive", c) if field == "field_order" else c
 
 
@@ -172,7 +174,10 @@ def compare_stream_layout(
     The right side may carry extra tags.  A stream missing on one side gives one ``stream`` row.
     """
     on = [pair, position]
-    fields = [f for f in SIGNATURE_FIELDS if f in expected.columns and f in actual.columns and (colour or f not in COLOUR_BLIND)]
+    fields = [f for f in SIGNATURE_FIELDS if colour or f not in COLOUR_BLIND]
+    absent = [f for f in fields if f not in expected.columns or f not in actual.columns]
+    if absent:
+        raise ValueError(f"fields missing from a side: {', '.join(absent)}")
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         cols = [F.col(c).alias(f"{tag}_{c}") for c in (*fields, "disposition", "tags")]

@@ -56,7 +56,7 @@ def neighbours(
     """Adds ``prev_<c>`` and ``next_<c>`` from the adjacent rows of each key.
 
     ``dense=True`` relies on ordinals 0..n-1 without gaps, as every source writes
-    them, and raises at run time when a block has no predecessor row.  Pass
+    them, and raises at run time where a row has no row right before it.  Pass
     ``dense=False`` for any other unique order column.
     """
     keys = list(keys)
@@ -65,30 +65,24 @@ def neighbours(
     if dense:
         at = F.expr(f"pmod(`{order}`, {int(block_rows)})")
         copies = [F.array(F.col(_B))]
-        if prev:
-            copies.append(F.when(at == block_rows - 1, F.array(F.col(_B) + 1)).otherwise(F.array().cast("array<bigint>")))
+        # Also for ``next`` alone: only the row before tells that no row is missing.
+        copies.append(F.when(at == block_rows - 1, F.array(F.col(_B) + 1)).otherwise(F.array().cast("array<bigint>")))
         if next:
             copies.append(
                 F.when((at == 0) & (F.col(order) > 0), F.array(F.col(_B) - 1)).otherwise(F.array().cast("array<bigint>"))
             )
         d = df.withColumn(_B, ordinal_block(order, block_rows)).withColumn("__home", F.col(_B))
         d = d.withColumn(_B, F.explode(F.concat(*copies)))
-        out = d
-        if prev:
-            out = out.withColumn("__seen", F.lag(order).over(w))
+        out = d.withColumn("__seen", F.lag(order).over(w))
         for c in prev:
             out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
         for c in next:
             out = out.withColumn(f"next_{c}", F.lead(c).over(w))
         out = out.where(F.col(_B) == F.col("__home"))
-        if prev:
-            gap = (F.col(order) > 0) & F.col("__seen").isNull()
-            first = prev[0]
-            out = out.withColumn(
-                f"prev_{first}",
-                F.when(gap, F.raise_error(F.lit("ordinals are not dense; use dense=False"))).otherwise(F.col(f"prev_{first}")),
-            ).drop("__seen")
-        return out.drop(_B, "__home")
+        gap = (F.col(order) > 0) & ~F.coalesce(F.col("__seen") == F.col(order) - 1, F.lit(False))
+        first = f"prev_{prev[0]}" if prev else f"next_{next[0]}"
+        out = out.withColumn(first, F.when(gap, F.raise_error(F.lit("ordinals are not dense; use dense=False"))).otherwise(F.col(first)))
+        return out.drop(_B, "__home", "__seen")
 
     d = df.withColumn(_B, blk)
     wb = W.partitionBy(*keys).orderBy(_B)

@@ -383,9 +383,9 @@ def scan_inventory(spark, sf):
     return docs.scan_inventory(_listing(spark, sf))[0]
 
 
-@query("scan_inventory_summary", f"WITH {LISTING} SELECT count(*) AS entries, count(*) - (SELECT count(*) FROM me) AS skipped, least((SELECT count(*) FROM me), 100) AS media, (SELECT count(*) FROM me) > 100 AS truncated FROM li")
+@query("scan_inventory_summary", f"WITH {LISTING} SELECT count(*) AS entries, count(*) - (SELECT count(*) FROM me) AS skipped, (SELECT count(*) FROM me) AS media, false AS truncated FROM li")
 def scan_inventory_summary(spark, sf):
-    return docs.scan_inventory(_listing(spark, sf), 100)[1]
+    return docs.scan_inventory(_listing(spark, sf))[1]
 
 
 @query("file_verdict", """

@@ -324,9 +324,9 @@ def scan_inventory(listing: DataFrame, max_media: int | None = None, *, fold_cas
     link = F.coalesce(F.col("is_link"), F.lit(False)) if "is_link" in listing.columns else F.lit(False)
     key = F.lower("path") if fold_case else F.col("path")
     d = listing.withColumn("path_key", key).withColumn("__media", ext.isin(*X.MEDIA_EXTENSIONS) & ~link)
-    # The key is unique after this aggregate, which combines repeats before the shuffle.
+    # One whole entry of each path, the first by its columns; repeats are combined before the shuffle.
     keep = [c for c in listing.columns if c not in ("path", "is_link")]
-    media = d.where("__media").groupBy("path_key").agg(F.min("path").alias("path"), *[F.min(c).alias(c) for c in keep])
+    media = d.where("__media").groupBy("path_key").agg(F.min(F.struct("path", *keep)).alias("m")).select("path_key", "m.*")
     # Both counts meet in one more aggregate rather than in a join of single rows.
     none = F.lit(0).cast("long")
     counts = d.agg(F.count(F.lit(1)).alias("entries"), none.alias("found"))

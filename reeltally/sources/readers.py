@@ -107,6 +107,12 @@ def read_chunk_progress(spark: SparkSession, path: str, context: DataFrame, *, g
 def file_verdict(rows: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Per file: accepted rows, rejected records and the first bad one; any rejected record fails the file."""
     good = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows"))
+    # Quarantined documents have a path and no record number.
+    if "file_id" not in quarantine.columns:
+        quarantine = quarantine.withColumn("file_id", X.path_id("path"))
+    if "n" not in quarantine.columns:
+        quarantine = quarantine.withColumn("n", F.lit(0).cast("long"))
+    quarantine = quarantine.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     bad = quarantine.groupBy("file_id").agg(F.count(F.lit(1)).alias("rejected"), F.min("n").alias("first_bad"), F.min_by("reason", "n").alias("reason"))
     d = good.join(bad, "file_id", "full").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("rows", "rejected")})
     return d.withColumn("ok", F.col("rejected") == 0)

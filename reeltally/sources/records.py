@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reeltally.functions import exprs as X
-from reeltally.plans.blocks import attach, numbered
+from reeltally.plans.blocks import attach, numbered, running
 from reeltally.plans.verdicts import reason, with_verdict
 from reeltally.sources.lines import judged, read_lines, repeated, split_quarantine, unexpected, with_fields, with_file_id
 
@@ -225,15 +225,19 @@ def parse_frame_hashes(lines: DataFrame, *, strict: bool = False) -> tuple[DataF
     head = d.where(F.col("__v").startswith("#"))
     tb = r"^#tb\s+([0-9]+):\s*([0-9]+)\s*/\s*([0-9]+)"
     bases = head.where(F.col("__v").rlike(tb)).select(
-        "path", F.regexp_extract("__v", tb, 1).try_cast("bigint").alias("stream_index"), F.col("n").alias("__tb_n"),
+        "path", F.regexp_extract("__v", tb, 1).try_cast("bigint").alias("stream_index"), "n", F.col("n").alias("__tb_n"),
         F.regexp_extract("__v", tb, 2).try_cast("bigint").alias("num"), F.regexp_extract("__v", tb, 3).try_cast("bigint").alias("den"),
-    ).groupBy("path", "stream_index").agg(F.min("__tb_n").alias("__tb_n"), F.first("num").alias("num"), F.first("den").alias("den"))
+    )
     marks = head.groupBy("path").agg(
         F.min(F.when(F.col("__v") == HASH_HEADER, F.col("n"))).alias("__hash_n"), F.min(F.when(F.col("__v") == COLUMN_HEADER, F.col("n"))).alias("__cols_n")
     )
     part = lambda i: X.strip(F.get(F.split("__v", ","), F.lit(i)))
     body = d.where(~F.col("__v").startswith("#")).withColumn("stream_index", X.unsigned(part(0)))
-    body = attach(attach(body, bases, ["path", "stream_index"], spread="n"), marks, ["path"], spread="n")
+    # The header that counts is the last one above the record: a running maximum of header positions.
+    lines_and_heads = body.unionByName(bases.select("path", "stream_index", "n", "__tb_n"), allowMissingColumns=True)
+    body = running(lines_and_heads, keys=["path", "stream_index"], order=["n"], maxes={"__above": "__tb_n"}).where("__tb_n is null")
+    body = body.drop("__tb_n").withColumnRenamed("__above", "__tb_n")
+    body = attach(attach(body, bases.drop("n"), ["path", "stream_index", "__tb_n"], spread="n"), marks, ["path"], spread="n")
     ticks = lambda c: F.when(c != "NOPTS", X.signed(c))
     dts, pts, dur, size, digest = ticks(part(1)), ticks(part(2)), ticks(part(3)), X.unsigned(part(4)), part(5)
     broken = lambda c, v: (c != "NOPTS") & v.isNull()
@@ -305,10 +309,13 @@ def parse_progress(lines: DataFrame, *, text: str = "value") -> DataFrame:
 
 
 def read_tool_logs(spark: SparkSession, path: str, *, glob: str = "*.log") -> tuple[DataFrame, DataFrame]:
-    """Log lines of many jobs and the progress records among them; the job is the file's stem."""
+    """Log lines of many jobs and the progress records among them; the job is the file's stem.
+
+    Logs in different folders may share a stem; ``file_id`` tells them apart.
+    """
     lines = read_lines(spark, path, glob=glob, skip_blank=False)
     job = F.regexp_extract("path", r"([^/]+?)(?:\.[^/]*)?$", 1)
-    d = lines.select(job.alias("job_id"), "n", F.col("value").alias("text"))
+    d = lines.select(job.alias("job_id"), X.path_id("path").alias("file_id"), "n", F.col("value").alias("text"))
     return d, parse_progress(d, text="text")
 
 

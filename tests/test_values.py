@@ -269,3 +269,61 @@ def test_shared_folder_is_required_off_one_machine():
     assert base_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "s3a://b/c/"})) == "s3a://b/c"
     local = Session(**{"spark.master": "local[4]"})
     assert base_dir(local) == base_dir(local)
+
+
+def test_last_header_above_a_record_counts(spark):
+    from reeltally.sources import records as rec
+
+    text = ["#tb 0: 1/24", "0, 0, 0, 1, 10, a", "#tb 0: 1/48", "0, 48, 48, 1, 10, b", "#tb 1: 1/10", "0, 24, 24, 1, 10, c"]
+    d = spark.createDataFrame([("f", "f", i, x) for i, x in enumerate(text)], "file_id string, path string, n long, value string")
+    rows, _ = rec.parse_frame_hashes(d)
+    assert [r.pts_us for r in rows.orderBy("ordinal").collect()] == [0, 1_000_000, 500_000]
+
+
+def test_inventory_keeps_whole_entries(spark):
+    from reeltally.sources.documents import scan_inventory
+
+    d = spark.createDataFrame([("/m/A.mkv", 10, 900), ("/m/a.mkv", 99, 5)], "path string, size_bytes long, modified_us long")
+    rows, _ = scan_inventory(d, fold_case=True)
+    assert [tuple(r) for r in rows.collect()] == [("/m/A.mkv", 10, 900)]
+
+
+def test_next_neighbour_notices_a_gap(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from reeltally.plans.blocks import neighbours
+
+    d = lambda ids: spark.createDataFrame([(1, 0, i) for i in ids], "file_id long, stream_index long, ordinal long")
+    with pytest.raises(PySparkException):
+        neighbours(d([0, 1, 2, 4, 5]), next=["ordinal"], block_rows=3).collect()
+    got = neighbours(d(range(7)), next=["ordinal"], block_rows=3).orderBy("ordinal").collect()
+    assert [r.next_ordinal for r in got] == [1, 2, 3, 4, 5, 6, None]
+
+
+def test_verdict_of_document_sources(spark):
+    from reeltally.sources.documents import parse_probe_documents
+    from reeltally.sources.readers import file_verdict
+
+    d = spark.createDataFrame([("/a.json", "not json")], "path string, value string")
+    *frames, bad = parse_probe_documents(d)
+    assert [(r.rows, r.rejected, r.ok) for r in file_verdict(frames[0], bad).collect()] == [(0, 1, False)]
+
+
+def test_wide_rates_get_a_verdict(spark):
+    from reeltally.operators.catalog import duplicate_target_check
+
+    rate = "struct<num:long,den:long>"
+    rows = [(1, 1000, 400, (60_000_000_000, 1_001_000_000), (24_000_000_000, 1_001_000_000)), (2, 10, 4, (9_000_000_000_000_000_001, 7), (1, 2))]
+    d = spark.createDataFrame(rows, f"file_id long, frames long, unique long, source_rate {rate}, target_rate {rate}")
+    assert [(r.expected_unique, r.reason) for r in duplicate_target_check(d).orderBy("file_id").collect()] == [(400, None), (None, "rate out of range")]
+
+
+def test_layout_needs_every_field(spark):
+    import pytest
+
+    from reeltally.operators.catalog import compare_stream_layout
+
+    d = spark.createDataFrame([(1, 0, "video")], "pair_id long, position long, kind string")
+    with pytest.raises(ValueError):
+        compare_stream_layout(d, d)
