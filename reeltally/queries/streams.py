@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reeltally.operators import thinning
+from reeltally.plans.blocks import numbered
 from reeltally.queries import stand_ins as v
 from reeltally.queries.clocks import WINDOW
 from reeltally.queries.jobs import STATE, log_lines
@@ -40,14 +41,32 @@ def stream_job_state(spark, sf):
     return native.newest_job_state(run_available(native.stream_job_state(e)))
 
 
-@query("progress_estimate")
+@query("progress_estimate", """
+WITH o AS (SELECT user_id AS job_id, event_id AS seq, CASE WHEN user_id % 7 = 0 AND event_id % 500 >= 250 THEN 'b' ELSE 'a' END AS phase,
+  (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 10000000 AS t, event_id / 100e0 AS p, CASE WHEN user_id % 3 <> 0 THEN 120e0 END AS duration FROM events),
+x AS (SELECT *, row_number() OVER w AS r, coalesce(lag(phase) OVER w <> phase OR lag(p) OVER w > p, true) AS broken, coalesce(p > lag(p) OVER w, true) AS up
+  FROM o WINDOW w AS (PARTITION BY job_id ORDER BY t, seq)),
+a AS (SELECT *, max(CASE WHEN broken OR up THEN t END) OVER (PARTITION BY job_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+g AS (SELECT *, sum(CASE WHEN broken OR (up AND t - before >= 15000) THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY r) AS seg FROM a),
+m AS (SELECT *, row_number() OVER (PARTITION BY job_id, seg ORDER BY r) = 1 AS head FROM g),
+l AS (SELECT *, max(CASE WHEN head OR up THEN t END) OVER (PARTITION BY job_id, seg ORDER BY r) AS t_last,
+  lead(t // 1000) OVER (PARTITION BY job_id, seg, head OR up ORDER BY r) AS next_second FROM m),
+s AS (SELECT job_id, seg, t, p, head FROM l WHERE head OR (up AND next_second IS DISTINCT FROM t // 1000)),
+b AS (SELECT l.job_id, l.r, l.t, l.p, l.t_last, l.duration, coalesce(max(s.t) FILTER (s.t <= l.t - 30000), min(s.t)) AS t0 FROM l JOIN s ON s.job_id = l.job_id AND s.seg = l.seg AND s.t <= l.t
+  GROUP BY ALL),
+e AS (SELECT b.*, coalesce(l.seg, 0) AS seg FROM b JOIN l ON l.job_id = b.job_id AND l.r = b.r),
+v AS (SELECT e.job_id, e.t, e.p, e.t_last, e.duration, e.t0, (SELECT min(s.p) FROM s WHERE s.job_id = e.job_id AND s.seg = e.seg AND s.t = e.t0) AS p0 FROM e),
+k AS (SELECT *, CASE WHEN t - t_last >= 15000 THEN 'waiting' WHEN t - t0 >= 5000 AND p > p0 THEN 'estimate' END AS kind FROM v)
+SELECT job_id, t AS t_ms, kind, round(CASE WHEN kind = 'estimate' THEN (p - p0) / ((t - t0) / 1000e0) END, 6) AS speed,
+  round(CASE WHEN kind = 'estimate' AND duration > p THEN (duration - p) / ((p - p0) / ((t - t0) / 1000e0)) END, 6) AS remaining_s FROM k""")
 def progress_estimate(spark, sf):
     """Observations every few seconds: event time runs ten thousand times slower."""
     i = F.col("event_id")
     o = _events(spark, sf).select(
         F.col("user_id").alias("job_id"), F.when(F.col("user_id") % 7 == 0, F.when(i % 500 < 250, "a").otherwise("b")).otherwise("a").alias("phase"), i.alias("seq"),
         F.expr("t_us div 10000000").alias("t_ms"), (i / 100.0).alias("progress"), F.when(F.col("user_id") % 3 != 0, 120.0).alias("duration"))
-    return run_available(stateful.progress_estimate(o, timers=False)).drop("batch")
+    out = run_available(stateful.progress_estimate(o, timers=False)).drop("batch")
+    return out.withColumns({"speed": F.round("speed", 6), "remaining_s": F.round("remaining_s", 6)})
 
 
 def _redraws(lines):
@@ -55,9 +74,7 @@ def _redraws(lines):
     return lines.select("job_id", "n", F.expr("t_us div 10000000").alias("t_ms"), (F.col("event_id") % 8 != 0).alias("redraw"), F.concat(F.lit("frame "), (F.col("event_id") % 3).cast("string")).alias("text"))
 
 
-
-
-@query("thin_progress_log", """
+@query("thin_log", """
 WITH RECURSIVE ev2 AS (SELECT user_id AS job_id, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 10000000 AS t_ms, event_id % 8 <> 0 AS redraw, 'frame ' || (event_id % 3)::VARCHAR AS text,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
 rd AS (SELECT r.job_id, r.n, min(x.n) AS follow FROM ev2 r LEFT JOIN ev2 x ON x.job_id = r.job_id AND x.redraw AND x.t_ms >= r.t_ms + 10000 WHERE r.redraw GROUP BY r.job_id, r.n),
@@ -65,14 +82,24 @@ due AS (SELECT job_id, min(n) AS n FROM rd GROUP BY job_id UNION ALL SELECT rd.j
 m AS (SELECT e.*, NOT redraw OR d.n IS NOT NULL AS direct FROM ev2 e LEFT JOIN due d ON d.job_id = e.job_id AND d.n = e.n),
 l AS (SELECT *, lead(direct) OVER w AS nd, lead(text) OVER w AS nt FROM m WINDOW w AS (PARTITION BY job_id ORDER BY n))
 SELECT job_id, n, t_ms, text FROM l WHERE direct OR nd IS NULL OR (nd AND text <> nt)""")
-def thin_progress_log(spark, sf):
+def thin_log(spark, sf):
     return thinning.thin_log(_redraws(log_lines(spark, sf)), block_ms=120_000)
 
 
-@query("stream_thin_log")
-def stream_thin_log(spark, sf):
+@query("thin_progress_log")
+def thin_progress_log(spark, sf):
+    """The stream; a log's last line is known from the stored events."""
+    ends = v.table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("event_id").alias("end"))
     lines = _redraws(_events(spark, sf).withColumn("job_id", F.col("user_id")).withColumn("n", F.col("event_id")))
-    return run_available(stateful.thin_progress_log(lines)).drop("batch")
+    lines = lines.join(ends, "job_id").withColumn("last", F.col("n") == F.col("end"))
+    out = run_available(stateful.thin_progress_log(lines)).drop("batch")
+    # Positions in the table become positions in the job's log, as the batch form has them.
+    place = v.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("n"))
+    place = numbered(place, keys=["job_id"], order=["n"], name="at")
+    return out.join(place, ["job_id", "n"]).select("job_id", F.col("at").alias("n"), "t_ms", "text")
+
+
+ORACLES["thin_progress_log"] = ORACLES["thin_log"]
 
 
 @query("stream_clock_check", """

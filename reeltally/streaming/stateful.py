@@ -29,60 +29,54 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 # Progress estimates ---------------------------------------------------------
 
-
-def advance(samples: list[tuple[int, float]], t: int, p: float) -> list[tuple[int, float]]:
-    """Samples after one observation of the same phase; a restart keeps only the observation."""
-    if not samples or t < samples[-1][0] or p < samples[-1][1]:
-        return [(t, p)]
-    last_t, last_p = samples[-1]
-    if p == last_p:
-        return samples
-    if t - last_t >= STALE_MS:
-        return [(t, p)]
-    same_second = len(samples) > 1 and t // 1000 == last_t // 1000
-    return trimmed((samples[:-1] if same_second else samples) + [(t, p)], t)
-
-
-def trimmed(samples: list[tuple[int, float]], now: int) -> list[tuple[int, float]]:
-    """Drops samples that a later one at or before the window edge makes unnecessary."""
-    edge = now - WINDOW_MS
-    start = 0
-    while len(samples) - start > 2 and samples[start + 1][0] <= edge:
-        start += 1
-    return samples[start:]
-
-
-def estimate(samples: list[tuple[int, float]], now: int, duration: float | None) -> tuple[str | None, float | None, float | None]:
-    """``(kind, speed, remaining)`` at ``now``; kind is null until five seconds of progress were seen."""
-    if not samples:
-        return None, None, None
-    t, p = samples[-1]
-    if now - t >= STALE_MS:
-        return "waiting", None, None
-    t0, p0 = trimmed(samples, now)[0]
-    if now - t0 < MIN_MS or p <= p0:
-        return None, None, None
-    speed = (p - p0) / ((now - t0) / 1000.0)
-    left = (duration - p) / speed if duration is not None and duration == duration and duration > p else None
-    return "estimate", speed, left
-
-
 ESTIMATE_SCHEMA = "job_id bigint, t_ms bigint, kind string, speed double, remaining_s double"
 
 
-def estimate_rows(job, rows: pd.DataFrame, samples, phase):
-    """Estimates after each observation, with the state to carry on."""
-    out = []
-    for r in rows.itertuples(index=False):
-        usable = isinstance(r.phase, str) and r.progress == r.progress and r.progress is not None and 0 <= r.progress < float("inf")
-        if not usable:
-            samples, phase = [], None
-        else:
-            samples = advance(samples if r.phase == phase else [], int(r.t_ms), float(r.progress))
-            phase = r.phase
-        duration = None if pd.isna(r.duration) else float(r.duration)
-        out.append((job, int(r.t_ms), *estimate(samples, int(r.t_ms), duration)))
-    return out, samples, phase
+def estimates(rows: pd.DataFrame, ring: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Estimates of one job's ordered observations (``t_ms, phase, progress, duration``), and the samples to carry on.
+
+    Observations fall into segments: another phase, a step back in time or progress, an unusable observation or an
+    advance after fifteen seconds without one begins the next.  A segment's samples are its first advance and the last of every
+    second.  The speed is measured from the last sample at least thirty seconds old, or else the first.  ``ring`` holds the
+    samples (``t_ms, phase, progress``) that the last observation could be measured from: at most one a second.
+    """
+    old = len(ring)
+    columns = ("t_ms", "phase", "progress")
+    d = pd.DataFrame({c: [*ring[c], *rows[c]] for c in columns} | {"duration": [None] * old + [*rows["duration"]], "old": [True] * old + [False] * len(rows)})
+    t, p, fresh = d["t_ms"].astype("int64"), d["progress"].astype("float64"), ~d["old"].astype(bool)
+    usable = d["phase"].map(lambda x: isinstance(x, str)) & (p >= 0) & (p < float("inf"))
+    broken = ~usable | ~usable.shift(fill_value=False) | (d["phase"] != d["phase"].shift()) | (p < p.shift()) | (t < t.shift())
+    broken &= fresh | (d.index == 0)
+    advance = broken | (p > p.shift()) | ~fresh
+    since = t - t.where(advance).ffill().shift()
+    starts = broken | (fresh & advance & (since >= STALE_MS))
+    d = pd.DataFrame({"t": t, "p": p, "phase": d["phase"], "segment": starts.cumsum(), "first": starts, "usable": usable, "duration": d["duration"]})
+
+    samples = d[advance & usable]
+    second = samples["t"] // 1000
+    later = (samples["segment"].shift(-1) == samples["segment"]) & (second.shift(-1) == second)
+    samples = samples[samples["first"] | ~later]
+    kept = samples[["segment", "t", "p"]].rename(columns={"t": "t0", "p": "p0"})
+
+    d["t_last"] = d["t"].where(advance).ffill().astype("int64")
+    d["edge"] = d["t"] - WINDOW_MS
+    d["row"] = range(len(d))
+    at_edge = pd.merge_asof(d.sort_values("edge", kind="stable"), kept.sort_values("t0", kind="stable"), left_on="edge", right_on="t0", by="segment").sort_values("row")
+    d[["t0", "p0"]] = at_edge[["t0", "p0"]].to_numpy()
+    begin = kept.groupby("segment").first().reindex(d["segment"])
+    d["t0"], d["p0"] = d["t0"].fillna(pd.Series(begin["t0"].to_numpy())), d["p0"].fillna(pd.Series(begin["p0"].to_numpy()))
+
+    waiting = d["usable"] & (d["t"] - d["t_last"] >= STALE_MS)
+    known = d["usable"] & ~waiting & (d["t"] - d["t0"] >= MIN_MS) & (d["p"] > d["p0"])
+    speed = ((d["p"] - d["p0"]) / ((d["t"] - d["t0"]) / 1000.0)).where(known)
+    duration = pd.to_numeric(d["duration"])
+    kind = pd.Series(None, index=d.index, dtype=object).mask(waiting, "waiting").mask(known, "estimate")
+    out = pd.DataFrame({"t_ms": d["t"], "kind": kind, "speed": speed, "remaining_s": ((duration - d["p"]) / speed).where(duration > d["p"])})
+
+    carry = samples.iloc[:0]
+    if len(d) and d["usable"].iloc[-1]:
+        carry = samples[(samples["segment"] == d["segment"].iloc[-1]) & (samples["t"] >= d["t0"].iloc[-1])]
+    return out.iloc[old:], carry[["t", "phase", "p"]].set_axis(["t_ms", "phase", "progress"], axis=1)
 
 
 class ProgressProcessor(StatefulProcessor):
@@ -95,14 +89,17 @@ class ProgressProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         s = self.state.get() if self.state.exists() else (None, [], [])
-        samples = list(zip([int(x) for x in s[1]], [float(x) for x in s[2]]))
-        out, samples, phase = estimate_rows(key[0], _ordered(rows, ["t_ms", "seq"]), samples, s[0])
-        self.state.update((phase, [a for a, _ in samples], [b for _, b in samples]))
+        ring = pd.DataFrame({"t_ms": list(s[1]), "phase": [s[0]] * len(s[1]), "progress": list(s[2])})
+        seen = _ordered(rows, ["t_ms", "seq"])[["t_ms", "phase", "progress", "duration"]]
+        out, ring = estimates(seen, ring)
+        phase = ring["phase"].iloc[-1] if len(ring) else None
+        self.state.update((phase, [int(x) for x in ring["t_ms"]], [float(x) for x in ring["progress"]]))
         if self.timers:
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + STALE_MS)
-        yield pd.DataFrame(out, columns=["job_id", "t_ms", "kind", "speed", "remaining_s"])
+        out.insert(0, "job_id", key[0])
+        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         s = self.state.get() if self.state.exists() else None
@@ -158,7 +155,11 @@ class ThinProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         s = self.state.get() if self.state.exists() else (None, None, None, None)
         held = None if s[1] is None else (int(s[1]), int(s[2]), s[3])
-        out, logged, held = thin_rows(_ordered(rows, ["n"]), None if s[0] is None else int(s[0]), held)
+        lines = _ordered(rows, ["n"])
+        out, logged, held = thin_rows(lines, None if s[0] is None else int(s[0]), held)
+        if held is not None and lines["last"].any():
+            # The log has ended: nothing can supersede the line that is held.
+            out, held = [*out, held], None
         self.state.update((logged, *(held or (None, None, None))))
         yield pd.DataFrame([(key[0], *line) for line in out], columns=["job_id", "n", "t_ms", "text"])
 
@@ -169,11 +170,13 @@ class ThinProcessor(StatefulProcessor):
 def thin_progress_log(lines: DataFrame) -> DataFrame:
     """Job log lines with at most one progress redraw per ten seconds plus the last before other output.
 
-    ``lines``: ``job_id, n, t_ms, redraw, text``.  A redraw still held back when the stream pauses waits for the
-    next line; the batch form :func:`reeltally.operators.thinning.thin_log` also releases the last one.
+    ``lines``: ``job_id, n, t_ms, redraw, text`` and, if known, ``last``: true on a log's last line.  A redraw still held
+    back when the stream pauses waits for the next line; that mark releases it.
     """
     use_rocksdb(lines.sparkSession)
-    return lines.select("job_id", "n", "t_ms", "redraw", "text").groupBy("job_id").transformWithStateInPandas(
+    if "last" not in lines.columns:
+        lines = lines.withColumn("last", F.lit(False))
+    return lines.select("job_id", "n", "t_ms", "redraw", "text", "last").groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=ThinProcessor(), outputStructType=THIN_SCHEMA, outputMode="Update", timeMode="None"
     )
 

@@ -86,6 +86,9 @@ def test_stream_thinning(spark, tmp_path):
     got = sorted((r.job_id, r.n, r.t_ms, r.text) for r in out.collect())
     want = reference_thin(data)
     assert set(got) <= set(want) and len(want) - len(got) <= 2
+    ended = d.withColumn("last", F.col("n") == 149)
+    out = run_available(stateful.thin_progress_log(arriving(spark, ended, str(tmp_path / "ended"))))
+    assert sorted((r.job_id, r.n, r.t_ms, r.text) for r in out.collect()) == want
 
 
 def test_estimates(spark, tmp_path):
@@ -98,14 +101,28 @@ def test_estimates(spark, tmp_path):
     assert got[5000] == ("estimate", 2.0, 45.0) and got[11000] == ("estimate", 2.0, 39.0)
 
 
-def test_estimate_rules():
-    s = stateful.advance([], 0, 0.0)
-    assert stateful.estimate(s, 14_999, 10.0)[0] is None and stateful.estimate(s, 15_000, 10.0)[0] == "waiting"
-    s = stateful.advance(s, 6000, 3.0)
-    assert stateful.estimate(s, 6000, None) == ("estimate", 0.5, None)
-    assert stateful.advance(s, 6500, 2.0) == [(6500, 2.0)]
-    assert stateful.advance(s, 21_000, 4.0) == [(21_000, 4.0)]
-    assert stateful.advance(s, 6900, 4.0) == [(0, 0.0), (6900, 4.0)]
-    for t in range(7, 60):
-        s = stateful.advance(s, t * 1000, float(t))
-    assert s[0][0] == 29_000 and s[1][0] == 30_000
+def estimated(spark, tmp_path, seen, each=10**6):
+    """Kinds and speeds by time, with ``each`` observations to a micro-batch."""
+    rows = [(1, phase, i, t, p, 100.0, i // each) for i, (phase, t, p) in enumerate(seen)]
+    d = spark.createDataFrame(rows, "job_id long, phase string, seq long, t_ms long, progress double, duration double, arrival long")
+    out = run_available(stateful.progress_estimate(arriving(spark, d, str(tmp_path / f"in{each}"), files=-(-len(seen) // each)), timers=False))
+    return [(r.t_ms, r.kind, r.speed) for r in out.orderBy("t_ms").collect()]
+
+
+def test_estimate_rules(spark, tmp_path):
+    seen = [("a", 0, 0.0), ("a", 4_999, 2.0), ("a", 6_000, 3.0), ("a", 14_000, 3.0), ("a", 20_999, 3.0), ("a", 21_000, 4.0), ("a", 27_000, 10.0),
+            ("a", 28_000, 9.0), ("a", 34_000, 15.0), ("b", 35_000, 20.0), ("b", 40_000, 25.0), (None, 41_000, 26.0), ("b", 42_000, 27.0), ("b", 47_000, -1.0), ("b", 48_000, 40.0)]
+    want = [(0, None, None), (4_999, None, None), (6_000, "estimate", 0.5), (14_000, "estimate", 3 / 14), (20_999, "estimate", 3 / 20.999), (21_000, None, None), (27_000, "estimate", 1.0),
+            (28_000, None, None), (34_000, "estimate", 1.0), (35_000, None, None), (40_000, "estimate", 1.0), (41_000, None, None), (42_000, None, None), (47_000, None, None), (48_000, None, None)]
+    for each in (10**6, 4):
+        assert estimated(spark, tmp_path, seen, each) == want, each
+
+
+def test_silence_is_waiting_and_the_window_moves(spark, tmp_path):
+    assert estimated(spark, tmp_path, [("a", 0, 0.0), ("a", 14_999, 0.0), ("a", 15_000, 0.0)])[1:] == [(14_999, None, None), (15_000, "waiting", None)]
+    quick = [("a", t * 500, 0.25 * t if t < 80 else 20.0 + (t - 80) * 1.0) for t in range(160)]
+    for each in (31,):
+        got = estimated(spark, tmp_path, quick, each)
+        assert got[-1][1] == "estimate" and got[-1][0] == 79_500
+        # From the last sample at or before 49.5 s: that of 49.5 s itself.
+        assert got[-1][2] == (99.0 - 39.0) / 30.0
