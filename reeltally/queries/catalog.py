@@ -261,7 +261,8 @@ SELECT file_id, any_value(o_totalprice) AS container_s, coalesce(max(duration_s)
 UNION ALL SELECT file_id, o_totalprice, CASE WHEN kind = 'subtitle' AND file_id % 2 = 0 THEN coalesce(duration_s, o_totalprice) END FROM st WHERE file_id % 3 = 0 AND stream_index = 2""")
 def required_duration(spark, sf):
     k = F.col("file_id")
-    s = streams(spark, sf).where((k % 3 != 0) | (F.col("stream_index") == 2)).withColumn("converted_subtitle", k % 2 == 1)
+    kind = F.when((k % 3 == 0) & (F.col("stream_index") < 2), "attachment").otherwise(F.col("kind"))
+    s = streams(spark, sf).withColumn("kind", kind).withColumn("converted_subtitle", k % 2 == 1)
     f = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_totalprice").alias("duration_s"))
     return catalog.required_duration(s, f)
 

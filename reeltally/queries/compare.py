@@ -104,7 +104,7 @@ def packet_fidelity_diff(spark, sf):
 
 @query("locate_subsequence", """
 WITH t AS (SELECT file_id, stream_index, ordinal - (40 + file_id) AS n, pts_us - 5000000 AS p, dts_us - 5000000 AS d, duration_us AS u,
-  size + CASE WHEN file_id = 7 AND ordinal = 90 THEN 1 ELSE 0 END AS z, hash AS h FROM packets WHERE ordinal >= 40 + file_id AND ordinal < 140),
+  size + CASE WHEN file_id = 7 AND ordinal = 90 THEN 1 ELSE 0 END AS z, hash AS h FROM packets WHERE ordinal >= 40 + file_id),
 h AS (SELECT * FROM t WHERE n = 0),
 m AS (SELECT s.file_id, s.stream_index, min(s.ordinal) AS start FROM packets s JOIN h ON s.file_id = h.file_id AND s.stream_index = h.stream_index
   AND s.hash = h.h AND s.size = h.z AND coalesce(abs(s.pts_us - 5000000 - h.p) <= 2000, s.pts_us IS NULL AND h.p IS NULL)
@@ -120,7 +120,7 @@ SELECT file_id, stream_index, count(*) AS packets, min(start) AS start, min(n) F
 def locate_subsequence(spark, sf):
     s = v.packets(spark, sf)
     o, f = F.col("ordinal"), F.col("file_id")
-    t = s.where((o >= 40 + f) & (o < 140)).select(
+    t = s.where(o >= 40 + f).select(
         "file_id", "stream_index", (o - (40 + f)).alias("ordinal"), (F.col("pts_us") - 5_000_000).alias("pts_us"),
         (F.col("dts_us") - 5_000_000).alias("dts_us"), "duration_us",
         (F.col("size") + F.when((f == 7) & (o == 90), 1).otherwise(0)).alias("size"), "hash")

@@ -22,8 +22,9 @@ def cue_rows(spark, sf):
 
 
 def edits(spark, sf):
-    return v.table(spark, sf, "conversations").select("conv_id").distinct().select(
-        F.col("conv_id").alias("file_id"), F.explode(F.expr("array(0L, 1L)")).alias("edit_id")).select(
+    """Overlapping edits of some 23 s, every 9 s to each conversation's end."""
+    return v.table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).select(
+        F.col("conv_id").alias("file_id"), F.explode(F.expr("sequence(0L, last)")).alias("edit_id")).select(
         "file_id", "edit_id", (F.col("edit_id") * 9000 + 1000 + 10 * (F.col("file_id") % 11)).alias("from_ms"),
         (F.col("edit_id") * 9000 + 24000 + F.col("file_id") % 13).alias("to_ms"))
 
@@ -32,8 +33,8 @@ CUES = """
 cues AS (SELECT conv_id AS file_id, turn AS n, CASE conv_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'webvtt' ELSE 'ass' END AS format,
   turn * 10000 + conv_id % 7 AS start_ms, turn * 10000 + conv_id % 7 + 2000 + 1000 * (length(text) % 7) AS end_ms,
   CASE WHEN turn % 5 = 4 THEN '{\\fad(1)}' ELSE '' END || regexp_replace(text, '\\n+', ' ', 'g') AS body FROM conversations),
-edits AS (SELECT DISTINCT conv_id AS file_id, edit_id, edit_id * 9000 + 1000 + 10 * (conv_id % 11) AS from_ms, edit_id * 9000 + 24000 + conv_id % 13 AS to_ms
-  FROM conversations, (SELECT CAST(unnest([0, 1]) AS BIGINT) AS edit_id))
+spans AS (SELECT conv_id, unnest(generate_series(0, max(turn))) AS edit_id FROM conversations GROUP BY conv_id),
+edits AS (SELECT conv_id AS file_id, edit_id, edit_id * 9000 + 1000 + 10 * (conv_id % 11) AS from_ms, edit_id * 9000 + 24000 + conv_id % 13 AS to_ms FROM spans)
 """
 
 CLIPPED = f"""{CUES},
@@ -67,7 +68,8 @@ def shift_cues(spark, sf):
 
 CHAPTERS = """
 chapters AS (SELECT file_id, ordinal AS position, t_us * 24 AS start_us, t_us * 24 + 900000 + (ordinal % 5) * 50000 AS end_us FROM frames),
-cuts AS (SELECT DISTINCT file_id, CAST(k AS BIGINT) AS edit_id, k * 20000000 + 333333 AS from_us, k * 20000000 + 12000000 + file_id AS to_us FROM frames, range(8) t(k))
+ks AS (SELECT file_id, unnest(generate_series(0, max(t_us) * 24 // 20000000)) AS k FROM frames GROUP BY file_id),
+cuts AS (SELECT file_id, CAST(k AS BIGINT) AS edit_id, k * 20000000 + 333333 AS from_us, k * 20000000 + 12000000 + file_id AS to_us FROM ks)
 """
 
 
@@ -75,8 +77,8 @@ def _chapters(spark, sf):
     f = v.frames(spark, sf)
     s = F.col("t_us") * 24
     ch = f.select("file_id", F.col("ordinal").alias("position"), s.alias("start_us"), (s + 900_000 + F.col("ordinal") % 5 * 50_000).alias("end_us"))
-    k = F.explode(F.expr("sequence(0L, 7L)")).alias("edit_id")
-    cuts = f.select("file_id").distinct().select("file_id", k)
+    k = F.explode(F.expr("sequence(0L, last * 24 div 20000000)")).alias("edit_id")
+    cuts = f.groupBy("file_id").agg(F.max("t_us").alias("last")).select("file_id", k)
     cuts = cuts.withColumn("from_us", F.col("edit_id") * 20_000_000 + 333_333).withColumn("to_us", F.col("edit_id") * 20_000_000 + 12_000_000 + F.col("file_id"))
     return ch, cuts
 
