@@ -327,3 +327,24 @@ def test_layout_needs_every_field(spark):
     d = spark.createDataFrame([(1, 0, "video")], "pair_id long, position long, kind string")
     with pytest.raises(ValueError):
         compare_stream_layout(d, d)
+
+
+def test_display_matrices(spark):
+    from reeltally.operators.headers import display_transform
+
+    unit, last = 65_536, 1_073_741_824
+    text = lambda *m: "\n".join(f"0000000{i}: {m[3 * i]} {m[3 * i + 1]} {m[3 * i + 2]}" for i in range(3))
+    cases = [
+        (text(unit, 0, 0, 0, unit, 0, 0, 0, last), (0, False, False)),
+        (text(0, -unit, 0, unit, 0, 0, 160 * unit, -96 * unit, last), (90, False, True)),
+        ("\n" + text(-unit, 0, 0, 0, unit, 0, 0, 0, last) + "\n", (0, True, False)),
+        (text(unit, 1, 0, 0, unit, 0, 0, 0, last), None),
+        (text(unit, 0, 0, unit, 0, 0, 0, 0, last), None),
+        (text(unit, 0, 0, 0, unit, 0, 0, 0, last) + "\n00000003: 0 0 0", None),
+        (text(unit, 0, 0, 0, unit, 0, 0, 0, last).replace("0 0 1073741824", "0 0 bad"), None),
+        ("", None),
+        (None, None),
+    ]
+    d = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i long, m string")
+    got = [tuple(r.x) if r.x else None for r in d.select("i", display_transform("m").alias("x")).orderBy("i").collect()]
+    assert got == [w for _, w in cases]
