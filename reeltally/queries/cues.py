@@ -143,14 +143,18 @@ c AS (SELECT *, CASE format WHEN 'ass' THEN printf('%d:%02d:%02d.%02d', a // f /
   CASE format WHEN 'ass' THEN printf('%d:%02d:%02d.%02d', b // f // 3600, b // f // 60 % 60, b // f % 60, b % f)
    WHEN 'srt' THEN printf('%02d:%02d:%02d,%03d', b // f // 3600, b // f // 60 % 60, b // f % 60, b % f)
    ELSE printf('%02d:%02d:%02d.%03d', b // f // 3600, b // f // 60 % 60, b // f % 60, b % f) END AS tb FROM k),
-t AS (SELECT file_id, CASE WHEN format = 'ass' THEN 'Dialogue: 0,' || ta || ',' || tb || ',Default,,0,0,0,,' || body
-  ELSE (n + 1)::VARCHAR || chr(10) || ta || ' --> ' || tb || chr(10) || body END AS value FROM c)
-SELECT file_id, unnest(string_split(value, chr(10))) AS value FROM t""")
+t AS (SELECT file_id, n, CASE WHEN format = 'ass' THEN 'Dialogue: 0,' || ta || ',' || tb || ',Default,,0,0,0,,' || body
+  ELSE (n + 1)::VARCHAR || chr(10) || ta || ' --> ' || tb || chr(10) || body || chr(10) END AS value FROM c),
+d AS (SELECT file_id, CASE any_value(format) WHEN 'webvtt' THEN 'WEBVTT' || chr(10) || chr(10) WHEN 'ass'
+  THEN '[Events]' || chr(10) || 'Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text' || chr(10) ELSE '' END
+  || string_agg(value, chr(10) ORDER BY n) AS text FROM (SELECT t.*, c.format, c.n FROM t JOIN c USING (file_id, n)) GROUP BY file_id)
+SELECT file_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS BIGINT) AS line, unnest(string_split(text, chr(10))) AS value FROM d""")
 def write_cues(spark, sf):
-    """Writes the documents and returns the lines read back, without headers and blank lines."""
+    """Writes the documents and returns every line read back, headers and blank lines too, with its place."""
     from reeltally.plans.session import shared_dir
+    from reeltally.sources.lines import read_lines
 
     path = shared_dir(spark)
     sinks.write_cues(cue_rows(spark, sf), path)
-    lines = spark.read.text(path).select(F.col("file_id").cast("long").alias("file_id"), "value")
-    return lines.where("value <> '' and value not in ('WEBVTT', '[Events]') and value not like 'Format: %'")
+    lines = read_lines(spark, path, skip_blank=False)
+    return lines.select(F.regexp_extract("path", r"/file_id=([0-9]+)/", 1).cast("long").alias("file_id"), F.col("n").alias("line"), "value")

@@ -186,36 +186,46 @@ def thin_progress_log(lines: DataFrame) -> DataFrame:
 CLOCK_SCHEMA = "file_id bigint, stream_index bigint, part bigint, frames bigint, first_bad bigint, reason string"
 
 
+CLOCK_STATE = "last_t bigint, frames bigint, first_bad bigint, reason string, halo_t bigint, first_t bigint, first_ordinal bigint"
+MISSING, STUCK, ADRIFT = "row without timestamp", "timestamps not strictly increasing", "not a constant frame clock"
+
+
 class ClockProcessor(StatefulProcessor):
-    """Strictly increasing times on a constant clock, row by row; the first failure is kept."""
+    """Strictly increasing times on a constant clock; the first failure is kept.
+
+    The halo row, the last one of the part before, may come in any micro-batch: it is held against the part's first row,
+    and never takes the place of the part's own last row.
+    """
 
     def __init__(self, frame_us: float, origin_us: float, tolerance_us: float) -> None:
         self.clock = (frame_us, origin_us, tolerance_us)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("clock", "last_t bigint, frames bigint, first_bad bigint, reason string")
+        self.state = handle.getValueState("clock", CLOCK_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        last, frames, bad, why = self.state.get() if self.state.exists() else (None, 0, None, None)
+        last, frames, bad, why, halo, first, start = self.state.get() if self.state.exists() else (None, 0, None, None, None, None, None)
         frame, origin, tolerance = self.clock
-        for r in _ordered(rows, ["ordinal"]).itertuples(index=False):
-            t = None if pd.isna(r.t_us) else int(r.t_us)
-            if r.halo:
-                last = t
-                continue
-            frames += 1
-            if bad is None:
-                if t is None:
-                    bad, why = int(r.ordinal), "row without timestamp"
-                elif last is not None and t <= last:
-                    bad, why = int(r.ordinal), "timestamps not strictly increasing"
-                elif abs(t - origin - r.ordinal * frame) > tolerance:
-                    bad, why = int(r.ordinal), "not a constant frame clock"
-            last = t
-        self.state.update((last, frames, bad, why))
-        yield pd.DataFrame([(*key, frames, bad, why)], columns=["file_id", "stream_index", "part", "frames", "first_bad", "reason"]).astype(
-            {"first_bad": "Int64"}
-        )
+        d = _ordered(rows, ["ordinal"])
+        t = pd.to_numeric(d["t_us"]).astype("Int64")
+        if d["halo"].any():
+            halo = t[d["halo"]].iloc[-1]
+        own, t = d["ordinal"][~d["halo"]], t[~d["halo"]]
+        if len(own):
+            before = t.shift(fill_value=pd.NA if last is None else last)
+            faults = pd.Series(None, index=own.index, dtype=object)
+            faults = faults.mask(((t - origin - own * frame).abs() > tolerance).fillna(False), ADRIFT)
+            faults = faults.mask((t <= before).fillna(False), STUCK).mask(t.isna(), MISSING)
+            if bad is None and faults.notna().any():
+                bad, why = int(own[faults.first_valid_index()]), faults[faults.first_valid_index()]
+            if not frames:
+                first, start = t.iloc[0], int(own.iloc[0])
+            last, frames = t.iloc[-1], frames + len(own)
+        held = [None if pd.isna(x) else int(x) for x in (last, halo, first)]
+        if held[1] is not None and held[2] is not None and held[2] <= held[1] and (bad is None or start <= bad):
+            bad, why = start, STUCK
+        self.state.update((held[0], frames, bad, why, held[1], held[2], start))
+        yield pd.DataFrame([(*key, frames, bad, why)], columns=["file_id", "stream_index", "part", "frames", "first_bad", "reason"]).astype({"first_bad": "Int64"})
 
     def close(self) -> None:
         pass

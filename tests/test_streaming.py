@@ -126,3 +126,19 @@ def test_silence_is_waiting_and_the_window_moves(spark, tmp_path):
         assert got[-1][1] == "estimate" and got[-1][0] == 79_500
         # From the last sample at or before 49.5 s: that of 49.5 s itself.
         assert got[-1][2] == (99.0 - 39.0) / 30.0
+
+
+def test_a_late_halo_changes_nothing(spark, tmp_path):
+    """Part 1 arrives before the row it continues from; a later step back must still be found."""
+    t = [i * 1000 for i in range(16)]
+    t[12] = 10_500
+    data = [(0, 0, i, t[i], 0 if 8 <= i < 12 else 1 if i < 8 else 2) for i in range(16)]
+    d = spark.createDataFrame(data, "file_id long, stream_index long, ordinal long, t_us long, arrival long")
+    out = run_available(stateful.stream_clock_check(arriving(spark, d, str(tmp_path / "in")), frame_us=1000.0, origin_us=0.0, tolerance_us=5000.0, part_rows=8))
+    assert [(x.frames, x.first_bad, x.reason) for x in stateful.clock_verdict(out).collect()] == [(16, 12, "timestamps not strictly increasing")]
+    t = [i * 1000 for i in range(16)]
+    t[8] = 6_900
+    data = [(0, 0, i, t[i], 0 if i >= 8 else 1) for i in range(16)]
+    d = spark.createDataFrame(data, "file_id long, stream_index long, ordinal long, t_us long, arrival long")
+    out = run_available(stateful.stream_clock_check(arriving(spark, d, str(tmp_path / "two")), frame_us=1000.0, origin_us=0.0, tolerance_us=5000.0, part_rows=8))
+    assert [(x.frames, x.first_bad) for x in stateful.clock_verdict(out).collect()] == [(16, 8)]
