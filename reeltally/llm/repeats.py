@@ -10,6 +10,7 @@ round inserts one symbol of every context in front, which moves the order of all
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,22 +24,28 @@ from reeltally.plans.session import materialise
 
 LENGTH, GRAM = 400, 32
 CHUNK = 1024  # contexts of one anchor that are ordered together; more are split, and windows meet by hash
-BATCH_ROWS = 16_384
-BATCH_BYTES = 4_000_000
+BATCH_ROWS = 8192
+BATCH_BYTES = 1_000_000
 NONE = 256  # the symbol where a context has no byte
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BYTES = tuple(np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64) for seed in (3, 4))
 
 
+@lru_cache(maxsize=2)
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    p = _MULTIPLIERS[which]
+    up, down = np.full(n + 1, p, np.uint64), np.full(n + 1, pow(p, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, out=up), np.cumprod(down, out=down)
+
+
 class Sums:
     """Hashes of any stretch of ``raw`` from prefix sums."""
 
     def __init__(self, raw: np.ndarray, which: int):
-        n, p = len(raw), _MULTIPLIERS[which]
-        up, down = np.full(n + 1, p, np.uint64), np.full(n + 1, pow(p, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        up, self.down = np.cumprod(up), np.cumprod(down)
+        n = len(raw)
+        up, self.down = _powers(which, 1 << n.bit_length())
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[which][raw] * up[:n], out=self.sums[1:])
 
@@ -131,7 +138,7 @@ def _ordered(batch: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
     """Repeated stretches of the contexts of whole groups, and the windows of split groups that other parts may hold."""
     left, size = (batch["at"] - batch["low"]).to_numpy(), batch["context"].str.len().to_numpy()
     width_left = int(left.max())
-    columns = np.full((len(batch), width_left + int((size - left).max())), NONE, np.int64)
+    columns = np.full((len(batch), width_left + int((size - left).max())), NONE, np.int16)
     for i, (data, gap) in enumerate(zip(batch["context"], width_left - left)):
         columns[i, gap : gap + len(data)] = np.frombuffer(data, np.uint8)
     new = (batch["gram"].to_numpy()[1:] != batch["gram"].to_numpy()[:-1]) | (batch["part"].to_numpy()[1:] != batch["part"].to_numpy()[:-1])
@@ -209,16 +216,22 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LEN
     wanted = kinds.join(several, "gram").select("gram", "one.*", (F.col("times") > 1).alias("settled"), F.ceil(F.col("kinds") / chunk).cast("int").alias("of"))
     wanted = wanted.withColumn("part", F.pmod(F.xxhash64("key", "at"), F.col("of").cast("long")).cast("int"))
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "part", "of", "at", "low", "high", "settled")).alias("list"))
-    texts = long_rows.dropDuplicates(["key"]).join(lists, "key")
+    columns = ["gram", "part", "of", "at", "low", "high", "settled"]
+    texts = long_rows.dropDuplicates(["key"]).join(lists, "key").select("key", "text", *[F.col(f"list.{c}").alias(c) for c in columns])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, found in zip(batch["key"], batch["text"], batch["list"]):
-                data = text.encode()
-                out = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in found], columns=["gram", "part", "of", "at", "low", "high", "settled"])
+            values = batch["text"].tolist()
+            for lo, hi in parts(values, BATCH_BYTES):
+                some = batch.iloc[lo:hi]
+                out = pd.DataFrame({f: np.concatenate(some[f].to_list()) for f in columns})
                 out["split"] = out.pop("of") > 1
-                out["context"] = [data[a : b + length] for a, b in zip(out["low"], out["high"])]
-                out["key"] = [key] * len(out)
+                contexts: list[bytes] = []
+                for text, low, high in zip(some["text"], some["low"], some["high"]):
+                    data = text.encode()
+                    contexts += [data[a : b + length] for a, b in zip(low.tolist(), high.tolist())]
+                out["context"] = contexts
+                out["key"] = np.repeat(some["key"].to_numpy(), some["at"].str.len().to_numpy())
                 yield out
 
     contexts = texts.mapInPandas(cut, f"{place}, gram long, part int, settled boolean, split boolean, context binary")
