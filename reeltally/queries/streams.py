@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reeltally.operators import thinning
 from reeltally.plans.blocks import numbered
+from reeltally.plans.session import shared_dir
 from reeltally.queries import stand_ins as v
 from reeltally.queries.clocks import WINDOW
 from reeltally.queries.jobs import STATE, log_lines
@@ -31,6 +32,48 @@ def stream_windowed_rate(spark, sf):
 ORACLES["stream_windowed_rate"] = ORACLES["windowed_rate"]
 
 
+# Packets arrive in files of three days each; every 101st comes nine days late, behind the watermark of two days.
+ARRIVAL_US, LATE_FILES, DELAY_US = 3 * 86_400_000_000, 3, 2 * 86_400_000_000
+ARRIVALS = f"""
+ar AS (SELECT file_id, stream_index, coalesce(pts_us, dts_us) AS t, size,
+  coalesce(pts_us, dts_us) // {ARRIVAL_US} + CASE WHEN event_id % 101 = 0 THEN {LATE_FILES} ELSE 0 END AS a FROM packets WHERE coalesce(pts_us, dts_us) >= 0),
+seen AS (SELECT a, max(t // 1000 * 1000) AS m FROM ar GROUP BY a),
+wm AS (SELECT a, max(m) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - {DELAY_US} AS w FROM seen),
+k AS (SELECT ar.*, t // {WINDOW} AS k, coalesce((t // {WINDOW} + 1) * {WINDOW} <= w, false) AS late FROM ar JOIN wm USING (a))
+"""
+
+
+def _arrivals(spark, sf):
+    """The packets as a stream of one file to a micro-batch, in the order of arrival."""
+    t = F.coalesce("pts_us", "dts_us")
+    p = v.packets(spark, sf, keep_id=True).where(t >= 0).select("file_id", "stream_index", t.alias("t_us"), "size", "event_id")
+    late = F.when(F.col("event_id") % 101 == 0, LATE_FILES).otherwise(0)
+    p = p.withColumn("arrival", F.expr(f"t_us div {ARRIVAL_US}") + late).drop("event_id")
+    path = shared_dir(spark)
+    for i in range(p.agg(F.max("arrival")).first()[0] + 1):
+        part = p.where(F.col("arrival") == i).drop("arrival")
+        if not part.isEmpty():
+            part.coalesce(1).write.mode("append").parquet(path)
+    return open_stream(spark, path, p.drop("arrival").schema, files_per_trigger=1)
+
+
+@query("stream_windowed_rate_append", f"""WITH {ARRIVALS}
+SELECT file_id, stream_index, k * {WINDOW} AS start_us, CAST(sum(size) AS BIGINT) AS packet_bytes FROM k WHERE NOT late
+GROUP BY file_id, stream_index, k HAVING (k + 1) * {WINDOW} <= (SELECT max(m) - {DELAY_US} FROM seen)""")
+def stream_windowed_rate_append(spark, sf):
+    """Windows as the watermark closes them; each is written once."""
+    rate = native.stream_windowed_rate(_arrivals(spark, sf), WINDOW, watermark=f"{DELAY_US} microseconds")
+    return run_available(rate, mode="append").drop("batch")
+
+
+@query("stream_late_packets", f"""WITH {ARRIVALS}
+SELECT file_id, stream_index, count(*) AS late_packets, CAST(sum(size) AS BIGINT) AS late_bytes FROM k WHERE late GROUP BY ALL""")
+def stream_late_packets(spark, sf):
+    """What the append form drops, counted from a copy of the arrivals."""
+    late = native.late_packets(run_available(_arrivals(spark, sf), mode="append"), WINDOW, DELAY_US)
+    return late.groupBy("file_id", "stream_index").agg(F.count(F.lit(1)).alias("late_packets"), F.sum("size").alias("late_bytes"))
+
+
 @query("stream_job_state", f"WITH {STATE} SELECT * FROM latest")
 def stream_job_state(spark, sf):
     t = F.col("event_type")
