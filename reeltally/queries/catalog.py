@@ -234,7 +234,7 @@ UNION ALL SELECT k, i, 'language', 'eng', NULL FROM o WHERE k % 10 = 3 AND k % 2
 UNION ALL SELECT k, i, unnest(['title', 'my key']), unnest(['t' || (k % 6)::VARCHAR, 'x']), NULL FROM o WHERE k % 10 = 5 AND i = 2
 UNION ALL SELECT k, i, 'language', 'eng', NULL FROM o WHERE k % 10 = 5 AND i = 2 AND k % 2 = 1""")
 def lost_tags(spark, sf):
-    s = streams(spark, sf).withColumnRenamed("file_id", "pair_id")
+    s = _described(streams(spark, sf).withColumnRenamed("file_id", "pair_id"))
     return catalog.lost_tags(s, _changed(s), on=["pair_id", "stream_index"])
 
 
