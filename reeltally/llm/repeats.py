@@ -23,8 +23,8 @@ from reeltally.llm.shingles import mixed
 from reeltally.plans.session import materialise
 
 LENGTH, GRAM = 400, 32
-CHUNK = 1024  # contexts of one anchor that are ordered together; more are split, and windows meet by hash
-BATCH_ROWS = 8192
+BATCH_ROWS = 8192  # contexts that a task orders at once
+CHUNK = BATCH_ROWS  # contexts of one anchor that are ordered together; more are split, and windows meet by hash
 BATCH_BYTES = 1_000_000
 NONE = 256  # the symbol where a context has no byte
 
