@@ -105,7 +105,12 @@ class ByteBPE:
         # Pairs of tokens whose bytes together are a token, sorted, for the leaves that are merged together.
         self.none = max(ranks.values()) + 1
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        made = {(a * (self.none + 1) + b): r for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
+        made = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    made[a * (self.none + 1) + b] = rank
         self.pair_keys = np.sort(np.fromiter(made, np.int64, len(made)))
         self.pair_made = np.array([made[k] for k in self.pair_keys.tolist()], np.int64)
 

@@ -106,8 +106,10 @@ def format_conversations(
     steps = chosen.select("tree", F.col("node").alias("leaf"), "rank", "depth", "node", F.lit(0).cast("long").alias("up_by"))
     ups = state.select("tree", "node", "ups")
     for k in reversed(range(rounds)):
-        further = F.array(F.struct("node", "up_by"), F.struct(F.get("ups", F.lit(k)).alias("node"), (F.col("up_by") + 2**k).alias("up_by")))
-        steps = steps.join(ups, ["tree", "node"]).select("tree", "leaf", "rank", "depth", F.explode(further).alias("s")).select("tree", "leaf", "rank", "depth", "s.*").where("node is not null")
+        above = F.struct(F.get("ups", F.lit(k)).alias("node"), (F.col("up_by") + 2**k).alias("up_by"))
+        further = F.explode(F.array(F.struct("node", "up_by"), above)).alias("s")
+        steps = steps.join(ups, ["tree", "node"]).select("tree", "leaf", "rank", "depth", further)
+        steps = steps.select("tree", "leaf", "rank", "depth", "s.*").where("node is not null")
 
     head = F.concat(F.lit(OPEN), escape(F.col("role"), line=True), F.lit(HEAD))
     body = escape(F.col("text"))
@@ -115,7 +117,8 @@ def format_conversations(
     turns = steps.join(said, ["tree", "node"]).select(
         "tree", "tree_value", "leaf", "rank", (F.col("depth") - F.col("up_by")).alias("pos"), "role", head.alias("head"), body.alias("body")
     )
-    turns = turns.withColumn("turn", F.struct("pos", F.concat("head", "body", F.lit(CLOSE)).alias("piece"), F.length("head").cast("long").alias("skip"), take.alias("take")))
+    piece = F.concat("head", "body", F.lit(CLOSE)).alias("piece")
+    turns = turns.withColumn("turn", F.struct("pos", piece, F.length("head").cast("long").alias("skip"), take.alias("take")))
     whole = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.min("tree_value").alias("tree_value"))
     return whole.select(
         F.col("tree_value").alias("tree"),

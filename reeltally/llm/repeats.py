@@ -159,7 +159,8 @@ def _ordered(batch: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
     shift = low - (width_left - left)  # from a column to a place in the text
     edge = np.diff(np.pad(found & ~settled[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (row, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    yield pd.DataFrame({"key": keys[row], "start": a + shift[row], "stop": b - 1 + length + shift[row], "gram": 0, "offset": 0, "h1": 0, "h2": 0, "open": False})
+    none = {"gram": 0, "offset": 0, "h1": 0, "h2": 0}
+    yield pd.DataFrame({"key": keys[row], "start": a + shift[row], "stop": b - 1 + length + shift[row], **none, "open": False})
     for pick, c in heads:
         if len(pick):
             raw = columns[pick, c : c + length].astype(np.uint8)
@@ -213,7 +214,8 @@ def repeated_spans(docs: DataFrame, *, text_col: str = "text", length: int = LEN
 
     # One context of each kind, where an anchor's gram has several kinds.
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(several, "gram").select("gram", "one.*", (F.col("times") > 1).alias("settled"), F.ceil(F.col("kinds") / chunk).cast("int").alias("of"))
+    settled, of = (F.col("times") > 1).alias("settled"), F.ceil(F.col("kinds") / chunk).cast("int").alias("of")
+    wanted = kinds.join(several, "gram").select("gram", "one.*", settled, of)
     wanted = wanted.withColumn("part", F.pmod(F.xxhash64("key", "at"), F.col("of").cast("long")).cast("int"))
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "part", "of", "at", "low", "high", "settled")).alias("list"))
     columns = ["gram", "part", "of", "at", "low", "high", "settled"]
@@ -295,4 +297,10 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LEN
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -123,7 +123,8 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, *, lists: int = LIS
         return pd.concat(out) if out else pd.DataFrame({"query": [], "row": [], "list": [], "score": []})
 
     entries = cells(cut).applyInPandas(enough, "query long, row long, list long, score long")
-    known = entries.groupBy("query", "row").agg(F.sum("score").alias("sum"), F.sum(F.expr("shiftleft(1L, cast(list as int))")).alias("seen"), F.count(F.lit(1)).alias("n"))
+    seen = F.sum(F.expr("shiftleft(1L, cast(list as int))")).alias("seen")
+    known = entries.groupBy("query", "row").agg(F.sum("score").alias("sum"), seen, F.count(F.lit(1)).alias("n"))
     # Phase three: what no sum of shares can lift to the cutoff goes; the lists not seen are read for the rest.
     known = known.join(cut.select("query", "low", F.col("vec").alias("q_vec")), "query")
     known = known.where("low is null or sum + (%d - n) * (low / %d) >= low" % (lists, lists))
