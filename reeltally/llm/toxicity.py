@@ -22,9 +22,10 @@ from reeltally.llm.registry import query, table
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIM = 8
-SAMPLE_DOCS = 10_000  # labelled texts that training reads, picked by the hash of their id
+SAMPLE_DOCS = 6000  # labelled texts that training reads, picked by the hash of their id
 STEPS, RATE, SOFT_RATE, FLOOR = 80, 12.0, 0.1, 3e-5
 THRESHOLD = 0.3
+CHUNK_CHARS = 200_000
 SEED = 11
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -84,29 +85,34 @@ def fit(texts: list[str], labels: np.ndarray, *, steps: int = STEPS, rate: float
     With averages as rows of a sparse matrix X, the gradient of every embedding is one number times the softmax's weights, so
     a step costs two sparse products, whatever the dimension.
     """
-    rows, cols, vals = [], [], []
-    for lo, hi in parts(texts, 200_000):
+    # The rows of X in chunks: texts that have n-grams, how many buckets each, the buckets, and their shares.
+    chunks = []
+    for lo, hi in parts(texts, CHUNK_CHARS):
         found, edge = [], ends(texts[lo:hi])
         for at, bucket in ngrams(texts[lo:hi]):
             found.append(np.searchsorted(edge, at, side="right").astype(np.int64) * BUCKETS + bucket)
-        key, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-        rows.append((key // BUCKETS + lo).astype(np.int32))
-        cols.append((key % BUCKETS).astype(np.int32))
-        vals.append(n.astype(np.float32))
-    row, col, val = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int32), (cols, np.int32), (vals, np.float32)))
-    size = np.bincount(row, val, len(texts))
-    val = val / size[row]
+        if not found:
+            continue
+        key, n = np.unique(np.concatenate(found), return_counts=True)
+        row, sizes = np.unique(key // BUCKETS, return_counts=True)
+        first = np.cumsum(sizes) - sizes
+        share = n / np.repeat(np.add.reduceat(n, first), sizes)
+        chunks.append((row + lo, sizes, first, (key % BUCKETS).astype(np.int32), share.astype(np.float32)))
 
     rng = np.random.default_rng(SEED)
     table_, soft = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 1, dim)
-    share = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
-    bias = np.log(share / (1 - share))
+    toxic = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
+    bias = np.log(toxic / (1 - toxic))
     past = np.zeros(BUCKETS)
     past_s, past_b = np.zeros(dim), 0.0
     for _ in range(steps if len(texts) else 0):
-        odds = np.bincount(row, val * (table_ @ soft)[col], len(texts)) + bias
+        odds, score = np.full(len(texts), bias), (table_ @ soft).astype(np.float32)
+        for row, sizes, first, col, share in chunks:
+            odds[row] += np.add.reduceat(share * score[col], first)
         miss = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - labels) / len(texts)
-        pull = np.bincount(col, val * miss[row], BUCKETS)
+        pull = np.zeros(BUCKETS)
+        for row, sizes, first, col, share in chunks:
+            pull += np.bincount(col, share * np.repeat(miss[row], sizes), BUCKETS)
         grad_s, grad_b = table_.T @ pull, miss.sum()
         past += pull**2
         past_s += grad_s**2
