@@ -18,7 +18,7 @@ from reeltally.plans.session import materialise
 BANDS, BAND_ROWS = 32, 5  # at similarity 0.8 a pair shares no band with probability 3e-6
 SIMILARITY = 0.8
 CROWD = 16  # buckets of more texts are divided by rare shingles
-BATCH = 4_000_000
+BATCH = 1_500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -198,7 +198,9 @@ def near_duplicates(
     crowded = shared.where(F.col("members") > crowd).select("node").distinct()
     rare = _rare_shingles(texts.join(crowded, "node"), words, similarity)
     rare = materialise(rare)
-    heads = rare.groupBy("bucket").agg(F.min(F.struct("pos", "node", "n")).alias("h")).select("bucket", F.col("h.node").alias("head"), F.col("h.pos").alias("pos_b"), F.col("h.n").alias("n_b"))
+    # Written, so that both sides of the joins below are dealt out for them and a hot bucket's texts can be split.
+    heads = rare.groupBy("bucket").agg(F.min(F.struct("pos", "node", "n")).alias("h"))
+    heads = materialise(heads.select("bucket", F.col("h.node").alias("head"), F.col("h.pos").alias("pos_b"), F.col("h.n").alias("n_b")))
     small = shared.where(F.col("members") <= crowd).select("bucket", "node", F.lit(0).cast("long").alias("pos"), "n", "head")
 
     def pair(a: str, b: str):
