@@ -25,6 +25,8 @@ def _collided(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """Keys whose group holds texts that differ: every member is held against the one that stays."""
     members = keyed.join(groups.where("n > 1").select("key", "keep_id"), "key")
     chosen = members.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("key").agg(F.min("text").alias("kept_text"))
+    # Written, so that both sides of the join are dealt out for it and a hot group's members can be split.
+    chosen = materialise(chosen)
     return members.select("key", "text").join(chosen, "key").where("text <> kept_text").select("key").distinct()
 
 
