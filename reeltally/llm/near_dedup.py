@@ -101,27 +101,39 @@ def _signed(texts: DataFrame, words: int, weights: str, bands: int, rows: int) -
     return texts.mapInPandas(run, "key binary, n long, bands array<long>")
 
 
-def _rare_shingles(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _rare_shingles(texts: DataFrame, words: int, weights: str, similarity: float) -> DataFrame:
     """Buckets by rare shingles, for texts that share a crowded bucket: ``bucket``, ``node``, ``pos``, ``n``.
 
     In the order of how many of these texts hold a shingle, two texts of similarity s share one of the rarest n - ceil(s * n) + 1 of
     either; ``pos`` counts a text's shingles before it.
+
+    With counts, let p and q be two texts' weights over their sums.  Their probability Jaccard is at most the sum of min(p, q), so at
+    similarity s the shingles that only one of them holds weigh at most 1 - s in it: both hold their first common shingle
+    among those with at most 1 - s before it.
     """
+    counted = weights != "unit"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch["text"].tolist()
             for lo, hi in parts(values, BATCH):
-                doc, hashes, _ = weighted(*shingles(values[lo:hi], words), "unit")
-                yield pd.DataFrame({"node": batch["node"].to_numpy()[lo:hi][doc], "bucket": hashes.view(np.int64)})
+                doc, hashes, weight = weighted(*shingles(values[lo:hi], words), weights)
+                out = pd.DataFrame({"node": batch["node"].to_numpy()[lo:hi][doc], "bucket": hashes.view(np.int64)})
+                yield out.assign(weight=weight) if counted else out
 
-    held = texts.select("node", "text").mapInPandas(run, "node long, bucket long")
+    held = texts.select("node", "text").mapInPandas(run, "node long, bucket long" + ", weight double" * counted)
     often = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
     held = held.join(often, "bucket")
     # Each text's own shingles in order; a text is one group, as long as it is.
-    row = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("s"))
+    row = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "bucket", *["weight"] * counted))).alias("s"))
     row = row.withColumn("n", F.size("s").cast("long"))
-    row = row.withColumn("s", F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similarity)) + 1).cast("int")))
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(similarity)) + 1
+    if counted:
+        row = row.withColumn("room", F.aggregate("s", F.lit(0.0), lambda sum_, e: sum_ + e["weight"]) * F.lit(1 - similarity + 1e-9))
+        start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("k"))
+        more = lambda at, e: F.struct((at["before"] + e["weight"]).alias("before"), (at["k"] + (at["before"] <= F.col("room")).cast("int")).alias("k"))
+        keep = F.aggregate("s", start, more)["k"]
+    row = row.withColumn("s", F.slice("s", F.lit(1), keep.cast("int")))
     row = row.select("node", "n", F.posexplode("s").alias("pos", "e"))
     return row.where("e.often > 1").select(F.col("e.bucket").alias("bucket"), "node", F.col("pos").cast("long").alias("pos"), "n")
 
@@ -177,9 +189,9 @@ def near_duplicates(
 
     Equal texts are one text from the start.  Texts that share a band form a bucket, and every text is verified against
     its bucket's first.  Buckets of more than ``crowd`` texts are divided first, by the rare shingles that similar texts must
-    share.  Where a bucket still holds several classes, the texts outside its first one's class are verified against all others
+    share by their weights.  Where a bucket still holds several classes, the texts outside its first one's class are verified against all others
     of other classes.  So no link between texts that share a band is lost, while a group of copies costs about one check
-    a text.  (Division by rare shingles is exact for unit weights; with "count" it also asks for similar sets.)
+    a text.
 
     Null text counts as empty; texts without a word are linked only to equal ones.  Ids may be null or repeated: rows with equal
     texts share a class.  Other columns are ignored; an empty table gives no rows.
@@ -196,7 +208,7 @@ def near_duplicates(
     wanted = shared.select("node").distinct().join(signed.select("node", "key"), "node")
     texts = materialise(rows.select("key", "text").join(wanted, "key").dropDuplicates(["node"]).select("node", "text"))
     crowded = shared.where(F.col("members") > crowd).select("node").distinct()
-    rare = _rare_shingles(texts.join(crowded, "node"), words, similarity)
+    rare = _rare_shingles(texts.join(crowded, "node"), words, weights, similarity)
     rare = materialise(rare)
     # Written, so that both sides of the joins below are dealt out for them and a hot bucket's texts can be split.
     heads = rare.groupBy("bucket").agg(F.min(F.struct("pos", "node", "n")).alias("h"))
@@ -207,7 +219,9 @@ def near_duplicates(
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
     star = rare.join(heads, "bucket").where("node <> head")
-    star = star.where(_may_reach(similarity).replace("n_a", "n").replace("pos_a", "pos")).select(*pair("node", "head"))
+    if weights == "unit":
+        star = star.where(_may_reach(similarity).replace("n_a", "n").replace("pos_a", "pos"))
+    star = star.select(*pair("node", "head"))
     star = star.unionByName(small.where("node <> head").select(*pair("node", "head"))).distinct()
     checked = materialise(_verified(star, texts, words, weights, similarity))
     links = checked.where("ok").select("a", "b")

@@ -281,6 +281,25 @@ def test_a_crowd_of_near_copies(spark, weights):
     assert {r.id: r.class_id for r in out} == {i: find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("crowd", [8, 1000])
+def test_a_crowd_that_repeats_a_passage(spark, crowd):
+    """Counts near each other, sets far apart: linked whatever the size of their bucket."""
+    passages = [prose(60 + k, 10) + " " for k in range(3)]
+    texts = [passages[i % 2] * (40 + i) + prose(100 + i, 12) for i in range(48)]
+    texts += [passages[2] * 30 + prose(200 + i, 12 * i) for i in range(24)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    doc, hashes, weight = near_dedup.weighted(*shingles.shingles(texts), "count")
+    one = [(hashes[doc == i], weight[doc == i]) for i in range(len(texts))]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if near_dedup.probability_jaccard(one[a], one[b]) >= 0.8]
+    assert min(len(np.intersect1d(one[a][0], one[b][0])) / len(np.union1d(one[a][0], one[b][0])) for a, b in links) < 0.5
+    want = list(range(len(texts)))
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    out = near_dedup.near_duplicates(df, crowd=crowd).collect()
+    assert {r.id: r.class_id for r in out} == dict(enumerate(want))
+
+
 def test_near_odd_rows(odd, none):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == 11
