@@ -27,8 +27,9 @@ BLOCK_TAGS = frozenset(
     " header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED_TAGS = frozenset("head svg math object canvas audio video select button map".split())
+RAW_TAGS = frozenset("script style textarea title iframe xmp noembed noframes".split())  # their content has no tags
+DROPPED_TAGS = frozenset("svg math object canvas audio video select button map noscript template".split())
+HEAD_TAGS = RAW_TAGS - {"textarea", "iframe", "xmp", "noembed"} | {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noscript", "template"}
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 BAD_NAMES = frozenset(
@@ -50,6 +51,10 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_OR_DROPPED = re.compile(rf"<!--.*?-->|<(/?)({'|'.join(sorted(RAW_TAGS | DROPPED_TAGS))})(?![a-zA-Z0-9:-])((?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S | re.I)
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS | {"head"}}
+NOSCRIPT = re.compile(r"<(/?)noscript\b[^>]*>", re.I)
+FOREIGN_END = re.compile(r"</(?:svg|math)\b", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
 
 
@@ -77,15 +82,88 @@ def bad_place(tag: str, attributes: str, region: int) -> bool:
     return False
 
 
+def raw_end(page: str, tag: str, at: int) -> int | None:
+    close = RAW_ENDS[tag].search(page, at)
+    return close.end() if close else None
+
+
+def dropped_ends(page: str) -> dict[int, int]:
+    """Where the content of dropped tags begins and, behind their own end tags, ends; tags without one are left out."""
+    out: dict[int, int] = {}
+    begun: dict[str, list[int]] = {tag: [] for tag in DROPPED_TAGS}
+    endless: set[str] = set()
+    at = 0
+    while match := RAW_OR_DROPPED.search(page, at):
+        at = match.end()
+        if match[2] is None:
+            continue
+        tag = match[2].lower()
+        if match[1]:
+            if tag in DROPPED_TAGS and begun[tag]:
+                out[begun[tag].pop()] = at
+        elif match[0].endswith("/>"):
+            continue
+        elif tag == "noscript":  # cannot hold another one
+            close = NOSCRIPT.search(page, at)
+            if close and close[1]:
+                out[at] = at = close.end()
+        elif tag in DROPPED_TAGS:
+            begun[tag].append(at)
+        elif tag not in endless:
+            close = RAW_ENDS[tag].search(page, at)
+            if not close:
+                endless.add(tag)
+            elif not ((begun["svg"] or begun["math"]) and FOREIGN_END.search(page, at, close.start())):
+                at = close.end()
+    return out
+
+
+def head_end(page: str, at: int, ends: dict[int, int]) -> int:
+    """The head ends behind its end tag, or before the first text or tag that cannot stand in it."""
+    while match := TAG.search(page, at):
+        if not page[at : match.start()].isspace() and match.start() > at:
+            return at
+        at = match.end()
+        if match[2] is None:
+            continue
+        tag = match[2].lower()
+        if match[1]:
+            if tag == "head":
+                return at
+            if tag in ("body", "html", "br"):
+                return match.start()
+        elif tag not in HEAD_TAGS:
+            return match.start()
+        elif match[0].endswith("/>"):
+            continue
+        elif tag in RAW_TAGS:
+            close = raw_end(page, tag, at)
+            end = raw_end(page, "head", at) if close is None or tag != "script" else None
+            # A title or style sheet that would run over the head's end tag has none of its own.
+            if close is None or end is not None and end < close:
+                return end or len(page)
+            at = close
+        elif at in ends:
+            at = ends[at]
+    return at
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, with white space made single and character references decoded."""
+    """The page's blocks in order, with white space made single and character references decoded.
+
+    A dropped tag without an end tag ends before the next block tag, or with what it stands in.  A raw one runs to the page's end.
+    """
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
     open_tags: list[tuple[str, bool, int, bool]] = []  # tag, bad place, region, link
     bad, region, link, regions = False, 0, False, 0
+    ends = dropped_ends(page)
+    endless, depth = "", 0  # a dropped tag without an end tag, and how many tags were open around it
 
     def add(chunk: str) -> None:
+        if endless:
+            return
         parts.append(chunk)
         if link:
             link_parts.append(chunk)
@@ -106,8 +184,9 @@ def blocks_of(page: str) -> list[Block]:
         if match[2] is None:
             continue
         tag = match[2].lower()
-        if tag in BLOCK_TAGS or tag in DROPPED_TAGS and tag == "head":
+        if (tag in BLOCK_TAGS or tag == "head") and not (endless == "select" and tag in ("option", "hr")):
             end_block()
+            endless = ""
         elif tag == "br":
             add(" ")
         if match[1]:  # an end tag closes what is open inside it; a stray one closes nothing
@@ -115,10 +194,18 @@ def blocks_of(page: str) -> list[Block]:
                 if open_tags[i][0] == tag:
                     _, bad, region, link = open_tags[i]
                     del open_tags[i:]
+                    if i < depth:
+                        endless = ""
                     break
-        elif (tag in RAW_TAGS or tag in DROPPED_TAGS) and not match[0].endswith("/>"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        elif tag == "head":
+            at = head_end(page, at, ends)
+        elif tag in RAW_TAGS and not match[0].endswith("/>"):
+            at = raw_end(page, tag, at) or len(page)
+        elif tag in DROPPED_TAGS and not match[0].endswith("/>"):
+            if at in ends:
+                at = ends[at]
+            elif not endless:
+                endless, depth = tag, len(open_tags)
         elif tag not in VOID_TAGS:
             open_tags.append((tag, bad, region, link))
             if tag in ("article", "main") and not (region or bad):

@@ -183,6 +183,23 @@ def test_pages(spark, page, text):
     assert html_text.main_text(page or "") == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>t</title><body><article><p>one</p><p>two</p></article></body></html>", "one\n\ntwo"),
+    ("<html><head><meta charset=utf-8><script>'<p>'</script><noscript><img></noscript><article><p>one</p></article>", "one"),
+    ("<head><title>t</title></head><article>one</article>", "one"),
+    ("<head><title>t</head><article>one<svg><title>i</title></svg></article>", "one"),
+    *[(f"<article><p>one</p><p>a <{tag}>x</p><p>two</p></article><footer><{tag}>y</{tag}></footer>", "one\n\na\n\ntwo")
+      for tag in "noscript button select map object canvas audio video svg math template".split()],
+    ("<article><p>a <span>b<button><b>x</b>y</span> c</p><p>two</p></article>", "a b c\n\ntwo"),
+    ("<article><p>a<select><option>x<option>y<p>two</p></article>", "a\n\ntwo"),
+    ("<article><p>a<object>x<object>y</object>z</object> b</p></article>", "a b"),
+    ("<article><p>a<button>x</p>y</button> b</p></article>", "a b"),
+    ("<article><p>a</p><script>x<p>y</p></article>", "a"),
+])
+def test_pages_without_end_tags(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "c"), (None, "u", "<article>x</article>", "c"), (2, "u", "<article>" + "<p>y</p>" * 20_000, "c"), (2, "u", "", "c")], "page_id long, url string, html string, text string")
     out = html_text.extract_main_text(df).collect()
