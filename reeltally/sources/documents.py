@@ -6,6 +6,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,15 +307,45 @@ def list_files(spark: SparkSession, path: str, *, recursive: bool = True) -> Dat
 
 
 def source_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint of each file: path, length, time and three 64 KiB samples."""
+    """Fingerprint of each file: path, length, time and three 64 KiB samples.
+
+    The listing is dealt over tasks, which read only the samples, so a file may have any length.  A file that cannot be read
+    or ends before its listed length raises.  Spark's listing leaves out empty files.
+    """
     from reeltally.operators.catalog import file_fingerprint
 
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     size = 65_536
-    at = lambda offset: F.substring("content", (offset + 1).cast("int"), F.lit(size))
-    middle = F.call_function("div", F.greatest(F.col("length") - size, F.lit(0)), F.lit(2))
-    samples = {"head": at(F.lit(0).cast("long")), "middle": at(middle), "tail": at(F.greatest(F.col("length") - size, F.lit(0).cast("long")))}
-    return d.select("path", file_fingerprint(F.col("path"), F.col("length"), F.unix_micros("modificationTime"), samples).alias("fingerprint"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):  # 12 MB of samples at most
+                part = batch.iloc[lo : lo + 64]
+                samples: dict[str, list[bytes]] = {"head": [], "middle": [], "tail": []}
+                for name, length in zip(part["path"], part["size_bytes"]):
+                    last = max(length - size, 0)
+                    with opened(name) as file:
+                        for sample, offset in zip(samples.values(), (0, last // 2, last)):
+                            file.seek(offset)
+                            sample.append(file.read(size))
+                            if len(sample[-1]) < min(size, length):
+                                raise OSError(f"{name} ends before its {length} bytes")
+                yield part.assign(**samples)
+
+    listed = list_files(spark, path).select("path", "size_bytes", F.unix_micros("modified_at").alias("us"))
+    d = listed.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "path string, size_bytes long, us long, head binary, middle binary, tail binary")
+    samples = {name: F.col(name) for name in ("head", "middle", "tail")}
+    return d.select("path", file_fingerprint(F.col("path"), F.col("size_bytes"), F.col("us"), samples).alias("fingerprint"))
+
+
+def opened(path: str):
+    """A file of a listing for reading at any place: local, or in a store that Arrow knows."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow.fs import FileSystem
+
+    store, name = FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_file(name)
 
 
 def scan_inventory(listing: DataFrame, max_media: int | None = None, *, fold_case: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """Record and document parsing on small text fixtures, including damaged input."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,21 @@ def test_fingerprints_see_changes(spark, tmp_path):
     first = docs.source_fingerprints(spark, str(tmp_path)).first().fingerprint
     p.write_bytes(b"x" * 100_000 + b"y" + b"x" * 99_999)
     assert docs.source_fingerprints(spark, str(tmp_path)).first().fingerprint != first
+
+
+def test_fingerprints_of_files_of_any_length(spark, tmp_path):
+    length = (1 << 31) + 500_001
+    p = tmp_path / "a film #1 100%.mkv"
+    (tmp_path / "short.mkv").write_bytes(b"x")
+    marks = set()
+    for at in (None, 0, (length - 65_536) // 2, length - 1, 100_000_000):  # the last one lies outside the samples
+        with p.open("wb") as file:
+            file.truncate(length)
+            if at is not None:
+                file.seek(at)
+                file.write(b"y")
+        os.utime(p, (1_700_000_000, 1_700_000_000))
+        rows = {r.path.rsplit("/", 1)[1]: r.fingerprint for r in docs.source_fingerprints(spark, str(tmp_path)).collect()}
+        assert set(rows) == {p.name, "short.mkv"}
+        marks.add(rows[p.name])
+    assert len(marks) == 4
