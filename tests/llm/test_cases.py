@@ -317,6 +317,14 @@ def test_a_crowd_that_repeats_a_passage(spark, crowd):
     assert {r.id: r.class_id for r in out} == dict(enumerate(want))
 
 
+def test_toxicity_trains_on_the_documented_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.range(0)), "limit", lambda self, n: seen.append(n) or self)
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert seen[0] == 10_000
+
+
 def test_near_odd_rows(odd, none):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == 11
