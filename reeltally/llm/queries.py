@@ -1,7 +1,19 @@
 """Importing this module fills the registry."""
 
 import corpus_pipeline
-from reeltally.llm import bpe, chat, exact_dedup, html_text, near_dedup, packing, repeats, sharding, top_k, toxicity  # noqa: F401
+from reeltally.llm import (  # noqa: F401
+    bpe,
+    centroids,
+    chat,
+    exact_dedup,
+    html_text,
+    near_dedup,
+    packing,
+    repeats,
+    sharding,
+    top_k,
+    toxicity,
+)
 from reeltally.llm.registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
