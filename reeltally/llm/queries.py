@@ -10,6 +10,7 @@ from reeltally.llm import (  # noqa: F401
     near_dedup,
     packing,
     repeats,
+    resampling,
     sharding,
     top_k,
     toxicity,
