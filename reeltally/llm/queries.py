@@ -9,6 +9,7 @@ from reeltally.llm import (  # noqa: F401
     html_text,
     near_dedup,
     packing,
+    pieces,
     repeats,
     resampling,
     sharding,
