@@ -11,15 +11,103 @@ from reeltally.queries.registry import ORACLES, query
 from reeltally.sources import readers
 
 
-def _ingested(spark, lines, read):
-    """One text file per ``file_id``, its lines in order; the readers' ids are mapped back to it."""
+def _written(spark, lines):
+    """One text file per ``file_id``, its lines in order; the folder, and a table of the readers' paths and ids with the number ``of``."""
     path = shared_dir(spark)
     ordered = lines.repartition("file_id").sortWithinPartitions("file_id", "n")
     ordered.select("file_id", "value").write.partitionBy("file_id").text(path)
     names = readers.path_context(spark.read.text(path).select(F.col("_metadata.file_path").alias("path")).distinct())
-    number = F.regexp_extract("path", r"/file_id=([0-9]+)/", 1).cast("long")
-    rows = read(spark, path)[0].join(names.select("file_id", number.alias("__id")), "file_id")
-    return rows.drop("file_id").withColumnRenamed("__id", "file_id")
+    return path, names.withColumn("of", F.regexp_extract("path", r"/file_id=([0-9]+)/", 1).cast("long"))
+
+
+def _numbered(rows, names):
+    """The readers' ids mapped back."""
+    return rows.join(names.select("file_id", "of"), "file_id").drop("file_id").withColumnRenamed("of", "file_id")
+
+
+def _ingested(spark, lines, read):
+    path, names = _written(spark, lines)
+    return _numbered(read(spark, path)[0], names)
+
+
+def _document_lines(rows, head: str, tail: str):
+    """The lines of one JSON document per ``file_id``: ``value`` are the records, in the order of ``n``."""
+    ends = rows.groupBy("file_id").agg(F.max("n").alias("last"))
+    edge = lambda n, text: ends.select("file_id", n.cast("long").alias("n"), F.lit(text).alias("value"))
+    body = rows.select("file_id", "n", F.concat(F.when(F.col("n") == 0, "").otherwise(", "), "value").alias("value"))
+    return body.unionByName(edge(F.lit(-1), head)).unionByName(edge(F.col("last") + 1, tail))
+
+
+def _frame_documents(spark, sf):
+    """A film's frames in one document, with braces and brackets in texts, nested side data and another array behind them."""
+    f = v.frames(spark, sf)
+    fields = F.struct(*[c.alias(k) for k, c in s._frame_fields(F.col("o_orderkey")).items()], F.array(F.struct(F.lit("}],").alias("type"))).alias("side_data"))
+    rows = f.select("file_id", F.col("ordinal").alias("n"), F.when(F.col("o_orderkey") % 499 == 3, "{:}").otherwise(F.to_json(fields)).alias("value"))
+    lines = _document_lines(rows, '{"note": "{[\\"", "frames": [', '], "streams": [{"index": 0}]}')
+    cut = (F.col("file_id") % 9 == 4) & (F.col("value").startswith("]"))
+    return lines.withColumn("value", F.when(cut, "]").otherwise(F.col("value")))
+
+
+def _metric_documents(spark, sf):
+    f = v.frames(spark, sf)
+    k = F.col("o_orderkey")
+    metrics = F.map_filter(F.create_map(F.lit("psnr"), F.lit(40.0), F.lit("vmaf"), F.when(k % 503 == 5, 1001.0).otherwise(F.col("score_centi") / 100.0)), lambda name, _: (name != "vmaf") | (k % 509 != 7))
+    rows = f.select("file_id", F.col("ordinal").alias("n"), F.to_json(F.struct(F.col("ordinal").alias("frameNum"), metrics.alias("metrics"))).alias("value"))
+    return _document_lines(rows, '{"version": "2", "frames": [', '], "pooled_metrics": {"vmaf": {"min": 1}}}')
+
+
+def _scene_documents(spark, sf):
+    f = v.frames(spark, sf)
+    index = F.col("ordinal") + F.when((F.col("file_id") % 5 == 2) & (F.col("ordinal") > 3), 1).otherwise(0)
+    record = F.struct(index.alias("SequenceFrameIndex"), F.lit(1).alias("NumberOfWindows"), (F.col("o_orderkey") % 7).alias("SceneId"), F.struct(F.array(F.lit(1)).alias("Values")).alias("Luminance"))
+    rows = f.select("file_id", F.col("ordinal").alias("n"), F.to_json(record).alias("value"))
+    return _document_lines(rows, '{"JSONInfo": {"HDR10plusProfile": "B"}, "SceneInfo": [', '], "SceneInfoSummary": {"SceneFrameNumbers": [1]}}')
+
+
+def _scenes_read(spark, sf):
+    path, names = _written(spark, _scene_documents(spark, sf))
+    due = v.frames(spark, sf).groupBy(F.col("file_id").alias("of")).agg((F.count(F.lit(1)) + F.when(F.col("of") % 7 == 3, 1).otherwise(0)).alias("frames"))
+    rows, bad = readers.read_dynamic_metadata(spark, path, names.join(due, "of").select("path", "frames"), glob="*")
+    return _numbered(rows, names), _numbered(bad, names)
+
+
+@query("ingest_frame_documents", f"""WITH {s.FRAME_SQL}
+SELECT f.file_id, f.ordinal, f.t_us, f.sar, f.pix_fmt FROM fr f JOIN frames o ON o.file_id = f.file_id AND o.ordinal = f.ordinal
+WHERE f.reason IS NULL AND f.file_id % 9 <> 4 AND o.o_orderkey % 499 <> 3""")
+def ingest_frame_documents(spark, sf):
+    rows = _ingested(spark, _frame_documents(spark, sf), lambda *a: readers.read_frame_documents(*a, glob="*"))
+    return rows.select("file_id", "ordinal", "t_us", F.concat_ws(":", "sar.num", "sar.den").alias("sar"), "pix_fmt")
+
+
+@query("ingest_metric_documents", """
+SELECT file_id, 'vmaf' AS metric, ordinal AS frame, score_centi / 100e0 AS score FROM frames WHERE o_orderkey % 503 <> 5 AND o_orderkey % 509 <> 7""")
+def ingest_metric_documents(spark, sf):
+    rows = _ingested(spark, _metric_documents(spark, sf), lambda *a: readers.read_metric_reports(*a, "vmaf", glob="*"))
+    return rows.select("file_id", "metric", "frame", "score")
+
+
+@query("ingest_dynamic_metadata", """
+SELECT file_id, ordinal AS frame, o_orderkey % 7 AS scene_id FROM frames WHERE file_id % 7 <> 3 AND file_id % 5 <> 2""")
+def ingest_dynamic_metadata(spark, sf):
+    return _scenes_read(spark, sf)[0].drop("hash")
+
+
+@query("ingest_document_quarantine", f"""WITH {s.FRAME_SQL}
+SELECT 'frames' AS source, f.file_id, f.ordinal AS n, CASE WHEN o.o_orderkey % 499 = 3 THEN 'unreadable record' ELSE f.reason END AS reason
+FROM fr f JOIN frames o ON o.file_id = f.file_id AND o.ordinal = f.ordinal WHERE (f.reason IS NOT NULL OR o.o_orderkey % 499 = 3) AND f.file_id % 9 <> 4
+UNION ALL SELECT DISTINCT 'frames', file_id, CAST(NULL AS BIGINT), 'no frames array' FROM frames WHERE file_id % 9 = 4
+UNION ALL SELECT 'metrics', file_id, ordinal, CASE WHEN o_orderkey % 509 = 7 THEN 'no metric value' ELSE 'score out of range' END FROM frames WHERE o_orderkey % 503 = 5 OR o_orderkey % 509 = 7
+UNION ALL SELECT DISTINCT 'scenes', file_id, CAST(NULL AS BIGINT), CASE WHEN file_id % 7 = 3 THEN 'record count differs' ELSE 'invalid frame index or windows' END FROM frames
+  WHERE file_id % 7 = 3 OR (file_id % 5 = 2 AND ordinal > 3)""")
+def ingest_document_quarantine(spark, sf):
+    """What the three readers of JSON documents refuse."""
+    path, names = _written(spark, _frame_documents(spark, sf))
+    frames = _numbered(readers.read_frame_documents(spark, path, glob="*")[1], names)
+    path, names = _written(spark, _metric_documents(spark, sf))
+    metrics = _numbered(readers.read_metric_reports(spark, path, "vmaf", glob="*")[1], names)
+    scenes = _scenes_read(spark, sf)[1].withColumn("n", F.lit(None).cast("long"))
+    named = [d.select(F.lit(name).alias("source"), "file_id", "n", "reason") for name, d in (("frames", frames), ("metrics", metrics), ("scenes", scenes))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 @query("ingest_packet_records")

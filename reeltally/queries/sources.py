@@ -239,8 +239,7 @@ def read_tool_logs(spark, sf):
 @query("read_crop_samples", """
 WITH c AS (SELECT o_custkey AS file_id, o_orderkey % 3 AS position, o_orderkey AS n, 1900 - o_orderkey % 7 AS w, 1000 - o_orderkey % 5 AS h, o_orderkey % 23 AS x, o_orderkey % 97 AS y FROM orders),
 e AS (SELECT *, x // 2 * 2 AS x0, y // 2 * 2 AS y0, (x + w + 1) // 2 * 2 AS x1, (y + h + 1) // 2 * 2 AS y1 FROM c)
-SELECT file_id, position, n, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM e WHERE n % 31 <> 0 AND x + w <= 1920 AND y + h <= 1080 AND x1 <= 1920 AND y1 <= 1080
-QUALIFY row_number() OVER (PARTITION BY file_id, position ORDER BY n) <= 64""")
+SELECT file_id, position, n, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h FROM e WHERE n % 31 <> 0 AND x + w <= 1920 AND y + h <= 1080 AND x1 <= 1920 AND y1 <= 1080""")
 def read_crop_samples(spark, sf):
     k = F.col("o_orderkey")
     t = lambda c: c.cast("string")

@@ -261,13 +261,20 @@ def parse_loudness_reports(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, d.where(F.col("__reason").isNotNull()).select("file_id", "path", "value", F.col("__reason").alias("reason"))
 
 
+SCENE_FIELDS = "SequenceFrameIndex bigint, NumberOfWindows bigint, SceneId bigint"
+
+
+def _scene_rows(d: DataFrame) -> DataFrame:
+    """Rows of scene records ``r`` at ``frame``."""
+    return d.select("file_id", F.col("frame").cast("long").alias("frame"), F.col("r.SceneId").alias("scene_id"), F.sha2(F.to_json("r"), 256).alias("hash"))
+
+
 def parse_dynamic_metadata(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per-frame dynamic HDR JSON: one record per frame in order, one window each.
 
     ``documents`` also carries ``frames``, the expected count.
     """
-    schema = "SceneInfo array<struct<SequenceFrameIndex:bigint, NumberOfWindows:bigint, SceneId:bigint>>"
-    d = with_file_id(documents).withColumn("__r", F.from_json("value", schema)["SceneInfo"])
+    d = with_file_id(documents).withColumn("__r", F.from_json("value", f"SceneInfo array<struct<{SCENE_FIELDS}>>")["SceneInfo"])
     bad_at = F.exists(
         F.transform("__r", lambda x, i: F.coalesce((x["SequenceFrameIndex"] == i) & (x["NumberOfWindows"] == 1), F.lit(False))), lambda ok: ~ok
     )
@@ -277,12 +284,35 @@ def parse_dynamic_metadata(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         (bad_at, "invalid frame index or windows"),
     )
     d = judged(d, why)
-    rows = d.where(F.col("__reason").isNull()).select("file_id", F.posexplode("__r").alias("frame", "r")).select(
-        "file_id", F.col("frame").cast("long").alias("frame"), F.col("r.SceneId").alias("scene_id"), F.sha2(F.to_json("r"), 256).alias("hash")
-    )
+    rows = _scene_rows(d.where(F.col("__reason").isNull()).select("file_id", F.posexplode("__r").alias("frame", "r")))
     return rows, d.where(F.col("__reason").isNotNull()).select("file_id", "path", "value", F.col("__reason").alias("reason"))
 
 
+def judge_scene_count(context: DataFrame):
+    """Documents must hold as many records as ``context`` expects ``frames`` of their ``path``."""
+
+    def judge(documents: DataFrame) -> DataFrame:
+        d = documents.join(context.select("path", "frames"), "path", "left")
+        broken = F.when(F.col("reason").isNotNull(), "unreadable document")
+        return d.withColumn("reason", F.coalesce(broken, F.when(F.col("records") != F.col("frames"), "record count differs"))).drop("frames")
+
+    return judge
+
+
+def parse_scene_objects(records: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`parse_dynamic_metadata` on records that were cut out of documents, their counts judged before.
+
+    A record with another index or more windows puts its whole document into quarantine, with the first such record as its value.
+    """
+    d = with_file_id(records).withColumn("r", F.from_json("value", SCENE_FIELDS)).withColumnRenamed("n", "frame")
+    good = F.coalesce((F.col("r.SequenceFrameIndex") == F.col("frame")) & (F.col("r.NumberOfWindows") == 1), F.lit(False))
+    d = judged(d, F.when(~good, "invalid frame index or windows"))
+    bad = d.where(F.col("__reason").isNotNull()).groupBy("file_id", "path").agg(F.min_by("value", "frame").alias("value"), F.first("__reason").alias("reason"))
+    whole = with_file_id(documents.where("reason is not null")).select("file_id", "path", F.lit(None).cast("string").alias("value"), "reason")
+    # One row for each refused document: Spark broadcasts them by measured size.
+    return _scene_rows(d.join(bad.select("path"), "path", "left_anti")), whole.unionByName(bad)
+
+
 def parse_chunk_progress(documents: DataFrame) -> DataFrame:
     """Progress snapshots ``{frames, done: {chunk: {frames}}}`` to one row per finished chunk.
 

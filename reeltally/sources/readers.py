@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reeltally.functions import exprs as X
 from reeltally.sources import documents as docs
 from reeltally.sources import records as rec
+from reeltally.sources.json_splits import read_json_records
 from reeltally.sources.lines import read_documents, read_lines
 from reeltally.sources.records import read_tool_logs
 
@@ -45,13 +46,14 @@ def read_frame_records(spark: SparkSession, path: str, *, glob: str | None = Non
 
 
 def read_frame_documents(spark: SparkSession, path: str, *, glob: str = "*.json"):
-    return rec.parse_frame_documents(read_documents(spark, path, glob=glob))
+    """JSON frame documents of any size, cut into records split by split."""
+    return rec.parse_frame_objects(*read_json_records(spark, path, "frames", glob=glob))
 
 
 def read_metric_reports(spark: SparkSession, path: str, metric: str, *, glob: str | None = None):
     """Per-frame scores of one dialect: ssim, psnr and xpsnr text or vmaf JSON."""
     if metric == "vmaf":
-        return rec.parse_metric_documents(read_documents(spark, path, glob=glob))
+        return rec.parse_metric_objects(*read_json_records(spark, path, "frames", glob=glob))
     return rec.parse_metric_lines(read_lines(spark, path, glob=glob), metric)
 
 
@@ -92,7 +94,7 @@ def read_loudness_reports(spark: SparkSession, path: str, *, glob: str = "*.log"
 
 def read_dynamic_metadata(spark: SparkSession, path: str, context: DataFrame, *, glob: str = "*.json"):
     """``context`` gives the expected ``frames`` per path."""
-    return docs.parse_dynamic_metadata(_with_context(read_documents(spark, path, glob=glob), context))
+    return docs.parse_scene_objects(*read_json_records(spark, path, "SceneInfo", glob=glob, judge=docs.judge_scene_count(context)))
 
 
 def read_inventory(spark: SparkSession, path: str, *, recursive: bool = True, max_media: int | None = None):

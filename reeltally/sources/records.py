@@ -125,20 +125,49 @@ def parse_frame_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return numbered(rows, keys=["file_id"], order=["n"]).drop("n"), bad
 
 
-def parse_frame_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON frame documents ``{"frames": [...]}``; numbers may be text."""
-    fields = ", ".join(f"{f} string" for f in FRAME_FIELDS)
-    doc = F.from_json("value", f"frames array<struct<{fields.replace(' string', ':string')}>>")
-    d = with_file_id(documents).withColumn("doc", doc)
-    bad = d.where(F.col("doc.frames").isNull()).select("file_id", "path", F.lit(None).cast("long").alias("n"), "value", F.lit("no frames array").alias("reason"))
-    f = d.where(F.col("doc.frames").isNotNull()).select("file_id", "path", F.posexplode("doc.frames").alias("ordinal", "f"))
+def _frame_objects(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed rows and quarantine of frame structs ``f`` at ``ordinal``; ``broken`` marks those that could not be read."""
     cols, why = _frame_columns(lambda name: F.col("f")[name])
-    e = f.withColumn("ordinal", F.col("ordinal").cast("long")).withColumns(cols)
-    e = judged(e, why).select("file_id", "path", "ordinal", *FRAME_COLUMNS, "__reason")
-    rejected = e.where(F.col("__reason").isNotNull()).select(
+    d = judged(objects.withColumns(cols), F.when(F.col("broken"), "unreadable record").otherwise(why))
+    rejected = d.where(F.col("__reason").isNotNull()).select(
         "file_id", "path", F.col("ordinal").alias("n"), F.lit(None).cast("string").alias("value"), F.col("__reason").alias("reason")
     )
-    return e.where(F.col("__reason").isNull()).drop("__reason", "path"), bad.unionByName(rejected)
+    return d.where(F.col("__reason").isNull()).select("file_id", "ordinal", *FRAME_COLUMNS), rejected
+
+
+def _whole_document(documents: DataFrame, why: str) -> DataFrame:
+    """Quarantine rows of documents as a whole."""
+    return documents.select("file_id", "path", F.lit(None).cast("long").alias("n"), "value", F.lit(why).alias("reason"))
+
+
+def _read_objects(records: DataFrame, fields: str) -> DataFrame:
+    """Records ``path, n, value`` as structs ``f`` at ``ordinal``; text that is no object is ``broken``."""
+    kept = {"columnNameOfCorruptRecord": "_corrupt"}
+    d = with_file_id(records).withColumn("f", F.from_json("value", f"{fields}, _corrupt string", kept))
+    return d.select("file_id", "path", F.col("n").alias("ordinal"), "f", F.col("f._corrupt").isNotNull().alias("broken"))
+
+
+def parse_frame_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON frame documents ``{"frames": [...]}``; numbers may be text."""
+    doc = F.from_json("value", f"frames array<struct<{', '.join(f'{f}:string' for f in FRAME_FIELDS)}>>")
+    d = with_file_id(documents).withColumn("doc", doc)
+    f = d.where(F.col("doc.frames").isNotNull()).select("file_id", "path", F.posexplode("doc.frames").alias("ordinal", "f"), F.lit(False).alias("broken"))
+    rows, rejected = _frame_objects(f.withColumn("ordinal", F.col("ordinal").cast("long")))
+    return rows, _whole_document(d.where(F.col("doc.frames").isNull()), "no frames array").unionByName(rejected)
+
+
+def parse_frame_objects(records: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`parse_frame_documents` on what :func:`~reeltally.sources.json_splits.read_json_records` cut out of documents.
+
+    A record that is no JSON is quarantined by its position; it does not take its document with it.  Documents are quarantined without their text.
+    """
+    rows, rejected = _frame_objects(_read_objects(records, ", ".join(f"{f} string" for f in FRAME_FIELDS)))
+    return rows, _whole_document(refused(documents), "no frames array").unionByName(rejected)
+
+
+def refused(documents: DataFrame) -> DataFrame:
+    """Documents with a reason, in the form of a quarantine."""
+    return with_file_id(documents.where("reason is not null")).withColumn("value", F.lit(None).cast("string"))
 
 
 def parse_metric_lines(lines: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
@@ -181,18 +210,32 @@ def parse_metric_lines(lines: DataFrame, metric: str) -> tuple[DataFrame, DataFr
     return split_quarantine(d, ["file_id", "metric", "n", "frame", "score", "error"], ["file_id", "path", "n", "value"])
 
 
+METRIC_FIELDS = "frameNum bigint, metrics map<string,double>"
+
+
+def _metric_objects(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    score = F.try_element_at(F.col("f.metrics"), F.lit("vmaf"))
+    why = reason(
+        (F.col("broken"), "unreadable record"), (F.col("f.frameNum").isNull(), "no frame number"), (score.isNull(), "no metric value"),
+        (~score.between(-1000.0, 1000.0), "score out of range"),
+    )
+    e = judged(objects, why).select("file_id", "path", F.col("ordinal").cast("long").alias("n"), F.lit(None).cast("string").alias("value"), F.lit("vmaf").alias("metric"),
+                                    F.col("f.frameNum").alias("frame"), score.alias("score"), F.lit(None).cast("double").alias("error"), "__reason")
+    return split_quarantine(e, ["file_id", "metric", "n", "frame", "score", "error"], ["file_id", "path", "n", "value"])
+
+
 def parse_metric_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """VMAF JSON documents ``{"frames": [{"frameNum": 0, "metrics": {"vmaf": 95.1}}]}``."""
-    doc = F.from_json("value", "frames array<struct<frameNum:bigint, metrics:map<string,double>>>")
-    d = with_file_id(documents).withColumn("doc", doc)
-    bad = d.where(F.col("doc.frames").isNull()).select("file_id", "path", F.lit(None).cast("long").alias("n"), "value", F.lit("no frames array").alias("reason"))
-    f = d.select("file_id", "path", F.posexplode("doc.frames").alias("n", "f"))
-    score = F.try_element_at(F.col("f.metrics"), F.lit("vmaf"))
-    why = reason((F.col("f.frameNum").isNull(), "no frame number"), (score.isNull(), "no metric value"), (~score.between(-1000.0, 1000.0), "score out of range"))
-    e = judged(f, why).select("file_id", "path", F.col("n").cast("long").alias("n"), F.lit(None).cast("string").alias("value"), F.lit("vmaf").alias("metric"),
-                              F.col("f.frameNum").alias("frame"), score.alias("score"), F.lit(None).cast("double").alias("error"), "__reason")
-    rows, rejected = split_quarantine(e, ["file_id", "metric", "n", "frame", "score", "error"], ["file_id", "path", "n", "value"])
-    return rows, bad.unionByName(rejected)
+    d = with_file_id(documents).withColumn("doc", F.from_json("value", f"frames array<struct<{METRIC_FIELDS}>>"))
+    f = d.select("file_id", "path", F.posexplode("doc.frames").alias("ordinal", "f"), F.lit(False).alias("broken"))
+    rows, rejected = _metric_objects(f)
+    return rows, _whole_document(d.where(F.col("doc.frames").isNull()), "no frames array").unionByName(rejected)
+
+
+def parse_metric_objects(records: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`parse_metric_documents` on records that were cut out of documents; see :func:`parse_frame_objects`."""
+    rows, rejected = _metric_objects(_read_objects(records, METRIC_FIELDS))
+    return rows, _whole_document(refused(documents), "no frames array").unionByName(rejected)
 
 
 def metric_verdict(rows: DataFrame, expected: DataFrame | None = None) -> DataFrame:

@@ -223,3 +223,10 @@ def test_fingerprints_of_files_of_any_length(spark, tmp_path):
         assert set(rows) == {p.name, "short.mkv"}
         marks.add(rows[p.name])
     assert len(marks) == 4
+
+
+def test_every_crop_counts(spark):
+    """No rectangle of a position is left out, however many there are."""
+    text = [f"[Parsed_cropdetect] crop=1900:1000:{i % 16}:{i % 70}" for i in range(130)]
+    rows = rec.parse_crop_samples(lines(spark, text, position=1, frame_w=1920, frame_h=1080))
+    assert sorted(r.n for r in rows.collect()) == list(range(130))
