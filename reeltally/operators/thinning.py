@@ -1,117 +1,60 @@
-"""Batch log thinning over blocks of time.
+"""Batch log thinning by pointer doubling.
 
-Which redraw is logged depends on the previous logged one, so the rule is a chain.  The only thing
-that crosses a block boundary is the time of the last logged redraw, and it matters only when it
-lies in the last ten seconds before the boundary.  So every block is first run once per possible
-entry (a few redraw times), the short chains of block outcomes are followed per job, and the blocks
-are then run again with their true entry.
+Which redraw is logged depends on the redraw logged before, so a job's logged redraws are a chain from its first one: each leads to the first
+redraw at least ten seconds later.  Where every redraw leads is an as-of look-up.  Then the chains of all jobs are followed together: a round doubles how far
+the pointers lead and how many links are known, so the longest chain takes as many rounds as its length has bits, and no job is one task's work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reeltally.plans.blocks import neighbours, time_block
+from reeltally.plans.blocks import neighbours, running, time_block
+from reeltally.plans.session import materialise
 from reeltally.streaming.stateful import REDRAW_MS
 
 BLOCK_MS = 3_600_000
 
 
-def _due(times, entry):
-    """Redraw times that are logged, given the last logged time before them."""
-    out = []
-    for t in times:
-        if entry is None or t - entry >= REDRAW_MS:
-            out.append(t)
-            entry = t
-    return out, entry
-
-
-def _grouped(batches: Iterator[pd.DataFrame], width: int, handle, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Calls ``handle(key, rows)`` for runs of equal leading ``width`` columns in a sorted partition.
-
-    A run may cross Arrow batches; only the current run is held.
-    """
-    key, rows = None, []
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False, name=None):
-            if r[:width] != key:
-                if rows:
-                    out += handle(key, rows)
-                key, rows = r[:width], []
-            rows.append(r[width:])
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-    if rows:
-        yield pd.DataFrame(handle(key, rows), columns=columns)
-
-
-def _outcomes(key, rows):
-    """Exit of one block for every entry that can matter; -1 stands for none."""
-    inside = [t for t, halo in rows if not halo]
-    table = []
-    for entry in [None, *sorted({t for t, halo in rows if halo})]:
-        _, last = _due(inside, entry)
-        table.append((*key, -1 if entry is None else entry, -1 if last is None else last))
-    return table
-
-
-def _follow(key, rows):
-    """True entry of every block of one job, block by block."""
-    current, out, i = -1, [], 0
-    while i < len(rows):
-        block, table = rows[i][0], {}
-        while i < len(rows) and rows[i][0] == block:
-            table[rows[i][1]] = rows[i][2]
-            i += 1
-        entry = current if current in table else -1
-        out.append((*key, block, entry))
-        current = table[entry]
-    return out
-
-
-def _run(key, rows):
-    """Logged redraws of one block; of redraws at one time the first."""
-    entry = rows[0][2]
-    logged, last = [], None if entry < 0 else entry
-    for n, t, _ in rows:
-        if last is None or t - last >= REDRAW_MS:
-            logged.append((key[0], n))
-            last = t
-    return logged
-
-
-def _sorted_map(df: DataFrame, by: list[str], order: list[str], width: int, handle, schema: str) -> DataFrame:
-    """Runs ``handle`` over groups of ``by`` that Spark has partitioned and sorted."""
-    columns = [c.split()[0] for c in schema.split(", ")]
-    placed = df.repartition(*by).sortWithinPartitions(*by, *order)
-    return placed.mapInPandas(lambda batches: _grouped(batches, width, handle, columns), schema)
+def _leads(times: DataFrame, gap_ms: int, block_ms: int) -> DataFrame:
+    """``job_id, t_ms, to``: the first of a job's times at least ``gap_ms`` later, where there is one."""
+    # On the axis of negated times the first later time is the last one before, which a running maximum carries.
+    none = F.lit(None).cast("long")
+    marks = times.select("job_id", (-F.col("t_ms")).alias("__at"), F.lit(0).alias("__kind"), (-F.col("t_ms")).alias("__mark"), none.alias("t_ms"))
+    asks = times.select("job_id", (-F.col("t_ms") - gap_ms).alias("__at"), F.lit(1).alias("__kind"), none.alias("__mark"), "t_ms")
+    d = running(marks.unionByName(asks), keys=["job_id"], order=["__at", "__kind"], maxes={"__to": "__mark"}, block=time_block("__at", block_ms))
+    return d.where("__kind = 1 and __to is not null").select("job_id", "t_ms", (-F.col("__to")).alias("to"))
+
+
+def chains(starts: DataFrame, leads: DataFrame) -> DataFrame:
+    """``job_id, t_ms`` of everything that ``leads`` reaches from ``starts``, whose ``t_ms`` ascend along it."""
+    step, parts = materialise(leads), [materialise(starts.select("job_id", "t_ms"))]
+    while True:
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.unionByName(part)
+        # What is known are the first 2^k links of every chain, and ``step`` leads 2^k links on.
+        more = materialise(known.join(step, ["job_id", "t_ms"]).select("job_id", F.col("to").alias("t_ms")))
+        if more.isEmpty():
+            return known
+        parts.append(more)
+        on = step.select("job_id", F.col("t_ms").alias("to"), F.col("to").alias("__on"))
+        step = materialise(step.join(on, ["job_id", "to"]).select("job_id", "t_ms", F.col("__on").alias("to")))
 
 
 def thin_log(lines: DataFrame, *, block_ms: int = BLOCK_MS) -> DataFrame:
     """Lines kept by the redraw rule: at most one redraw per ten seconds, the last one before other
     output unless that repeats it, and the last one of the log.
 
-    ``lines``: ``job_id, n, t_ms, redraw, text`` with dense ``n`` and times that never decrease.
+    ``lines``: ``job_id, n, t_ms, redraw, text`` with dense ``n`` and times that never decrease.  Of redraws at one time the first can be logged.
     """
     d = lines.select("job_id", "n", "t_ms", "redraw", "text")
-    redraws = d.where("redraw").select("job_id", "n", "t_ms", time_block("t_ms", block_ms).alias("__block"))
-    late = F.pmod("t_ms", F.lit(block_ms)) >= block_ms - REDRAW_MS
-    homes = F.when(late, F.array(F.struct(F.col("__block").alias("b"), F.lit(False).alias("halo")), F.struct((F.col("__block") + 1).alias("b"), F.lit(True).alias("halo")))).otherwise(
-        F.array(F.struct(F.col("__block").alias("b"), F.lit(False).alias("halo"))))
-    spread = redraws.select("job_id", "t_ms", F.explode(homes).alias("h")).select("job_id", F.col("h.b").alias("__block"), "t_ms", "h.halo")
-    spread = spread.select("job_id", "__block", "t_ms", "halo")
-    outcomes = _sorted_map(spread, ["job_id", "__block"], ["t_ms"], 2, _outcomes, "job_id bigint, __block bigint, entry bigint, exit bigint")
-    # A few rows per block: the chain of blocks is the only per-job step.
-    entries = _sorted_map(outcomes, ["job_id"], ["__block"], 1, _follow, "job_id bigint, __block bigint, entry bigint")
-    entered = redraws.join(entries, ["job_id", "__block"]).select("job_id", "__block", "n", "t_ms", "entry")
-    due = _sorted_map(entered, ["job_id", "__block"], ["n"], 2, _run, "job_id bigint, n bigint")
-    marked = d.join(due.withColumn("__due", F.lit(True)), ["job_id", "n"], "left")
+    redraws = d.where("redraw").groupBy("job_id", "t_ms").agg(F.min("n").alias("n"))
+    times = redraws.select("job_id", "t_ms")
+    due = chains(times.groupBy("job_id").agg(F.min("t_ms").alias("t_ms")), _leads(times, REDRAW_MS, block_ms))
+    due = due.join(redraws, ["job_id", "t_ms"]).select("job_id", "n", F.lit(True).alias("__due"))
+    marked = d.join(due, ["job_id", "n"], "left")
     marked = marked.withColumn("__direct", ~F.col("redraw") | F.coalesce("__due", F.lit(False)))
     near = neighbours(marked, keys=["job_id"], order="n", next=["__direct", "text"])
     # A held redraw is released by the next logged line unless that repeats its text, and at the end.

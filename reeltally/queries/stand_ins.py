@@ -7,10 +7,14 @@ hot file never becomes one task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reeltally.plans.blocks import numbered
+from reeltally.plans.session import shared_dir
+from reeltally.streaming.runner import open_stream
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,3 +82,25 @@ def rung_samples(spark: SparkSession, sf: str) -> DataFrame:
         .cast("long")
         .alias("score_centi"),
     )
+
+
+def arriving(rows: DataFrame, *, parts: int = 4) -> DataFrame:
+    """``rows`` as a stream with one micro-batch for each value of ``arrival`` (from 0), of ``parts`` files each.
+
+    One job writes all files; rows of nulls see to it that there are as many for every arrival.  The source takes files by
+    their time, which is set to the order of arrivals.
+    """
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession)
+    d = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts).cast("long")))
+    last = rows.agg(F.max("arrival")).first()[0] or 0
+    fill = spark.range((last + 1) * parts).select(F.expr(f"id div {parts}").alias("arrival"), F.expr(f"id % {parts}").alias("part"))
+    d.unionByName(fill, allowMissingColumns=True).repartition("arrival", "part").write.partitionBy("arrival", "part").parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(root, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        found = re.search(r"/arrival=([0-9]+)/", file.toString())
+        if found:
+            fs.setTimes(file, 1_000_000_000_000 + 1000 * int(found[1]), -1)
+    return open_stream(spark, path, rows.drop("arrival").schema, files_per_trigger=parts, recursive=True)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from reeltally.operators import thinning
 from reeltally.plans.blocks import numbered
-from reeltally.plans.session import shared_dir
 from reeltally.queries import stand_ins as v
 from reeltally.queries.clocks import WINDOW
 from reeltally.queries.jobs import STATE, log_lines
@@ -32,32 +31,31 @@ def stream_windowed_rate(spark, sf):
 ORACLES["stream_windowed_rate"] = ORACLES["windowed_rate"]
 
 
-# Packets arrive in files of three days each; every 101st comes nine days late, behind the watermark of two days.
+# Packets arrive by three days each; every 101st comes nine days late, behind the watermark of two days.
 ARRIVAL_US, LATE_FILES, DELAY_US = 3 * 86_400_000_000, 3, 2 * 86_400_000_000
-ARRIVALS = f"""
+
+
+def _late_sql(behind: int) -> str:
+    """Packets with ``late``: their window ends behind the watermark, which is that of the micro-batches up to ``behind`` before."""
+    return f"""
 ar AS (SELECT file_id, stream_index, coalesce(pts_us, dts_us) AS t, size,
   coalesce(pts_us, dts_us) // {ARRIVAL_US} + CASE WHEN event_id % 101 = 0 THEN {LATE_FILES} ELSE 0 END AS a FROM packets WHERE coalesce(pts_us, dts_us) >= 0),
-seen AS (SELECT a, max(t // 1000 * 1000) AS m FROM ar GROUP BY a),
-wm AS (SELECT a, max(m) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - {DELAY_US} AS w FROM seen),
+every AS (SELECT unnest(range(max(a) + 1)) AS a FROM ar),
+seen AS (SELECT a, max(t // 1000 * 1000) AS m FROM every LEFT JOIN ar USING (a) GROUP BY a),
+wm AS (SELECT a, max(m) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND {behind} PRECEDING) - {DELAY_US} AS w FROM seen),
 k AS (SELECT ar.*, t // {WINDOW} AS k, coalesce((t // {WINDOW} + 1) * {WINDOW} <= w, false) AS late FROM ar JOIN wm USING (a))
 """
 
 
 def _arrivals(spark, sf):
-    """The packets as a stream of one file to a micro-batch, in the order of arrival."""
+    """The packets as a stream, a micro-batch for each arrival."""
     t = F.coalesce("pts_us", "dts_us")
     p = v.packets(spark, sf, keep_id=True).where(t >= 0).select("file_id", "stream_index", t.alias("t_us"), "size", "event_id")
     late = F.when(F.col("event_id") % 101 == 0, LATE_FILES).otherwise(0)
-    p = p.withColumn("arrival", F.expr(f"t_us div {ARRIVAL_US}") + late).drop("event_id")
-    path = shared_dir(spark)
-    for i in range(p.agg(F.max("arrival")).first()[0] + 1):
-        part = p.where(F.col("arrival") == i).drop("arrival")
-        if not part.isEmpty():
-            part.coalesce(1).write.mode("append").parquet(path)
-    return open_stream(spark, path, p.drop("arrival").schema, files_per_trigger=1)
+    return v.arriving(p.withColumn("arrival", F.expr(f"t_us div {ARRIVAL_US}") + late).drop("event_id"))
 
 
-@query("stream_windowed_rate_append", f"""WITH {ARRIVALS}
+@query("stream_windowed_rate_append", f"""WITH {_late_sql(2)}
 SELECT file_id, stream_index, k * {WINDOW} AS start_us, CAST(sum(size) AS BIGINT) AS packet_bytes FROM k WHERE NOT late
 GROUP BY file_id, stream_index, k HAVING (k + 1) * {WINDOW} <= (SELECT max(m) - {DELAY_US} FROM seen)""")
 def stream_windowed_rate_append(spark, sf):
@@ -66,12 +64,22 @@ def stream_windowed_rate_append(spark, sf):
     return run_available(rate, mode="append").drop("batch")
 
 
-@query("stream_late_packets", f"""WITH {ARRIVALS}
-SELECT file_id, stream_index, count(*) AS late_packets, CAST(sum(size) AS BIGINT) AS late_bytes FROM k WHERE late GROUP BY ALL""")
+def _rate_and_late(spark, sf):
+    return run_available(stateful.stream_rate_and_late(_arrivals(spark, sf), WINDOW, f"{DELAY_US} microseconds"), mode="append")
+
+
+@query("stream_closed_windows", f"""WITH {_late_sql(1)}
+SELECT file_id, stream_index, k * {WINDOW} AS start_us, count(*) AS packets, CAST(sum(size) AS BIGINT) AS packet_bytes FROM k WHERE NOT late
+GROUP BY file_id, stream_index, k HAVING (k + 1) * {WINDOW} <= (SELECT max(m) - {DELAY_US} FROM seen)""")
+def stream_closed_windows(spark, sf):
+    return stateful.closed_windows(_rate_and_late(spark, sf))
+
+
+@query("stream_late_packets", f"""WITH {_late_sql(1)}
+SELECT file_id, stream_index, k * {WINDOW} AS start_us, t AS t_us, CAST(size AS BIGINT) AS packet_bytes FROM k WHERE late""")
 def stream_late_packets(spark, sf):
-    """What the append form drops, counted from a copy of the arrivals."""
-    late = native.late_packets(run_available(_arrivals(spark, sf), mode="append"), WINDOW, DELAY_US)
-    return late.groupBy("file_id", "stream_index").agg(F.count(F.lit(1)).alias("late_packets"), F.sum("size").alias("late_bytes"))
+    """The same stream's other rows: packets that come after their window was closed."""
+    return _rate_and_late(spark, sf).where("kind = 'late'").select("file_id", "stream_index", "start_us", "t_us", "packet_bytes")
 
 
 @query("stream_job_state", f"WITH {STATE} SELECT * FROM latest")
@@ -103,15 +111,26 @@ k AS (SELECT *, CASE WHEN t - t_last >= 15000 THEN 'waiting' WHEN t - t0 >= 5000
 SELECT job_id, t AS t_ms, kind, round(CASE WHEN kind = 'estimate' THEN (p - p0) / ((t - t0) / 1000e0) END, 6) AS speed,
   round(CASE WHEN kind = 'estimate' AND duration > p THEN (duration - p) / ((p - p0) / ((t - t0) / 1000e0)) END, 6) AS remaining_s FROM k""")
 def progress_estimate(spark, sf):
-    """Observations every few seconds: event time runs ten thousand times slower."""
+    """Observations every few seconds: event time runs ten thousand times slower.  They arrive out of order over many files."""
     i = F.col("event_id")
-    o = _events(spark, sf).select(
+    o = v.events(spark, sf).select(
         F.col("user_id").alias("job_id"), F.when(F.col("user_id") % 7 == 0, F.when(i % 500 < 250, "a").otherwise("b")).otherwise("a").alias("phase"), i.alias("seq"),
         F.expr("t_us div 10000000").alias("t_ms"), (i / 100.0).alias("progress"), F.when(F.col("user_id") % 3 != 0, 120.0).alias("duration"))
-    out = run_available(stateful.progress_estimate(o, timers=False)).drop("batch")
+    out = run_available(stateful.progress_estimate(_shuffled(o, "seq"), delay=DELAY), mode="append").drop("batch")
     return out.withColumns({"speed": F.round("speed", 6), "remaining_s": F.round("remaining_s", 6)})
 
 
+# Rows arrive by sixteen seconds, some up to sixteen seconds late.
+SPAN_MS, SPREAD_MS, DELAY = 16_000, 4_000, "20 seconds"
+
+
+def _shuffled(rows, order: str):
+    """Rows out of order over micro-batches; a last one without a job moves the watermark behind all of them."""
+    d = rows.withColumn("arrival", F.expr(f"(t_ms + `{order}` % 5 * {SPREAD_MS}) div {SPAN_MS}"))
+    end = d.agg((F.max("t_ms") + 3_600_000).alias("t_ms"), (F.max("arrival") + 1).alias("arrival"))
+    return v.arriving(d.unionByName(end, allowMissingColumns=True))
+
+
 def _redraws(lines):
     """Log lines with a redraw flag; event time runs ten thousand times slower."""
     return lines.select("job_id", "n", F.expr("t_us div 10000000").alias("t_ms"), (F.col("event_id") % 8 != 0).alias("redraw"), F.concat(F.lit("frame "), (F.col("event_id") % 3).cast("string")).alias("text"))
@@ -131,11 +150,11 @@ def thin_log(spark, sf):
 
 @query("thin_progress_log")
 def thin_progress_log(spark, sf):
-    """The stream; a log's last line is known from the stored events."""
+    """The stream, its lines out of order; a log's last line is known from the stored events."""
     ends = v.table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max("event_id").alias("end"))
-    lines = _redraws(_events(spark, sf).withColumn("job_id", F.col("user_id")).withColumn("n", F.col("event_id")))
-    lines = lines.join(ends, "job_id").withColumn("last", F.col("n") == F.col("end"))
-    out = run_available(stateful.thin_progress_log(lines)).drop("batch")
+    lines = _redraws(v.events(spark, sf).withColumn("job_id", F.col("user_id")).withColumn("n", F.col("event_id")))
+    lines = lines.join(ends, "job_id").select("*", (F.col("n") == F.col("end")).alias("last")).drop("end")
+    out = run_available(stateful.thin_progress_log(_shuffled(lines, "n"), delay=DELAY), mode="append").drop("batch")
     # Positions in the table become positions in the job's log, as the batch form has them.
     place = v.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("n"))
     place = numbered(place, keys=["job_id"], order=["n"], name="at")

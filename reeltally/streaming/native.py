@@ -33,22 +33,6 @@ def stream_windowed_rate(
     return g.select(*keys, F.unix_micros("w.start").alias("start_us"), "packet_bytes")
 
 
-def late_packets(
-    arrived: DataFrame, window_us: int, watermark_us: int, *, t: str = "t_us", batch: str = "batch"
-) -> DataFrame:
-    """Packets that :func:`stream_windowed_rate` drops in append mode, from a copy of the arrivals with their ``batch``.
-
-    In a micro-batch a window is closed once its end is not after the latest time of the batches up to the one before the last,
-    less the watermark's delay: that is the watermark Spark drops late rows by.  The copy is what counts them.
-    """
-    seen = arrived.groupBy(batch).agg(F.max(F.expr(f"`{t}` div 1000 * 1000")).alias("__seen"))
-    # One row per micro-batch.
-    earlier = W.orderBy(batch).rowsBetween(W.unboundedPreceding, -2)
-    closed = seen.select(batch, (F.max("__seen").over(earlier) - watermark_us).alias("__closed"))
-    end = F.expr(f"(`{t}` - pmod(`{t}`, {window_us}L)) + {window_us}L")
-    return arrived.join(closed, batch).where(end <= F.col("__closed")).drop("__closed")
-
-
 def fill_windows(updates: DataFrame, window_us: int, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Final value per window from the written updates, zero-filled between first and last window."""
     keys = list(keys)

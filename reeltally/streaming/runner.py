@@ -10,9 +10,9 @@ from reeltally.plans.session import shared_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def open_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet data at ``path`` (a folder or one file) as a stream; the trigger size bounds one micro-batch."""
-    r = spark.readStream.schema(schema)
+def open_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int | None = None, recursive: bool = False) -> DataFrame:
+    """Parquet data at ``path`` (a folder, with those below it if ``recursive``, or one file) as a stream; the trigger size bounds one micro-batch."""
+    r = spark.readStream.schema(schema).option("recursiveFileLookup", str(recursive).lower())
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     # As a glob the path may also name a single file.

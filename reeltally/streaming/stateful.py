@@ -1,19 +1,22 @@
 """Custom stateful streams: progress estimates, log thinning, clock checks.
 
-Per-key state is a handful of values.  Rows of one key in one micro-batch are put in order before
-use, so the trigger size of the source bounds the memory of a task.  The clock check also
-splits a stream into parts of fixed length, so a hot stream spreads over many keys.
+Per-key state is a handful of values.  With a ``delay`` the rows of a job may come out of order across micro-batches: a reorder buffer holds them
+by the second until the watermark has passed it, so a job's state is what ``delay`` spans and what is put in order at once is
+what one advance of the watermark frees.  Without one, the rows of one key in one micro-batch are put in order, and the trigger size of the source
+bounds them.  The clock check also splits a stream into parts of fixed length, so a hot stream spreads over many keys; a job's log and
+estimates are one chain of decisions, so a job stays one key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from reeltally.plans.blocks import KEYS
 from reeltally.streaming.runner import use_rocksdb
 
 MIN_MS = 5_000
@@ -21,12 +24,74 @@ WINDOW_MS = 30_000
 STALE_MS = 15_000
 REDRAW_MS = 10_000
 PART_ROWS = 65_536
+SALTS = 8
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by, kind="stable")
 
 
+PLAIN = {"bigint": int, "double": float, "boolean": bool, "string": str}
+
+
+class Reorder:
+    """Rows of one key, held by the second of their ``t_ms`` until the watermark has passed it.
+
+    One timer a key waits for the oldest second.  Spark drops rows behind the watermark before they come here, and what is released
+    lies behind it, so no row can follow that should have come before.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, fields: dict[str, str]) -> None:
+        self.handle, self.fields = handle, fields
+        self.rows = handle.getMapState("held", "second bigint", ", ".join(f"{name} array<{kind}>" for name, kind in fields.items()))
+        self.due = handle.getValueState("due", "at bigint")
+
+    def _wait(self, at: int | None) -> None:
+        old = int(self.due.get()[0]) if self.due.exists() else None
+        if old is not None and at != old:
+            self.handle.deleteTimer(old)
+        if at is None:
+            self.due.clear()
+        elif at != old:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def hold(self, batches: Iterator[pd.DataFrame]) -> None:
+        first = None
+        for rows in batches:
+            for second, part in rows.groupby(rows["t_ms"] // 1000):
+                key = (int(second),)
+                held = self.rows.getValue(key) if self.rows.containsKey(key) else [[]] * len(self.fields)
+                # A column with nulls elsewhere in the batch comes as floats, which the state would take for nulls.
+                plain = ([None if pd.isna(x) else PLAIN[kind](x) for x in part[name]] for name, kind in self.fields.items())
+                self.rows.updateValue(key, tuple([*old, *new] for old, new in zip(held, plain)))
+                first = int(second) if first is None else min(first, int(second))
+        if first is not None:
+            at = (first + 1) * 1000
+            self._wait(min(at, int(self.due.get()[0])) if self.due.exists() else at)
+
+    def release(self, watermark_ms: int, order: list[str]) -> pd.DataFrame:
+        """What the watermark has passed, in order."""
+        seconds = sorted(int(key[0]) for key in self.rows.keys())
+        ready = [second for second in seconds if (second + 1) * 1000 <= watermark_ms]
+        out = {name: [] for name in self.fields}
+        for second in ready:
+            for name, values in zip(self.fields, self.rows.getValue((second,))):
+                out[name] += values
+            self.rows.removeKey((second,))
+        self._wait((seconds[len(ready)] + 1) * 1000 if len(ready) < len(seconds) else None)
+        return pd.DataFrame(out).sort_values(order, kind="stable", ignore_index=True)
+
+
+NOBODY = -(1 << 63)
+
+
+def _jobs(rows: DataFrame, delay: str | None) -> DataFrame:
+    """Rows for a processor by job.  A null key would turn the batch's keys into floats, which the state takes for nulls."""
+    d = rows.withColumn("job_id", F.coalesce("job_id", F.lit(NOBODY).cast("long")))
+    return d.withColumn("event_time", F.timestamp_millis("t_ms")).withWatermark("event_time", delay) if delay else d
+
+
 # Progress estimates ---------------------------------------------------------
 
 ESTIMATE_SCHEMA = "job_id bigint, t_ms bigint, kind string, speed double, remaining_s double"
@@ -80,28 +145,45 @@ def estimates(rows: pd.DataFrame, ring: pd.DataFrame) -> tuple[pd.DataFrame, pd.
 
 
 class ProgressProcessor(StatefulProcessor):
-    def __init__(self, timers: bool) -> None:
-        self.timers = timers
+    """``mode``: ``silence`` (rows as they come, a timer for silent jobs), ``arrival`` (as they come) or ``event`` (through the reorder buffer)."""
+
+    FIELDS = {"t_ms": "bigint", "seq": "bigint", "phase": "string", "progress": "double", "duration": "double"}
+
+    def __init__(self, mode: str) -> None:
+        self.mode = mode
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("progress", "phase string, times array<bigint>, values array<double>")
+        self.buffer = Reorder(handle, self.FIELDS) if self.mode == "event" else None
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _estimated(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         s = self.state.get() if self.state.exists() else (None, [], [])
         ring = pd.DataFrame({"t_ms": list(s[1]), "phase": [s[0]] * len(s[1]), "progress": list(s[2])})
-        seen = _ordered(rows, ["t_ms", "seq"])[["t_ms", "phase", "progress", "duration"]]
-        out, ring = estimates(seen, ring)
+        out, ring = estimates(rows[["t_ms", "phase", "progress", "duration"]], ring)
         phase = ring["phase"].iloc[-1] if len(ring) else None
         self.state.update((phase, [int(x) for x in ring["t_ms"]], [float(x) for x in ring["progress"]]))
-        if self.timers:
+        out.insert(0, "job_id", key[0])
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        if key[0] == NOBODY:
+            return
+        if self.buffer:
+            self.buffer.hold(rows)
+            return
+        yield self._estimated(key, _ordered(rows, ["t_ms", "seq"]))
+        if self.mode == "silence":
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + STALE_MS)
-        out.insert(0, "job_id", key[0])
-        yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.buffer:
+            rows = self.buffer.release(timerValues.getCurrentWatermarkInMs(), ["t_ms", "seq"])
+            if len(rows):
+                yield self._estimated(key, rows)
+            return
         s = self.state.get() if self.state.exists() else None
         if s is not None and len(s[1]) > 0:
             row = (key[0], int(s[1][-1]) + STALE_MS, "waiting", None, None)
@@ -111,18 +193,20 @@ class ProgressProcessor(StatefulProcessor):
         pass
 
 
-def progress_estimate(observations: DataFrame, *, timers: bool = True) -> DataFrame:
+def progress_estimate(observations: DataFrame, *, timers: bool = True, delay: str | None = None) -> DataFrame:
     """Speed and remaining time per job.
 
-    ``observations``: ``job_id, phase, seq, t_ms, progress, duration``.  A job that stays silent for fifteen
-    seconds gets a ``waiting`` row from a processing-time timer.  Replays of recorded observations pass
-    ``timers=False``, as a stream with timers never runs out of batches.
+    ``observations``: ``job_id, phase, seq, t_ms, progress, duration``.  With a ``delay`` they may come that much out of order: each is
+    estimated in its place once the watermark has passed its second, and later ones are dropped.  Without, observations count as they come, and a
+    job that stays silent for fifteen seconds gets a ``waiting`` row from a processing-time timer; replays pass ``timers=False``, as a stream
+    with such timers never runs out of batches.  Rows without a job only move the watermark.
     """
     use_rocksdb(observations.sparkSession)
-    cols = ["job_id", "phase", "seq", "t_ms", "progress", "duration"]
-    return observations.select(*cols).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=ProgressProcessor(timers), outputStructType=ESTIMATE_SCHEMA, outputMode="Update",
-        timeMode="ProcessingTime" if timers else "None",
+    mode = "event" if delay else "silence" if timers else "arrival"
+    d = observations.select("job_id", "phase", "seq", "t_ms", "progress", "duration")
+    return _jobs(d, delay).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=ProgressProcessor(mode), outputStructType=ESTIMATE_SCHEMA, outputMode="Append" if delay else "Update",
+        timeMode={"event": "EventTime", "silence": "ProcessingTime", "arrival": "None"}[mode],
     )
 
 
@@ -149,35 +233,56 @@ def thin_rows(rows: pd.DataFrame, logged: int | None, held: tuple[int, int, str]
 
 
 class ThinProcessor(StatefulProcessor):
+    FIELDS = {"t_ms": "bigint", "n": "bigint", "redraw": "boolean", "text": "string", "last": "boolean"}
+
+    def __init__(self, by_event: bool) -> None:
+        self.by_event = by_event
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("thin", "logged bigint, held_n bigint, held_t bigint, held_text string")
+        self.buffer = Reorder(handle, self.FIELDS) if self.by_event else None
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _thinned(self, key, lines: pd.DataFrame) -> pd.DataFrame:
         s = self.state.get() if self.state.exists() else (None, None, None, None)
         held = None if s[1] is None else (int(s[1]), int(s[2]), s[3])
-        lines = _ordered(rows, ["n"])
         out, logged, held = thin_rows(lines, None if s[0] is None else int(s[0]), held)
         if held is not None and lines["last"].any():
             # The log has ended: nothing can supersede the line that is held.
             out, held = [*out, held], None
         self.state.update((logged, *(held or (None, None, None))))
-        yield pd.DataFrame([(key[0], *line) for line in out], columns=["job_id", "n", "t_ms", "text"])
+        return pd.DataFrame([(key[0], *line) for line in out], columns=["job_id", "n", "t_ms", "text"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        if key[0] == NOBODY:
+            return
+        if self.buffer:
+            self.buffer.hold(rows)
+        else:
+            yield self._thinned(key, _ordered(rows, ["n"]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        lines = self.buffer.release(timerValues.getCurrentWatermarkInMs(), ["n"])
+        if len(lines):
+            yield self._thinned(key, lines)
 
     def close(self) -> None:
         pass
 
 
-def thin_progress_log(lines: DataFrame) -> DataFrame:
+def thin_progress_log(lines: DataFrame, *, delay: str | None = None) -> DataFrame:
     """Job log lines with at most one progress redraw per ten seconds plus the last before other output.
 
     ``lines``: ``job_id, n, t_ms, redraw, text`` and, if known, ``last``: true on a log's last line.  A redraw still held
-    back when the stream pauses waits for the next line; that mark releases it.
+    back when the stream pauses waits for the next line; that mark releases it.  With a ``delay`` lines may come that much out of order; their times
+    never decrease along ``n``.  Rows without a job only move the watermark.
     """
     use_rocksdb(lines.sparkSession)
     if "last" not in lines.columns:
         lines = lines.withColumn("last", F.lit(False))
-    return lines.select("job_id", "n", "t_ms", "redraw", "text", "last").groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=ThinProcessor(), outputStructType=THIN_SCHEMA, outputMode="Update", timeMode="None"
+    d = lines.select("job_id", "n", "t_ms", "redraw", "text", "last")
+    return _jobs(d, delay).groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=ThinProcessor(delay is not None), outputStructType=THIN_SCHEMA, outputMode="Append" if delay else "Update",
+        timeMode="EventTime" if delay else "None",
     )
 
 
@@ -259,3 +364,75 @@ def clock_verdict(updates: DataFrame) -> DataFrame:
         F.min_by(F.col("s.reason"), F.col("s.first_bad")).alias("reason"),
     )
     return d.withColumn("ok", F.col("first_bad").isNull())
+
+
+# Windowed rate with late packets ---------------------------------------------
+
+RATE_SCHEMA = "kind string, start_us bigint, packets bigint, packet_bytes bigint, t_us bigint"
+
+
+class RateProcessor(StatefulProcessor):
+    """Sums one window's part; the watermark closes it, and what comes afterwards goes out as it is."""
+
+    def __init__(self, window_us: int) -> None:
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "packets bigint, packet_bytes bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        start, end = int(key[-2]), int(key[-2]) + self.window_us
+        if end <= timerValues.getCurrentWatermarkInMs() * 1000:
+            for part in rows:
+                yield self._rows(key, "late", start, 1, part["size"], part["t_us"])
+            return
+        packets, total = self.sums.get() if self.sums.exists() else (0, 0)
+        if not packets:
+            self.handle.registerTimer(-(-end // 1000))
+        for part in rows:
+            packets, total = packets + len(part), total + int(part["size"].sum())
+        self.sums.update((packets, total))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        packets, total = self.sums.get()
+        self.sums.clear()
+        yield self._rows(key, "window", int(key[-2]), packets, [total], [None])
+
+    def _rows(self, key, kind, start, packets, sizes, times) -> pd.DataFrame:
+        out = pd.DataFrame({"kind": kind, "start_us": start, "packets": packets, "packet_bytes": sizes, "t_us": times})
+        out["t_us"] = out["t_us"].astype("Int64")
+        for i, value in enumerate(key[:-2]):
+            out.insert(i, f"__k{i}", value)
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_and_late(packets: DataFrame, window_us: int, delay: str, *, keys: Sequence[str] = KEYS, t: str = "t_us", size: str = "size", salts: int = SALTS) -> DataFrame:
+    """Closed windows and late packets of one stream, in append mode: ``kind`` is ``window`` or ``late``.
+
+    A window is closed by the first micro-batch whose watermark (the latest time of the batches before it, less ``delay``) is not before its end;
+    from that batch on its packets are late, each a row with its ``t_us``.  Sums are kept in ``salts`` parts of a window by the packet's
+    time, so a hot stream spreads over tasks: a window has one row for each part, see :func:`closed_windows`.  Packets without a key or time are left out;
+    windows are aligned to time zero.
+    """
+    use_rocksdb(packets.sparkSession)
+    start = F.expr(f"`{t}` - pmod(`{t}`, {int(window_us)}L)")
+    d = packets.dropna(subset=[*keys, t]).withColumn("event_time", F.timestamp_micros(F.col(t))).withWatermark("event_time", delay)
+    # Without the time column Spark drops nothing before the processor has seen it; only the watermark goes on.
+    salt = F.pmod(F.xxhash64(t), F.lit(int(salts)).cast("long"))
+    d = d.select(*keys, start.alias("__start"), salt.alias("__salt"), F.col(t).alias("t_us"), F.col(size).cast("long").alias("size"))
+    kinds = [d.schema[k].dataType.simpleString() for k in keys]
+    named = ", ".join(f"__k{i} {kind}" for i, kind in enumerate(kinds))
+    out = d.groupBy(*keys, "__start", "__salt").transformWithStateInPandas(
+        statefulProcessor=RateProcessor(window_us), outputStructType=f"{named}, {RATE_SCHEMA}", outputMode="Append", timeMode="EventTime"
+    )
+    return out.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keys)})
+
+
+def closed_windows(written: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Packets and bytes of every closed window, from the rows that :func:`stream_rate_and_late` has written."""
+    d = written.where("kind = 'window'").groupBy(*keys, "start_us")
+    return d.agg(F.sum("packets").alias("packets"), F.sum("packet_bytes").alias("packet_bytes"))
