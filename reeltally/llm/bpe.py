@@ -21,10 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reeltally.llm.chunks import distinct, gathered
 from reeltally.llm.registry import query, table
 
 LEAF_BYTES = 32
-CACHED_PIECES = 300_000
+CACHED_PIECES = 300_000  # some 70 MB; emptied when a task ends
 BATCH_CHARS = 1_000_000
 # White space as the tokenizer libraries' patterns have it (Unicode White_Space); Python's adds U+001C to U+001F.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,33 +62,60 @@ class Splitter:
     """
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+    END = 0x110000  # stands behind every text, as a match of its own
 
     def __init__(self):
         kinds = {"L": 1, "N": 2}
         self.kind = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 3) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
         self.kind[[ord(c) for c in SPACES]] = 0
-
-    def findall(self, text: str) -> list[str]:
-        if not text:
-            return []
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.kind = np.append(self.kind, np.uint8(4))
+        # Endings behind an apostrophe, by their first letter: how long they are, and the second letter of those of two.
+        self.ending, self.second = np.zeros(128, np.int64), np.zeros(128, np.uint32)
+        for text in ("s", "t", "re", "ve", "m", "ll", "d"):
+            self.ending[ord(text[0])], self.second[ord(text[0])] = len(text), ord(text[-1])
+
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' code points, ``END`` behind each, and where each match begins."""
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32).copy()
+        codes[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1] = self.END
         kind = self.kind[codes]
         begins = np.empty(len(codes) + 1, bool)
         begins[0] = begins[-1] = True
         np.not_equal(kind[1:], kind[:-1], out=begins[1:-1])
-        last_space = np.flatnonzero(begins[1:-1] & (kind[:-1] == 0))
+        # Two texts may meet in nothing but their ends.
+        begins[1:][kind == 4] = True
+        last_space = np.flatnonzero(begins[1:-1] & (kind[:-1] == 0) & (kind[1:] != 4))
         begins[last_space] = True
         begins[last_space[codes[last_space] == 32] + 1] = False
-        for at in np.flatnonzero(begins[:-1] & (codes == 39)).tolist():
-            for ending in self.ENDINGS:
-                if text.startswith(ending, at + 1):
-                    begins[at + 1 : at + 1 + len(ending)] = False
-                    begins[at + 1 + len(ending)] = True
-                    break
-        edges = np.flatnonzero(begins).tolist()
+        at = np.flatnonzero(begins[:-1] & (codes == 39))
+        one = np.minimum(codes[at + 1], 127)
+        n = self.ending[one]
+        n[(n == 2) & (codes[np.minimum(at + 2, len(codes) - 1)] != self.second[one])] = 0
+        at, n = at[n > 0], n[n > 0]
+        begins[at + 1] = False
+        begins[at[n == 2] + 2] = False
+        begins[at + 1 + n] = True
+        return codes, np.flatnonzero(begins[:-1])
+
+    def findall(self, text: str) -> list[str]:
+        edges = self.split([text])[1].tolist()
         return [text[a:b] for a, b in zip(edges, edges[1:])]
 
+    def encode(self, texts: list[str], ids_of) -> list[np.ndarray]:
+        """Ids of every text, each different match encoded once: ``ids_of`` maps a list of matches to their ids, little-endian unsigned 32-bit."""
+        codes, begins = self.split(texts)
+        first, which = distinct(codes, begins)
+        joined = "\0".join([*texts, ""])
+        stop = np.append(begins[1:], len(codes))
+        ends = codes[begins[first]] == self.END
+        known = ids_of([joined[a:b] for a, b in zip(begins[first[~ends]].tolist(), stop[first[~ends]].tolist())])
+        sizes = np.zeros(len(first), np.int64)
+        sizes[~ends] = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        ids = gathered(flat, np.cumsum(sizes) - sizes, sizes, which)
+        edges = np.cumsum(sizes[which])[ends[which]]
+        return np.split(ids, edges[:-1]) if len(texts) else []
+
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
@@ -247,13 +275,19 @@ class ByteBPE:
             out[place] = ids
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.pattern.findall(text) for text in texts]
+    def known_ids(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
         known = self.known
-        new = [piece for piece in set().union(*split) if piece not in known]
+        new = [piece for piece in pieces if piece not in known]
         known.update(zip(new, self.pieces(new)))
+        return [known[piece] for piece in pieces]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if isinstance(self.pattern, Splitter):
+            return self.pattern.encode(texts, self.known_ids)
+        split = [self.pattern.findall(text) for text in texts]
+        known = dict(zip(pieces := list(set().union(*split)), self.known_ids(pieces)))
         return [np.frombuffer(b"".join([known[piece] for piece in one]), "<u4") for one in split]
 
     def encode(self, text: str) -> np.ndarray:
@@ -318,6 +352,8 @@ def byte_bpe(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "d
                         names[1]: [hashlib.sha256(data).hexdigest() if digests else data for data in back],
                     }
                 )
+        bpe.known.clear()
+        bpe.fits.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"

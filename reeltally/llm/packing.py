@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +37,20 @@ class Packer:
         self.made, self.rows = 0, []
         self.held: dict[int, list] = {}
         self.free: dict[int, int] = {}
+        self.order: list[tuple[int, int]] = []  # room and name of the open windows, sorted
 
     def begin(self) -> int:
         self.made += 1
         name = self.prefix + self.made
         self.held[name], self.free[name] = [], self.window
+        insort(self.order, (self.window, name))
         return name
 
     def put(self, name: int, doc: tuple, start: int, ids: np.ndarray) -> None:
         self.held[name].append((doc, start, ids, self.window - self.free[name]))
+        del self.order[bisect_left(self.order, (self.free[name], name))]
         self.free[name] -= len(ids)
+        insort(self.order, (self.free[name], name))
         if not self.free[name]:
             self.close(name)
 
@@ -54,7 +60,7 @@ class Packer:
         return (doc_id, start, len(ids), zlib.crc32(data), total, name, offset, closed, part, data if self.with_ids or not closed else None)
 
     def close(self, name: int) -> None:
-        del self.free[name]
+        del self.order[bisect_left(self.order, (self.free.pop(name), name))]
         self.rows += [self.row(name, piece, True, 0) for piece in self.held.pop(name)]
 
     def add(self, doc: tuple, start: int, ids: np.ndarray) -> None:
@@ -62,12 +68,12 @@ class Packer:
             self.put(self.begin(), doc, start, ids[: self.window])
             start, ids = start + self.window, ids[self.window :]
         while len(ids):
-            fitting = [(free, name) for name, free in self.free.items() if free >= len(ids)]
-            if fitting:
-                return self.put(min(fitting)[1], doc, start, ids)
+            best = bisect_left(self.order, (len(ids), -1))
+            if best < len(self.order):
+                return self.put(self.order[best][1], doc, start, ids)
             if len(self.free) < self.most:
                 return self.put(self.begin(), doc, start, ids)
-            free, name = min((free, name) for name, free in self.free.items())
+            free, name = self.order[0]
             if free <= self.slack:
                 self.close(name)
             else:
@@ -104,15 +110,18 @@ def tokenizer(data: bytes):
 
 
 def encoded(data: bytes, texts: list[str]) -> list[np.ndarray]:
-    """The tokenizer's ids of every text.  It never merges over the matches of its pattern: each is encoded once and kept."""
+    """The tokenizer's ids of every text.  It never merges over the matches of its pattern: each different one is encoded once."""
     made, splitter, known = tokenizer(data)
-    split = [splitter.findall(text) for text in texts]
-    if len(known) > CACHED_PIECES:
-        known.clear()
-    new = [piece for piece in set().union(*split) if piece not in known]
-    for piece, found in zip(new, made.encode_batch_fast(new, add_special_tokens=False)):
-        known[piece] = np.array(found.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([known[piece] for piece in one]), "<u4") for one in split]
+
+    def ids_of(pieces: list[str]) -> list[bytes]:
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        new = [piece for piece in pieces if piece not in known]
+        for piece, found in zip(new, made.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = array("I", found.ids).tobytes()
+        return [known[piece] for piece in pieces]
+
+    return splitter.encode(texts, ids_of)
 
 
 def pack_documents(
@@ -158,6 +167,7 @@ def pack_documents(
                     packer.add((doc_id, len(found) + 1), 0, np.concatenate([found, end]))
                 yield packer.take()
         yield packer.rest(part, False)
+        tokenizer(shared.value)[2].clear()
 
     def merged(level: int, last: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
