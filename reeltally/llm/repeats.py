@@ -25,7 +25,7 @@ from reeltally.plans.session import materialise
 LENGTH, GRAM = 400, 32
 BATCH_ROWS = 8192  # contexts that a task orders at once
 CHUNK = BATCH_ROWS  # contexts of one anchor that are ordered together; more are split, and windows meet by hash
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 NONE = 256  # the symbol where a context has no byte
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ SAMPLE_DOCS = 10_000  # labelled texts that training reads, picked by the hash o
 STEPS, RATE, SOFT_RATE, FLOOR = 80, 12.0, 0.1, 3e-5
 THRESHOLD = 0.3
 CHUNK_CHARS = 200_000
+TRAIN_ROWS, SCORE_CHARS = 256, 500_000
 SEED = 11
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,39 +81,64 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def fit(texts: list[str], labels: np.ndarray, *, steps: int = STEPS, rate: float = RATE, dim: int = DIM) -> Model:
+class Bags:
+    """The texts' averages as rows of a sparse matrix, a chunk of texts at a time: four bytes for a bucket and its count, no text kept."""
+
+    MOST = (1 << 15) - 1  # a larger count takes several entries
+
+    def __init__(self):
+        self.texts = 0
+        # Texts that have n-grams, how many entries each, where they begin, the entries, and what one n-gram's share is.
+        self.chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, texts: list[str]) -> None:
+        for lo, hi in parts(texts, CHUNK_CHARS):
+            found, edge = [], ends(texts[lo:hi])
+            for at, bucket in ngrams(texts[lo:hi]):
+                found.append(np.searchsorted(edge, at, side="right").astype(np.int64) * BUCKETS + bucket)
+            if not found:
+                continue
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            del found
+            times = (n - 1) // self.MOST + 1
+            entry = np.full(times.sum(), self.MOST, np.uint32)
+            entry[np.cumsum(times) - 1] = n - (times - 1) * self.MOST
+            entry = entry << np.uint32(17) | np.repeat(key % BUCKETS, times).astype(np.uint32)
+            row, first, sizes = np.unique(np.repeat(key // BUCKETS, times), return_index=True, return_counts=True)
+            total = np.add.reduceat(entry >> np.uint32(17), first, dtype=np.int64)
+            self.chunks.append((row + self.texts + lo, sizes, first, entry, (1 / total).astype(np.float32)))
+        self.texts += len(texts)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for row, sizes, first, entry, share in self.chunks:
+            yield row, sizes, first, (entry & np.uint32(BUCKETS - 1)).astype(np.int32), (entry >> np.uint32(17)) * np.repeat(share, sizes)
+
+
+def fit(texts: list[str], labels: np.ndarray, **settings) -> Model:
+    bags = Bags()
+    bags.add(texts)
+    return fit_bags(bags, labels, **settings)
+
+
+def fit_bags(bags: Bags, labels: np.ndarray, *, steps: int = STEPS, rate: float = RATE, dim: int = DIM) -> Model:
     """Full-batch Adagrad on embeddings, softmax and bias together.
 
     With averages as rows of a sparse matrix X, the gradient of every embedding is one number times the softmax's weights, so
     a step costs two sparse products, whatever the dimension.
     """
-    # The rows of X in chunks: texts that have n-grams, how many buckets each, the buckets, and their shares.
-    chunks = []
-    for lo, hi in parts(texts, CHUNK_CHARS):
-        found, edge = [], ends(texts[lo:hi])
-        for at, bucket in ngrams(texts[lo:hi]):
-            found.append(np.searchsorted(edge, at, side="right").astype(np.int64) * BUCKETS + bucket)
-        if not found:
-            continue
-        key, n = np.unique(np.concatenate(found), return_counts=True)
-        row, sizes = np.unique(key // BUCKETS, return_counts=True)
-        first = np.cumsum(sizes) - sizes
-        share = n / np.repeat(np.add.reduceat(n, first), sizes)
-        chunks.append((row + lo, sizes, first, (key % BUCKETS).astype(np.int32), share.astype(np.float32)))
-
     rng = np.random.default_rng(SEED)
     table_, soft = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 1, dim)
     toxic = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
     bias = np.log(toxic / (1 - toxic))
     past = np.zeros(BUCKETS)
     past_s, past_b = np.zeros(dim), 0.0
-    for _ in range(steps if len(texts) else 0):
-        odds, score = np.full(len(texts), bias), (table_ @ soft).astype(np.float32)
-        for row, sizes, first, col, share in chunks:
+    for _ in range(steps if bags.texts else 0):
+        odds, score = np.full(bags.texts, bias), (table_ @ soft).astype(np.float32)
+        for row, sizes, first, col, share in bags:
             odds[row] += np.add.reduceat(share * score[col], first)
-        miss = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - labels) / len(texts)
+        miss = (1 / (1 + np.exp(-np.clip(odds, -50, 50))) - labels) / bags.texts
         pull = np.zeros(BUCKETS)
-        for row, sizes, first, col, share in chunks:
+        for row, sizes, first, col, share in bags:
             pull += np.bincount(col, share * np.repeat(miss[row], sizes), BUCKETS)
         grad_s, grad_b = table_.T @ pull, miss.sum()
         past += pull**2
@@ -136,15 +163,24 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
     texts = texts.select(F.col("__id").cast("string").alias("id"), "text", F.col("__y").alias("y"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(batches)
-        # In an order of their own, so that a second attempt gives the same model; repeated rows count once.
-        all_rows = pd.concat(rows).drop_duplicates(["id", "text"]).sort_values(["id", "text"]).head(sample_docs) if rows else None
-        if all_rows is not None and len(all_rows):
-            model = fit(all_rows["text"].tolist(), all_rows["y"].to_numpy())
-            yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
-
-    row = texts.repartition(1).mapInPandas(run, "weights binary, bias double").first()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, labels, last = Bags(), [], None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TRAIN_ROWS):
+                texts = []
+                for row in batch.slice(lo, TRAIN_ROWS).to_pylist():
+                    # Sorted, so that repeated rows follow each other; they count once.
+                    if (row["id"], row["text"]) != last and len(labels) < sample_docs:
+                        last = row["id"], row["text"]
+                        texts.append(row["text"])
+                        labels.append(row["y"])
+                bags.add(texts)
+        if labels:
+            model = fit_bags(bags, np.array(labels))
+            yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    # In an order of their own, so that a second attempt gives the same model; Spark sorts them, and texts become counts as they arrive.
+    row = texts.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "weights binary, bias double").first()
     if row is None:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(row["weights"], np.float32), row["bias"])
@@ -161,7 +197,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", thr
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         own, texts = Model(*shared.value), [t or "" for t in text]
-        found = [own.score(texts[lo:hi]) for lo, hi in parts(texts)]
+        found = [own.score(texts[lo:hi]) for lo, hi in parts(texts, SCORE_CHARS)]
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     out = docs.withColumn(score, scored(F.col(text_col).cast("string")))
