@@ -97,6 +97,25 @@ def test_range_join(spark, width):
     assert rows(got, ["k", "a", "b"]) == rows(want, ["k", "a", "b"])
 
 
+def test_endless_intervals_are_few_rows(spark):
+    """One file with most intervals and a damaged end time: the pairs are right, and no interval is spread over its bins."""
+    from reeltally.plans import ranges
+
+    r = random.Random(9)
+    cues = [(1 if i % 5 else 2, i, t := r.randrange(10**7), t + r.randrange(4000)) for i in range(2000)]
+    cues += [(1, 5000, 17, 10**15), (1, 5001, -(10**15), 10**15), (2, 5002, 4, 4), (2, 5003, 9, 3), (1, 5004, None, 5), (1, 5005, 5, None)]
+    edits = [(1 + i % 2, i, t := r.randrange(10**7), t + 50_000) for i in range(40)] + [(1, 100, 0, 10**15), (2, 101, 3, 5)]
+    left = spark.createDataFrame(cues, "k long, a long, ls long, le long")
+    right = spark.createDataFrame(edits, "k long, b long, rs long, re long")
+    rows_of = left.select("a", F.size(ranges._nodes("ls", "le", 1000)).alias("n")).where("le is not null and ls is not null").collect()
+    assert max(x.n for x in rows_of) < 120 and sorted(x.n for x in rows_of)[len(cues) // 2] <= 3
+    spread = ranges._spread(left, right, ["k"], ("ls", "le"), ("rs", "re"), 1000, 0)
+    assert spread.groupBy("a").count().agg(F.max("count")).first()[0] < 160
+    got = range_join(left, right, keys=["k"], left_span=("ls", "le"), right_span=("rs", "re"), bin_width=1000)
+    want = [(k, a, b) for k, a, s, e in cues for q, b, t, u in edits if k == q and s is not None and e is not None and e > t and s < u]
+    assert rows(got, ["k", "a", "b"]) == sorted(map(str, want))
+
+
 def test_range_join_has_no_nested_loop(spark):
     left = spark.createDataFrame([(1, 0, 10)], "k long, ls long, le long")
     right = spark.createDataFrame([(1, 5, 15)], "k long, rs long, re long")
