@@ -303,4 +303,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (size - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        (F.size("spans") > 0).alias("touched"),
     )
