@@ -1,7 +1,8 @@
 """Main text of web pages by two passes over blocks.
 
 Pass one labels a block by where it stands (menus, footers, adverts and the like are bad), its length, link density and density of
-stop words; pass two gives every block still open the label of its nearest decided neighbour.
+stop words; pass two gives every block still open the label of its nearest decided neighbour.  Stop words are those of four languages: where
+they find no good block, sentences do.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from reeltally.llm.registry import query, table
 SHORT_CHARS = 70
 LINKS_BAD, LINKS_SHORT_BAD = 0.5, 0.2
 STOPS_GOOD = 0.25
+DENSE_CHARS = 25  # length of a block in a script that sets no spaces between words
+LINK_RUN = 3  # so many blocks of links in a row are a menu, in an article, too
 
 # Elements of the HTML standard, and frequent words of four languages.
 BLOCK_TAGS = frozenset(
@@ -37,6 +40,12 @@ BAD_NAMES = frozenset(
     " breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay comment comments disqus respond replies"
     " related share sharing social subscribe newsletter signup login widget pagination pager toolbar".split()
 )
+# Words that a name may hold beside a bad one and still mean the same: a share bar, a list of comments.
+NEUTRAL_NAMES = frozenset(
+    "area articles bar block body bottom box btn button buttons container content count fixed footer form global group header icon icons inline inner item items"
+    " left link links list lower main mobile module news outer page panel posts primary right row secondary section side site slot stories tools top"
+    " unit upper wrap wrapper".split()
+)
 STOP_WORDS = frozenset(
     "the of and to in is that for with on was it as are by an be this from at or not have has but they his her you we"
     " der die das und ist in von zu den mit für auf nicht ein eine als auch es an dem des sich im dass er sie wie bei"
@@ -56,6 +65,7 @@ RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS | {"h
 NOSCRIPT = re.compile(r"<(/?)noscript\b[^>]*>", re.I)
 FOREIGN_END = re.compile(r"</(?:svg|math)\b", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
+SENTENCE = re.compile(r"[.!?\u2026\u0589\u061f\u06d4\u0964\u104b\u1362\u17d4]['\"\u00bb\u2019\u201d)\]]*(?:\s|\Z)|[\u3002\uff01\uff1f\uff0e]")
 
 
 @dataclass
@@ -67,17 +77,29 @@ class Block:
     good: bool | None = None
 
 
+def bad_name(token: str, inside: bool) -> bool:
+    """A class or id that names a menu, an advert and the like.
+
+    Outside any article its first or last part may do so (``site-footer``, ``cookie-bar-2``); inside one all parts must, so that
+    ``share-price`` or ``related-work`` are content.
+    """
+    words = NAME_PARTS.findall(token)
+    if not BAD_NAMES.intersection(words):
+        return False
+    return all(w in BAD_NAMES or w in NEUTRAL_NAMES for w in words) or not inside and (words[0] in BAD_NAMES or words[-1] in BAD_NAMES)
+
+
 def bad_place(tag: str, attributes: str, region: int) -> bool:
     if tag in BAD_TAGS or (tag == "header" and not region):
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
-        words = NAME_PARTS.findall("".join(values).lower())
+        value = "".join(values).lower()
         if name.lower() == "role":
-            if BAD_ROLES.intersection(words):
+            if BAD_ROLES.intersection(NAME_PARTS.findall(value)):
                 return True
-        elif BAD_NAMES.intersection(words):
+        elif any(bad_name(token, region > 0) for token in value.split()):
             return True
     return False
 
@@ -220,29 +242,61 @@ def blocks_of(page: str) -> list[Block]:
 
 def label(block: Block) -> bool | None:
     """Pass one: True good, False bad, None open."""
+    if block.bad_place:
+        return False
     density = block.links / len(block.text)
-    if block.bad_place or density > LINKS_BAD:
+    if density > (LINKS_SHORT_BAD if len(block.text) < SHORT_CHARS else LINKS_BAD):
         return False
     if len(block.text) < SHORT_CHARS:
-        return False if density > LINKS_SHORT_BAD else None
+        return None
     words = block.text.lower().split()
     stops = sum(word.strip(".,;:!?") in STOP_WORDS for word in words) / len(words)
     return True if stops >= STOPS_GOOD else None
 
 
+def sentences(block: Block, short: bool) -> bool:
+    """Text outside links that reads like sentences, whatever its language; long enough for it unless ``short``."""
+    if block.bad_place or block.links / len(block.text) > LINKS_SHORT_BAD or not SENTENCE.search(block.text):
+        return False
+    spaced = len(block.text.split()) * 2 * DENSE_CHARS >= len(block.text)
+    return short or len(block.text) >= (SHORT_CHARS if spaced else DENSE_CHARS)
+
+
 def settle(blocks: list[Block]) -> None:
     """Pass two.  Neighbours are the blocks of the same article, or of the page outside any; blocks in a bad place neither
-    ask nor answer there.  At equal distance good wins.  With no decided neighbour an article's block is good, any other bad."""
+    ask nor answer there.  At equal distance good wins.  With no decided neighbour an article's block is good, any other bad.
+
+    Before that, a block of links in an article is open again unless it is one of ``LINK_RUN`` or more in a row.  An article, or a page, without a
+    good block takes those with sentences for good, long ones or else any.
+    """
     for block in blocks:
         block.good = label(block)
-    for region in {b.region for b in blocks}:
-        row = [b for b in blocks if b.region == region and not (b.bad_place and region)]
+    rows = {region: [b for b in blocks if b.region == region and not (b.bad_place and region)] for region in {b.region for b in blocks}}
+    for region, row in rows.items():
+        run: list[Block] = []
+        for block in [*row, None] if region else ():
+            if block is not None and block.good is False:
+                run.append(block)
+                continue
+            for one in run if len(run) < LINK_RUN else ():
+                one.good = None
+            run = []
+    # Articles first: the page outside them is asked only where they hold nothing.
+    for region in sorted(rows, reverse=True):
+        if not any(b.good for b in (rows[region] if region else blocks)):
+            for short in (False, True):
+                found = [b for b in rows[region] if b.good is None and sentences(b, short)]
+                for block in found:
+                    block.good = True
+                if found:
+                    break
+    for region, row in rows.items():
         decided = [i for i, b in enumerate(row) if b.good is not None]
         before, k = None, 0
         for i, block in enumerate(row):
             while k < len(decided) and decided[k] < i:
                 before, k = decided[k], k + 1
-            if k < len(decided) and decided[k] == i:
+            if block.good is not None:
                 continue
             after = decided[k] if k < len(decided) else None
             if before is None and after is None:
