@@ -363,42 +363,81 @@ def duplicate_run_profile(
 ) -> DataFrame:
     """Runs of equal consecutive hashes: counts, lengths and length changes.
 
-    A run is found by its first row; its length is the distance to the next run's first row,
-    with one sentinel row per stream closing the last run.  No running id is needed.
+    One pass over the rows: a block of ordinals becomes one row, with its first and last run, which may go on in other blocks, and
+    sums over the runs between them.  These rows are put together along each stream.
     """
     keys = list(keys)
-    d = neighbours(frames.select(*keys, order, t, duration, hash), keys=keys, order=order, prev=[hash, t, duration], block_rows=block_rows)
-    starts = d.where((F.col(order) == 0) | ~F.col(hash).eqNullSafe(F.col(f"prev_{hash}"))).select(*keys, order)
-    ends = frames.groupBy(*keys).agg((F.max(order) + 1).alias(order))
-    edges = neighbours(
-        starts.unionByName(ends), keys=keys, order=order, prev=[order], next=[order], dense=False,
-        block=blocks.ordinal_block(order, block_rows),
+    home = [*keys, "__block"]
+    inside = W.partitionBy(*home).orderBy(order)
+    d = frames.select(*keys, order, t, duration, hash).withColumn("__block", blocks.ordinal_block(order, block_rows))
+    d = d.withColumn("__at", F.row_number().over(inside))
+    before = lambda c: F.lag(c).over(inside)
+    fresh = (F.col("__at") == 1) | ~F.col(hash).eqNullSafe(before(hash))
+    gap = (F.col("__at") > 1) & ~F.coalesce(F.col(t) == before(t) + before(duration), F.lit(False))
+    d = d.withColumns({
+        "__run": F.sum(fresh.cast("int")).over(inside),
+        "__bad": gap | ~F.coalesce(F.col(duration) > 0, F.lit(False)),
+        "__hex": F.coalesce(F.col(hash).rlike("^[0-9a-fA-F]{64}$"), F.lit(False)),
+    })
+    row = F.struct(F.col(order).alias("n"), F.col(t).alias("t"), F.col(duration).alias("d"), F.col(hash).alias("h"))
+    runs = d.groupBy(*home, "__run").agg(
+        F.count(F.lit(1)).alias("len"), F.min_by(row, order).alias("head"), F.max_by(row, order).alias("tail"),
+        F.min(F.when(F.col("__bad"), F.col(order))).alias("first_gap"), F.count(F.when(~F.col("__hex"), 1)).alias("bad_hashes"),
     )
-    runs = edges.where(F.col(f"next_{order}").isNotNull()).select(
-        *keys, (F.col(f"next_{order}") - F.col(order)).alias("len"), (F.col(order) - F.col(f"prev_{order}")).alias("prev_len")
+    along = W.partitionBy(*home).orderBy("__run")
+    runs = runs.withColumns({"prev_len": F.lag("len").over(along), "__last": F.lead("len").over(along).isNull()})
+    between = (F.col("__run") > 1) & ~F.col("__last")
+    changed = between & (F.col("__run") > 2) & (F.col("prev_len") != F.col("len"))
+    last = lambda c: F.max(F.when(F.col("__last"), F.col(c)))
+    parts = runs.groupBy(*home).agg(
+        F.max("__run").alias("runs"),
+        F.min_by("head", "__run").alias("head"), F.max_by("tail", "__run").alias("tail"), F.min_by("len", "__run").alias("first_len"), last("len").alias("last_len"),
+        last("prev_len").alias("before_last"), F.max(F.when(F.col("__run") == 2, F.col("len"))).alias("second"),
+        F.sum("len").alias("frames"), F.min("first_gap").alias("first_gap"), F.sum("bad_hashes").alias("bad_hashes"),
+        F.count(F.when(between & (F.col("len") > 1), 1)).alias("repeated"), F.count(F.when(changed, 1)).alias("changes"), F.count(F.when(between, 1)).alias("closed"),
+        F.collect_set(F.when(between, F.col("len"))).alias("lens"),
     )
-    profile = runs.groupBy(*keys).agg(
-        F.sum("len").alias("frames"),
-        F.count(F.lit(1)).alias("unique"),
-        (F.sum("len") - F.count(F.lit(1))).alias("duplicates"),
-        F.count(F.when(F.col("len") > 1, 1)).alias("repeated_runs"),
-        F.min("len").alias("min_run"),
-        F.max("len").alias("max_run"),
+    return _stitched_runs(parts, keys)
+
+
+def _stitched_runs(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The profile of each stream from its blocks' rows: runs at the edges of blocks are put together, then compared with their neighbours."""
+    blocks_ = W.partitionBy(*keys).orderBy("__block")
+    before = F.lag("tail").over(blocks_)
+    torn = F.when(F.col("__block") > 0, F.coalesce(before["n"] != F.col("head.n") - 1, F.lit(True))).otherwise(F.col("head.n") != 0) | (F.col("tail.n") - F.col("head.n") + 1 != F.col("frames"))
+    gap = (F.col("__block") > 0) & ~F.coalesce(F.col("head.t") == before["t"] + before["d"], F.lit(False))
+    d = parts.withColumn("first_gap", F.when(torn, F.raise_error(F.lit("ordinals are not dense"))).otherwise(F.least("first_gap", F.when(gap, F.col("head.n")))))
+    goes_on = before.isNotNull() & F.col("head.h").eqNullSafe(before["h"])
+    d = d.withColumn("__fresh", ~goes_on)
+    # One item for each run that touches an edge; sums over the block go with its first one.
+    many = F.col("runs") > 1
+    first = F.struct(F.lit(0).alias("pos"), F.col("first_len").alias("len"), F.col("__fresh").alias("fresh"), F.lit(None).cast("long").alias("before"))
+    second = F.struct(F.lit(1).alias("pos"), F.col("last_len").alias("len"), F.lit(True).alias("fresh"), F.when(F.col("runs") > 2, F.col("before_last")).alias("before"))
+    d = d.withColumn("__item", F.explode(F.when(many, F.array(first, second)).otherwise(F.array(first))))
+    order = W.partitionBy(*keys).orderBy("__block", "__item.pos")
+    d = d.withColumn("__edge", F.sum(F.col("__item.fresh").cast("int")).over(order))
+    d = d.withColumn("len", F.sum("__item.len").over(W.partitionBy(*keys, "__edge")))
+    d = d.withColumn("prev_len", F.coalesce("__item.before", F.lag("len").over(order)))
+    own, start = F.col("__item.pos") == 0, F.col("__item.fresh")
+    once = lambda c: F.sum(F.when(own, F.col(c)).otherwise(F.lit(0).cast("long")))
+    count = lambda c: F.count(F.when(c, 1))
+    after = own & (F.col("runs") > 2) & (F.col("second") != F.col("len"))
+    lens = F.concat(F.when(own, F.col("lens")).otherwise(F.array().cast("array<bigint>")), F.array("len"))
+    out = d.groupBy(*keys).agg(
+        once("frames").alias("frames"),
+        (once("closed") + count(start)).alias("unique"),
+        (once("repeated") + count(start & (F.col("len") > 1))).alias("repeated_runs"),
         # Distinct lengths of runs that tile n rows number at most sqrt(2 n).
-        F.array_sort(F.collect_set("len")).alias("run_lengths"),
-        F.count(F.when(F.col("prev_len") != F.col("len"), 1)).alias("length_changes"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(lens)))).alias("run_lengths"),
+        (once("changes") + count(after) + count(start & (F.col("prev_len") != F.col("len")))).alias("length_changes"),
+        F.min("first_gap").alias("first_gap"),
+        once("bad_hashes").alias("bad_hashes"),
     )
-    gap = (F.col(order) > 0) & ~F.coalesce(F.col(t) == F.col(f"prev_{t}") + F.col(f"prev_{duration}"), F.lit(False))
-    bad = gap | ~F.coalesce(F.col(duration) > 0, F.lit(False))
-    hex64 = F.coalesce(F.col(hash).rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
-    facts = d.groupBy(*keys).agg(
-        F.min(F.when(bad, F.col(order))).alias("first_gap"), F.count(F.when(~hex64, 1)).alias("bad_hashes")
-    )
-    return with_verdict(
-        profile.join(facts, keys),
-        (F.col("first_gap").isNotNull(), "timeline is not contiguous"),
-        (F.col("bad_hashes") > 0, "invalid digest"),
+    out = out.select(
+        *keys, "frames", "unique", (F.col("frames") - F.col("unique")).alias("duplicates"), "repeated_runs", F.array_min("run_lengths").alias("min_run"),
+        F.array_max("run_lengths").alias("max_run"), "run_lengths", "length_changes", "first_gap", "bad_hashes",
     )
+    return with_verdict(out, (F.col("first_gap").isNotNull(), "timeline is not contiguous"), (F.col("bad_hashes") > 0, "invalid digest"))
 
 
 def padded_capture_guard(profile: DataFrame, expected_frames: str = "expected_frames") -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases with known results."""
 
+import itertools
 import random
 
 import pytest
@@ -348,3 +349,41 @@ def test_display_matrices(spark):
     d = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i long, m string")
     got = [tuple(r.x) if r.x else None for r in d.select("i", display_transform("m").alias("x")).orderBy("i").collect()]
     assert got == [w for _, w in cases]
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 3, 5, 8, 1000])
+def test_run_profile_equals_the_runs(spark, block_rows):
+    """Blocks of any size, runs over many blocks, null hashes, gaps at edges."""
+    r = random.Random(block_rows)
+    data, want = [], {}
+    for f in range(30):
+        hashes = []
+        while len(hashes) < r.randrange(1, 40):
+            hashes += [r.choice(["a" * 64, "b" * 64, "c" * 64, None, "x"])] * r.choice([1, 1, 2, 3, 9])
+        t, times, gap = 0, [], None
+        for i in range(len(hashes)):
+            if r.random() < 0.03:
+                t += 5
+                gap = i if gap is None and i else gap
+            dur = r.choice([10, 12])
+            times.append((t, dur))
+            t += dur
+        runs = [len(list(g)) for _, g in itertools.groupby(hashes)]
+        want[f] = (
+            len(hashes), len(runs), len(hashes) - len(runs), sum(n > 1 for n in runs), min(runs), max(runs), sorted(set(runs)), sum(a != b for a, b in zip(runs, runs[1:])),
+            gap, sum(h in (None, "x") for h in hashes),
+        )
+        data += [(f, 0, i, *times[i], h) for i, h in enumerate(hashes)]
+    r.shuffle(data)
+    d = spark.createDataFrame(data, "file_id long, stream_index long, ordinal long, t_us long, duration_us long, hash string")
+    out = compare.duplicate_run_profile(d, block_rows=block_rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hash") <= 4 and "Python" not in plan
+    assert {x.file_id: tuple(x)[2:12] for x in out.collect()} == want
+
+
+def test_run_profile_needs_dense_ordinals(spark):
+    d = spark.createDataFrame([(1, 0, i, i, 1, "a" * 64) for i in (0, 1, 3)], "file_id long, stream_index long, ordinal long, t_us long, duration_us long, hash string")
+    for block_rows in (1, 2, 1000):
+        with pytest.raises(Exception, match="not dense"):
+            compare.duplicate_run_profile(d, block_rows=block_rows).collect()
