@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reeltally.plans import blocks
-from reeltally.plans.blocks import BLOCK_ROWS, BLOCK_US, KEYS, attach, neighbours, numbered, running
+from reeltally.plans.blocks import BLOCK_ROWS, BLOCK_US, KEYS, attach, neighbours, running
 from reeltally.plans.verdicts import with_verdict
 
 SLACK_US = 1
@@ -166,23 +167,32 @@ def reorder_check(
     clock starts at ``origin_us`` when that column exists, else at the earliest time.
     """
     keys = list(keys)
-    timed = packets.select(*keys, order, pts).where(F.col(pts).isNotNull())
-    ranked = numbered(timed, keys=keys, order=[pts, order], name="presented", block=blocks.time_block(pts, block_us))
-    frame = _frame_us(F.col("rate_num"), F.col("rate_den"))
-    d = attach(ranked, rates, keys, spread=order, how="inner", extent_of=packets)
-    residual = F.col(pts) - F.col("presented") * frame
-    origin = F.min("origin_us") if "origin_us" in rates.columns else F.min(pts)
-    facts = d.groupBy(*keys).agg(
-        F.max(F.col(order) - F.col("presented")).alias("max_depth"),
-        origin.alias("clock_origin_us"),
-        F.min(residual).alias("__lo"), F.max(residual).alias("__hi"),
-        F.min("tolerance_us").alias("__tol"),
+    # One pass: a block of times becomes one row, its ranks counted from its own start; the rows before it then move them all alike.
+    wanted = ["rate_num", "rate_den", "tolerance_us", "expected_frames", *(["origin_us"] if "origin_us" in rates.columns else [])]
+    d = attach(packets.select(*keys, order, pts), rates.select(*keys, *wanted), keys, spread=order, how="inner", dense=False)
+    d = d.withColumn("__timed", F.col(pts).isNotNull()).withColumn("__block", F.coalesce(blocks.time_block(pts, block_us), blocks.ordinal_block(order)))
+    home = [*keys, "__timed", "__block"]
+    inside = W.partitionBy(*home).orderBy(pts, order)
+    d = d.withColumns({"__rank": F.row_number().over(inside) - 1, "__tie": F.col(pts) == F.lag(pts).over(inside), "__frame": _frame_us(F.col("rate_num"), F.col("rate_den"))})
+    residual = F.col(pts) - F.col("__rank") * F.col("__frame")
+    parts = d.groupBy(*home).agg(
+        F.count(F.lit(1)).alias("packets"), F.count(pts).alias("__n"), F.count(F.when(F.col("__tie"), 1)).alias("__ties"), F.max(F.col(order) - F.col("__rank")).alias("__early"),
+        F.min(residual).alias("__lo"), F.max(residual).alias("__hi"), F.min(pts).alias("__first"), F.max("__frame").alias("__frame"), *[F.max(c).alias(c) for c in wanted],
     )
-    ties = timed.groupBy(*keys, pts).agg(F.count(F.lit(1)).alias("__n")).groupBy(*keys).agg(
-        F.sum(F.col("__n") - 1).alias("duplicates")
+    before = W.partitionBy(*keys).orderBy("__block", "__timed").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    timed = lambda c: F.when(F.col("__timed"), c)
+    shift = F.col("__before") * F.col("__frame")
+    out = parts.groupBy(*keys).agg(
+        F.sum("packets").alias("packets"),
+        F.sum(F.col("packets") - F.col("__n")).alias("untimed"),
+        F.max(timed(F.col("__early") - F.col("__before"))).alias("max_depth"),
+        F.min(F.col("origin_us" if "origin_us" in wanted else "__first")).alias("clock_origin_us"),
+        F.min(F.col("__lo") - shift).alias("__lo"), F.max(F.col("__hi") - shift).alias("__hi"),
+        F.min("tolerance_us").alias("__tol"),
+        F.sum(timed(F.col("__ties"))).alias("duplicates"),
+        F.min("expected_frames").alias("expected_frames"),
     )
-    counts = packets.groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"), F.count(F.when(F.col(pts).isNull(), 1)).alias("untimed"))
-    out = counts.join(facts, keys, "left").join(ties, keys, "left").join(rates.select(*keys, "expected_frames"), keys)
     out = out.withColumn(
         "max_residual_us", F.greatest(F.col("__hi") - F.col("clock_origin_us"), F.col("clock_origin_us") - F.col("__lo"))
     )

@@ -387,3 +387,29 @@ def test_run_profile_needs_dense_ordinals(spark):
     for block_rows in (1, 2, 1000):
         with pytest.raises(Exception, match="not dense"):
             compare.duplicate_run_profile(d, block_rows=block_rows).collect()
+
+
+@pytest.mark.parametrize("block_us", [1000, 7000, 10**9])
+def test_reorder_facts(spark, block_us):
+    """Depth, ties, residual and counts by sorting whole streams; untimed rows, negative times, no rate for a stream."""
+    r = random.Random(block_us)
+    data, want = [], {}
+    for f in range(20):
+        rows = [None if r.random() < 0.05 and f % 3 == 0 else 40_000 * i + r.randrange(-90_000, 90_000) // (1 + f % 5 * 9) for i in range(r.randrange(1, 60))]
+        if f == 7:
+            rows = [None, None]
+        data += [(f, 0, i, t) for i, t in enumerate(rows)]
+        timed = sorted((t, i) for i, t in enumerate(rows) if t is not None)
+        off = [abs(t - k * 40_000 - 5) for k, (t, _) in enumerate(timed)]
+        want[f] = (
+            len(rows), rows.count(None), max((i - k for k, (_, i) in enumerate(timed)), default=None), len(timed) - len({t for t, _ in timed}) if timed else None, max(off, default=None),
+        )
+    p = spark.createDataFrame(data, "file_id long, stream_index long, ordinal long, pts_us long")
+    schema = "file_id long, stream_index long, rate_num long, rate_den long, tolerance_us long, expected_frames long, origin_us long"
+    rates_ = spark.createDataFrame([(f, 0, 25, 1, 50, 10, 5) for f in range(19)], schema)
+    out = clocks.reorder_check(p, rates_, block_us=block_us)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD[file_id#") <= 2 and plan.count("Exchange hash") <= 5
+    got = {x.file_id: (x.packets, x.untimed, x.max_depth, x.duplicates, x.max_residual_us) for x in out.collect()}
+    del want[19]
+    assert got == want
