@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from reeltally.plans import blocks
 from reeltally.plans.blocks import BLOCK_ROWS, BLOCK_US, KEYS, attach, neighbours, running
-from reeltally.plans.session import materialise
 from reeltally.plans.verdicts import with_verdict
 
 COPY_TOLERANCE_US = 2_000
@@ -107,89 +106,89 @@ def packet_fidelity_diff(
     omit_initial_dts: bool = False,
     aac_reshape: bool = False,
     leading_limit: int = LEADING_LIMIT,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Verdict per stream: the copy holds the source's packets with content and timing kept.
 
-    Needs ``pts_us, dts_us, duration_us, size, hash`` on both sides.  One full join on the
-    ordinal; the leading-DTS rule is evaluated only on packets where one side lacks a DTS.
+    Needs ``pts_us, dts_us, duration_us, size, hash`` on both sides.  Both sides meet in blocks of ordinals by one shuffle, in which each packet
+    also sees its neighbours; a block becomes one row, and the rule for packets whose DTS is missing on one side (a short, ordered
+    prefix of that side may lack it) is settled along these rows.
     """
     keys = list(keys)
-    cols = [*keys, order, "pts_us", "dts_us", "duration_us", "size", "hash"]
-    right = copy.select(*cols)
+    home = [*keys, "__block"]
+    cols = ["pts_us", "dts_us", "duration_us", "size", "hash"]
+    both_sides = source.select(*keys, order, *cols, F.lit(0).alias("__side")).unionByName(copy.select(*keys, order, *cols, F.lit(1).alias("__side")))
+    block, at = blocks.ordinal_block(order, block_rows), F.expr(f"pmod(`{order}`, {int(block_rows)})")
+    none = F.array().cast("array<bigint>")
+    homes = [F.array(block), F.when(at == block_rows - 1, F.array(block + 1)).otherwise(none)]
     if aac_reshape:
-        right = neighbours(right, keys=keys, order=order, next=["dts_us"])
-    pairs = pair_by_ordinal(source.select(*cols), right, keys=keys, order=order)
-    both = F.col("side") == "both"
-    shifted = lambda c: F.col(f"l_{c}") + offset_us
-    content = (F.col("l_hash") != F.col("r_hash")) | (F.col("l_size") != F.col("r_size"))
-    pts_bad = ~_close(shifted("pts_us"), F.col("r_pts_us"))
-    dts_bad = ~_close(shifted("dts_us"), F.col("r_dts_us"))
-    unknown = F.col("l_duration_us").isNull() | F.col("r_duration_us").isNull()
+        homes.append(F.when((at == 0) & (F.col(order) > 0), F.array(block - 1)).otherwise(none))
+    # Dealt out by block alone, so that neither side's windows nor the pairing needs another shuffle.
+    d = both_sides.withColumn("__own", block).withColumn("__block", F.explode(F.concat(*homes))).repartition(*home)
+    w = W.partitionBy(*home, "__side").orderBy(order)
+    d = d.withColumn("prev_dts", F.when(F.lag(order).over(w) == F.col(order) - 1, F.lag("dts_us").over(w)))
+    if aac_reshape:
+        d = d.withColumn("next_dts", F.when(F.lead(order).over(w) == F.col(order) + 1, F.lead("dts_us").over(w)))
+    packet = F.struct(*cols, "prev_dts", *(["next_dts"] if aac_reshape else []))
+    side = lambda n: F.first(F.when(F.col("__side") == n, packet), ignorenulls=True)
+    pairs = d.where("__block = __own").groupBy(*home, order).agg(side(0).alias("l"), side(1).alias("r"))
+
+    l, r = F.col("l"), F.col("r")
+    both = l.isNotNull() & r.isNotNull()
+    content = (l["hash"] != r["hash"]) | (l["size"] != r["size"])
+    pts_bad = ~_close(l["pts_us"] + offset_us, r["pts_us"])
+    dts_bad = ~_close(l["dts_us"] + offset_us, r["dts_us"])
+    unknown = l["duration_us"].isNull() | r["duration_us"].isNull()
     stretched = F.lit(False)
     if aac_reshape:
-        step = F.col("r_next_dts_us") - F.col("r_dts_us")
-        stretched = F.coalesce((step >= 0) & (F.abs(F.col("r_duration_us") - step) <= COPY_TOLERANCE_US), F.lit(False))
-    duration_bad = ~unknown & ~_close(F.col("l_duration_us"), F.col("r_duration_us")) & ~stretched
-    one_sided = F.col("l_dts_us").isNull() != F.col("r_dts_us").isNull()
+        step = r["next_dts"] - r["dts_us"]
+        stretched = F.coalesce((step >= 0) & (F.abs(r["duration_us"] - step) <= COPY_TOLERANCE_US), F.lit(False))
+    duration_bad = ~unknown & ~_close(l["duration_us"], r["duration_us"]) & ~stretched
+    one_sided = l["dts_us"].isNull() != r["dts_us"].isNull()
     hard = both & (content | pts_bad | duration_bad | (dts_bad & ~one_sided))
-    soft = both & ~(content | pts_bad | duration_bad) & one_sided
-
-    rows = pairs.withColumn("__hard", F.coalesce(hard, F.lit(False)) | ~both).withColumn("__soft", F.coalesce(soft, F.lit(False)))
-    facts = rows.groupBy(*keys).agg(
-        F.count(F.when(both, 1)).alias("matched"),
-        F.count(F.when(F.col("side") == "left", 1)).alias("missing"),
-        F.count(F.when(F.col("side") == "right", 1)).alias("extra"),
-        F.min(F.when(F.col("__hard"), F.col(order))).alias("__first_hard"),
-        F.min(F.when(F.col("l_dts_us").isNotNull(), F.col(order))).alias("__l_seen"),
-        F.min(F.when(F.col("r_dts_us").isNotNull(), F.col(order))).alias("__r_seen"),
+    soft = F.coalesce(both & ~(content | pts_bad | duration_bad) & one_sided, F.lit(False))
+    ordered = lambda x: (x["dts_us"] <= x["pts_us"]) & F.coalesce(x["dts_us"] >= x["prev_dts"], F.lit(True))
+    rebuilt = F.lit(reconstruct_initial_dts) & soft & l["dts_us"].isNull() & ordered(r)
+    dropped = F.lit(omit_initial_dts) & soft & r["dts_us"].isNull() & ordered(l)
+    # Whether a DTS came before in the same block; what came in earlier blocks is known along the blocks.
+    sofar = W.partitionBy(*home).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    seen = lambda x: F.coalesce(F.max(x["dts_us"].isNotNull()).over(sofar), F.lit(False))
+    rows = pairs.select(
+        *home, order, both.alias("both"), (l.isNotNull() & r.isNull()).alias("left"), (l.isNull() & r.isNotNull()).alias("right"),
+        (F.coalesce(hard, F.lit(False)) | ~both).alias("hard"), soft.alias("soft"), F.coalesce(rebuilt, F.lit(False)).alias("rebuilt"), F.coalesce(dropped, F.lit(False)).alias("dropped"),
+        seen(l).alias("l_seen"), seen(r).alias("r_seen"), l["dts_us"].isNotNull().alias("l_dts"), r["dts_us"].isNotNull().alias("r_dts"),
+    )
+    count, first = lambda c: F.count(F.when(F.col(c) if isinstance(c, str) else c, 1)), lambda c: F.min(F.when(F.col(c) if isinstance(c, str) else c, F.col(order)))
+    c = F.col
+    heads = lambda x: F.slice(F.array_sort(F.collect_list(F.when(x, c(order)))), 1, leading_limit + 1)
+    early_l, early_r = c("rebuilt") & ~c("l_seen"), c("dropped") & ~c("r_seen")
+    parts = rows.groupBy(*home).agg(
+        count("both").alias("matched"), count("left").alias("missing"), count("right").alias("extra"), first("hard").alias("first_hard"),
+        F.coalesce(F.max("l_dts"), F.lit(False)).alias("l_dts"), F.coalesce(F.max("r_dts"), F.lit(False)).alias("r_dts"),
+        first(c("soft") & ~early_l & ~early_r).alias("refused"), first(early_l).alias("l_first"), first(early_r).alias("r_first"),
+        count(early_l).alias("l_count"), count(early_r).alias("r_count"), heads(early_l).alias("l_heads"), heads(early_r).alias("r_heads"),
+    )
+    before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    past = lambda x: F.coalesce(F.max(x).over(before), F.lit(False))
+    parts = parts.withColumns({"l_past": past("l_dts"), "r_past": past("r_dts")})
+    # A block behind a DTS has no leading packets of that side: what looked like some is refused.
+    open_ = lambda x, value, otherwise: F.when(~c(f"{x}_past"), c(value)).otherwise(otherwise)
+    zero, empty = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    parts = parts.withColumn("leading", open_("l", "l_count", zero) + open_("r", "r_count", zero))
+    parts = parts.withColumn("heads", F.array_sort(F.concat(open_("l", "l_heads", empty), open_("r", "r_heads", empty))))
+    parts = parts.withColumn("refused", F.least("refused", F.when(c("l_past"), c("l_first")), F.when(c("r_past"), c("r_first"))))
+    parts = parts.withColumn("over", F.get("heads", (F.lit(leading_limit) - F.coalesce(F.sum("leading").over(before), zero)).cast("int")))
+    out = parts.groupBy(*keys).agg(
+        F.sum("matched").alias("matched"), F.sum("missing").alias("missing"), F.sum("extra").alias("extra"),
+        F.least(F.min("first_hard"), F.min("refused"), F.min("over")).alias("first_bad"), F.sum("leading").alias("leading_without_dts"),
     )
-    if not (reconstruct_initial_dts or omit_initial_dts):
-        soft_first = rows.where("__soft").groupBy(*keys).agg(F.min(order).alias("__first_soft"))
-        leading = soft_first.withColumn("leading_without_dts", F.lit(0).cast("long"))
-    else:
-        leading = _leading_rule(rows, facts, source, copy, keys, order, reconstruct_initial_dts, omit_initial_dts, leading_limit)
-    out = facts.join(leading, keys, "left").withColumn("first_bad", F.least("__first_hard", "__first_soft"))
-    out = out.withColumn("leading_without_dts", F.coalesce("leading_without_dts", F.lit(0).cast("long")))
     out = out.withColumn("__changed", F.col("first_bad") < F.col("matched"))
     return with_verdict(
         out,
         (F.col("__changed"), "content or timing changed"),
         (F.col("extra") > 0, "extra packets"),
         (F.col("missing") > 0, "missing packets"),
-    ).drop("__first_hard", "__first_soft", "__l_seen", "__r_seen", "__changed")
-
-
-def _leading_rule(rows, facts, source, copy, keys, order, reconstruct, omit, limit) -> DataFrame:
-    """Packets whose DTS is missing on one side: allowed for a short, ordered prefix of that side."""
-    # Few rows by nature; written down so that the full join is not repeated for each use below.
-    soft = materialise(rows.where("__soft").select(*keys, order, "l_dts_us", "r_dts_us", "l_pts_us", "r_pts_us"))
-    soft = attach(soft, facts.select(*keys, "__l_seen", "__r_seen"), keys, spread=order)
-    before = lambda df, name: df.select(*keys, (F.col(order) + 1).alias(order), F.col("dts_us").alias(name))
-    soft = soft.join(before(source, "__l_prev"), [*keys, order], "left").join(before(copy, "__r_prev"), [*keys, order], "left")
-    rebuilt = (
-        F.col("l_dts_us").isNull()
-        & (F.col("__l_seen").isNull() | (F.col(order) < F.col("__l_seen")))
-        & (F.col("r_dts_us") <= F.col("r_pts_us"))
-        & F.coalesce(F.col("r_dts_us") >= F.col("__r_prev"), F.lit(True))
-    )
-    dropped = (
-        F.col("r_dts_us").isNull()
-        & (F.col("__r_seen").isNull() | (F.col(order) < F.col("__r_seen")))
-        & (F.col("l_dts_us") <= F.col("l_pts_us"))
-        & F.coalesce(F.col("l_dts_us") >= F.col("__l_prev"), F.lit(True))
-    )
-    candidate = F.coalesce((F.lit(reconstruct) & rebuilt) | (F.lit(omit) & dropped), F.lit(False))
-    soft = soft.withColumn("__candidate", candidate)
-    refused = soft.groupBy(*keys).agg(
-        F.min(F.when(~F.col("__candidate"), F.col(order))).alias("__refused"), F.count(F.when(F.col("__candidate"), 1)).alias("leading_without_dts")
-    )
-    # rank <= limit + 1 lets Spark cut each map task to that many rows per stream before the shuffle.
-    ranked = soft.where("__candidate").withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
-    ranked = ranked.where(F.col("__rank") <= limit + 1).groupBy(*keys).agg(
-        F.min(F.when(F.col("__rank") == limit + 1, F.col(order))).alias("__over"),
-    )
-    out = refused.join(ranked, keys, "left").withColumn("__first_soft", F.least("__refused", "__over"))
-    return out.select(*keys, "__first_soft", "leading_without_dts")
+    ).drop("__changed")
 
 
 def locate_subsequence(

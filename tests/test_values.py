@@ -413,3 +413,56 @@ def test_reorder_facts(spark, block_us):
     got = {x.file_id: (x.packets, x.untimed, x.max_depth, x.duplicates, x.max_residual_us) for x in out.collect()}
     del want[19]
     assert got == want
+
+
+def fidelity(left, right, limit):
+    """(matched, missing, extra, first_bad, leading) of two lists of (pts, dts, duration, size, hash) by one walk; both leading rules on."""
+    near = lambda a, b: a is None and b is None or a is not None and b is not None and abs(a - b) <= 2000
+    seen, bad, leading, used = [False, False], None, 0, 0
+    for i in range(max(len(left), len(right))):
+        l, r = left[i] if i < len(left) else None, right[i] if i < len(right) else None
+        wrong = l is None or r is None
+        if not wrong:
+            same = l[3:] == r[3:] and near(l[0], r[0]) and (l[2] is None or r[2] is None or near(l[2], r[2]))
+            wrong = not same
+            if same and not near(l[1], r[1]):
+                wrong = True
+                if (l[1] is None) != (r[1] is None):
+                    full, prev, k = (r, right[i - 1][1] if i else None, 0) if l[1] is None else (l, left[i - 1][1] if i else None, 1)
+                    if not seen[k] and full[0] is not None and full[1] <= full[0] and (prev is None or full[1] >= prev):
+                        used += 1
+                        wrong = used > limit
+        seen = [seen[0] or l is not None and l[1] is not None, seen[1] or r is not None and r[1] is not None]
+        if wrong and bad is None:
+            bad = i
+    return min(len(left), len(right)), max(len(left) - len(right), 0), max(len(right) - len(left), 0), bad, used
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 3, 7, 65536])
+def test_fidelity_by_one_walk(spark, block_rows):
+    r = random.Random(5)
+    left, right, want = [], [], {}
+    for f in range(40):
+        n = r.randrange(1, 25)
+        a = [(i * 1000 + 3000, i * 1000 + r.choice([0, 0, 0, 400]), r.choice([None, 1000]), r.randrange(3), "h") for i in range(n)]
+        b = list(a)
+        cut = r.randrange(0, 12)
+        side = a if r.random() < 0.5 else b
+        for i in range(min(cut, n)):
+            if r.random() < 0.9:
+                side[i] = (*side[i][:1], None, *side[i][2:])
+        for _ in range(r.randrange(3)):
+            i = r.randrange(n)
+            b[i] = (b[i][0] + r.choice([0, 5000]), *b[i][1:3], r.randrange(3), b[i][4])
+        b = b[: n - r.choice([0, 0, 0, 2])] + [(1, 1, 1, 1, "x")] * r.choice([0, 0, 0, 1])
+        want[f] = fidelity(a, b, 4)
+        left += [(f, 0, i, *x) for i, x in enumerate(a)]
+        right += [(f, 0, i, *x) for i, x in enumerate(b)]
+    schema = "file_id long, stream_index long, ordinal long, pts_us long, dts_us long, duration_us long, size long, hash string"
+    out = compare.packet_fidelity_diff(
+        spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), reconstruct_initial_dts=True, omit_initial_dts=True, leading_limit=4, block_rows=block_rows
+    )
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and plan.count("Exchange hash") <= 3 and "Python" not in plan
+    got = {x.file_id: (x.matched, x.missing, x.extra, x.first_bad, x.leading_without_dts) for x in out.collect()}
+    assert got == want
