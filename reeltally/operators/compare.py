@@ -205,7 +205,7 @@ def locate_subsequence(
     """Where a copied run starts in its source, and whether it then matches without a gap.
 
     The source is filtered to rows equal to the first target row; the earliest of them fixes
-    the start, and one equi-join on the shifted ordinal checks the rest.  ``filler_hash`` names
+    the start, and one equi-join on the shifted ordinal checks the rest: two passes over either side.  ``filler_hash`` names
     the payload of an empty leading filler packet that may precede the run.
     """
     keys = list(keys)
@@ -224,11 +224,14 @@ def locate_subsequence(
             & (F.abs("pts_us") <= COPY_TOLERANCE_US) & (F.abs(F.col("duration_us") - shift_us) <= 5_000)
         )
         heads = t.where(F.col(order) == 0).select(*keys, F.when(filler, 1).otherwise(0).cast("long").alias("filler"))
-        t = attach(t, heads, keys, spread=order).where(F.col(order) >= F.col("filler"))
+        t = attach(t, heads, keys, spread=order, dense=False).where(F.col(order) >= F.col("filler"))
         t = t.withColumn(order, F.col(order) - F.col("filler"))
     else:
         t = t.withColumn("filler", skip)
-    dts_seen = t.where(F.col("dts_us").isNotNull()).groupBy(*keys).agg(F.min(order).alias("__seen"))
+    # The first row and where the first DTS stands, in one pass over the target.
+    heads = t.groupBy(*keys).agg(
+        F.max(F.when(F.col(order) == 0, F.struct(*cols))).alias("__head"), F.min(F.when(F.col("dts_us").isNotNull(), F.col(order))).alias("__seen")
+    )
 
     def same_row(dts_free: Column) -> Column:
         return (
@@ -237,10 +240,12 @@ def locate_subsequence(
             & (_close(F.col("__s_dts"), F.col("dts_us")) | dts_free)
         )
 
-    head = t.where(F.col(order) == 0).drop(order, "filler")
+    head = heads.where("__head is not null").select(*keys, "__head.*", "__seen")
     free = F.lit(leading_dts_optional) & F.col("dts_us").isNull()
-    starts = attach(s, head, keys, spread="__so", how="inner").where(same_row(free)).groupBy(*keys).agg(F.min("__so").alias("start"))
-    placed = attach(t, starts.join(dts_seen, keys, "left"), keys, spread=order)
+    starts = attach(s, head, keys, spread="__so", how="inner", dense=False).where(same_row(free)).groupBy(*keys).agg(
+        F.min("__so").alias("start"), F.max("__seen").alias("__seen")
+    )
+    placed = attach(t, starts, keys, spread=order, dense=False)
     placed = placed.withColumn("__so", F.col("start") + F.col(order))
     joined = placed.join(s, [*keys, "__so"], "left")
     early = F.lit(leading_dts_optional) & F.col("dts_us").isNull() & F.coalesce(F.col(order) <= F.col("__seen"), F.lit(True))
