@@ -1,5 +1,7 @@
 """Registered queries: logs, history, progress."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from reeltally.operators import jobs
@@ -9,34 +11,49 @@ from reeltally.queries.registry import query
 
 L = lambda x: F.lit(x).cast("long")
 
-# Fixed sample messages: (kind, text), picked by event number.
+# Messages of tools, picked by event number and filled from the event's columns.
 MESSAGES = (
-    "Inspecting source streams", "[consumer] Encoding: 120/2400 Frames @ 24.5 fps", "Svt[info]: preset 6", "x265 [error] malloc failed",
-    "Source: /library/Error Report.mkv", "[producer] Warning: deprecated pixel format", "Could not find codec parameters for stream 5 (Attachment: ttf)",
-    "Consider increasing the value for the 'analyzeduration' (0) and 'probesize' (5000000) options", "Verified output published.", "Failed to open file",
-    "Paused the media job process trees.", "Mux log: /tmp/mux.txt", "   Last message repeated 3 times", "frame=  120 fps= 24", "[mp4 @ 0x1] [warning] non monotonous",
-    "Encoding video with SVT-AV1", "", "50.0% 12/24 done", "cannot allocate",
+    "Inspecting source streams {props}", "[consumer] Encoding: {id}/{cents} Frames @ {user}.5 fps", "Svt[info]: preset {props}", "x265 [error] malloc failed for {id}",
+    "Source: /library/{type}/Error Report {user}.mkv", "[producer] Warning: deprecated pixel format {type}", "Could not find codec parameters for stream {id} (Attachment: ttf)",
+    "Consider increasing the value for the 'analyzeduration' ({user}) and 'probesize' ({cents}) options", "Verified output published. {props}", "Failed to open file {id}",
+    "Paused the media job process trees.", "Mux log: /tmp/{user}/mux.txt", "   Last message repeated {id} times", "frame=  {id} fps= 24 {type}", "[mp4 @ 0x{user}] [warning] non monotonous",
+    "Encoding video {user} with SVT-AV1", "", "{user}.0% {id}/{cents} done", "cannot allocate {props}", "{type}: {props}", "{props} {type} {id}",
 )
+COLUMNS = {
+    "props": ("props", "props"), "type": ("event_type", "event_type"), "id": ("cast(event_id AS string)", "event_id::VARCHAR"),
+    "user": ("cast(user_id AS string)", "user_id::VARCHAR"), "cents": ("cast(cast(round(value * 100) AS bigint) AS string)", "CAST(round(value * 100) AS BIGINT)::VARCHAR"),
+}
+
+
+def _filled(message: str, side: int):
+    """The message's parts as columns (0) or SQL (1): names in braces are columns of the events."""
+    out = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", message)):
+        if side == 0:
+            out.append(F.expr(COLUMNS[part][0]) if i % 2 else F.lit(part))
+        else:
+            out.append(COLUMNS[part][1] if i % 2 else "'" + part.replace("'", "''") + "'")
+    return F.concat(*out) if side == 0 else " || ".join(out)
 
 
 def log_lines(spark, sf):
     """One line per event; the job is the user, the line number follows the event order."""
     e = v.events(spark, sf)
-    text = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") * 7 % len(MESSAGES) + 1).cast("int"))
+    text = F.element_at(F.array(*[_filled(m, 0) for m in MESSAGES]), (F.col("event_id") * 8 % len(MESSAGES) + 1).cast("int"))
     d = e.select(F.col("user_id").alias("job_id"), "event_id", "t_us", text.alias("text"))
     return numbered(d, keys=["job_id"], order=["event_id"], name="n")
 
 
-_LIST = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in MESSAGES) + "]"
 LINES = f"""
-lines AS (SELECT user_id AS job_id, event_id, t_us, {_LIST}[event_id * 7 % {len(MESSAGES)} + 1] AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM ev)
+lines AS (SELECT user_id AS job_id, event_id, t_us, [{", ".join(_filled(m, 1) for m in MESSAGES)}][event_id * 8 % {len(MESSAGES)} + 1] AS text,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM ev)
 """
 
 TONES = """CASE WHEN text LIKE 'Source:%' OR text LIKE 'Mux log:%' THEN 'plain'
-  WHEN text LIKE '%[error]%' OR text LIKE 'Could not%' OR text LIKE 'Failed to%' OR text LIKE 'cannot%' THEN 'error'
+  WHEN text LIKE '%[error]%' OR text LIKE 'Could not%' OR text LIKE 'Failed to%' OR text LIKE 'cannot%' OR text LIKE 'error: %' THEN 'error'
   WHEN text LIKE '%Warning:%' OR text LIKE '%[warning]%' THEN 'warning' WHEN text LIKE 'Verified output%' THEN 'success'
-  WHEN text LIKE '%Encoding: 1%' OR text LIKE 'frame=%' OR text LIKE '50.0\\%%' ESCAPE '\\' THEN 'progress'
-  WHEN text LIKE 'Inspecting %' OR text LIKE 'Encoding video with%' THEN 'phase' ELSE 'plain' END"""
+  WHEN text LIKE '%Encoding: %' OR text LIKE 'frame=%' OR regexp_matches(text, '^[0-9]+[.]0% ') THEN 'progress'
+  WHEN text LIKE 'Inspecting %' OR text LIKE 'Encoding video % with%' THEN 'phase' ELSE 'plain' END"""
 
 
 @query("classify_log_lines", f"WITH {LINES} SELECT job_id, n, {TONES} AS tone FROM lines")
