@@ -126,10 +126,11 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, *, lists: int = LIS
     seen = F.sum(F.expr("shiftleft(1L, cast(list as int))")).alias("seen")
     known = entries.groupBy("query", "row").agg(F.sum("score").alias("sum"), seen, F.count(F.lit(1)).alias("n"))
     # Phase three: what no sum of shares can lift to the cutoff goes; the lists not seen are read for the rest.
-    known = known.join(cut.select("query", "low", F.col("vec").alias("q_vec")), "query")
-    known = known.where("low is null or sum + (%d - n) * (low / %d) >= low" % (lists, lists))
+    known = known.join(cut.select("query", "low"), "query")
+    # Written, as both the complete and the lacking sums read it.
+    known = materialise(known.where("low is null or sum + (%d - n) * (low / %d) >= low" % (lists, lists)).drop("low"))
     complete = known.where(F.col("n") == lists).select("query", "row", F.col("sum").alias("score"))
-    lacking = known.where(F.col("n") < lists).join(texts.select("row", "vec"), "row").select("query", "row", "sum", "seen", "q_vec", "vec")
+    lacking = known.where(F.col("n") < lists).join(cut.select("query", F.col("vec").alias("q_vec")), "query").join(texts.select("row", "vec"), "row").select("query", "row", "sum", "seen", "q_vec", "vec")
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
