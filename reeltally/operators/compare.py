@@ -419,8 +419,8 @@ def _stitched_runs(parts: DataFrame, keys: list[str]) -> DataFrame:
     second = F.struct(F.lit(1).alias("pos"), F.col("last_len").alias("len"), F.lit(True).alias("fresh"), F.when(F.col("runs") > 2, F.col("before_last")).alias("before"))
     d = d.withColumn("__item", F.explode(F.when(many, F.array(first, second)).otherwise(F.array(first))))
     order = W.partitionBy(*keys).orderBy("__block", "__item.pos")
-    d = d.withColumn("__edge", F.sum(F.col("__item.fresh").cast("int")).over(order))
-    d = d.withColumn("len", F.sum("__item.len").over(W.partitionBy(*keys, "__edge")))
+    d = d.withColumn("__block_edge", F.sum(F.col("__item.fresh").cast("int")).over(order))
+    d = d.withColumn("len", F.sum("__item.len").over(W.partitionBy(*keys, "__block_edge")))
     d = d.withColumn("prev_len", F.coalesce("__item.before", F.lag("len").over(order)))
     own, start = F.col("__item.pos") == 0, F.col("__item.fresh")
     once = lambda c: F.sum(F.when(own, F.col(c)).otherwise(F.lit(0).cast("long")))

@@ -25,8 +25,14 @@ def plain(x):
     return repr(x + 0.0) if isinstance(x, float) else str(x)
 
 
+def no_cross_products(plans):
+    assert plans
+    for plan in plans:
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, plan
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_matches_oracle(spark, sf, con, name):
+def test_matches_oracle(spark, sf, con, executed_plans, name):
     df = entry.queries()[name](spark, sf)
     cur = con.execute(entry.oracle_sql()[name])
     cols = [d[0] for d in cur.description]
@@ -37,11 +43,13 @@ def test_matches_oracle(spark, sf, con, name):
     want = sorted(tuple(plain(r[cols.index(c)]) for c in order) for r in cur.fetchall())
     got = sorted(tuple(plain(r[c]) for c in order) for r in df.collect())
     assert got == want
+    no_cross_products(executed_plans())
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
-def test_runs(spark, sf, name):
+def test_runs(spark, sf, executed_plans, name):
     assert entry.queries()[name](spark, sf).count() > 0
+    no_cross_products(executed_plans())
 
 
 def test_entry(spark):
