@@ -136,5 +136,52 @@ def ingest_frame_records(spark, sf):
     return rows.select("file_id", "ordinal", "t_us", "height", F.concat_ws(":", "sar.num", "sar.den").alias("sar"), "pix_fmt", "chroma_location")
 
 
-for name in ("packet_records", "packet_hashes", "frame_hashes", "frame_records"):
+@query("ingest_grain_segments")
+def ingest_grain_segments(spark, sf):
+    return _ingested(spark, s._grain_lines(spark, sf), readers.read_grain_segments)
+
+
+@query("ingest_metric_lines")
+def ingest_metric_lines(spark, sf):
+    """The three text dialects, a folder of files for each."""
+    out = None
+    for metric, lines in s._metric_lines(spark, sf).items():
+        rows = _ingested(spark, lines, lambda spark, path: readers.read_metric_reports(spark, path, metric))
+        rows = rows.select("file_id", "metric", "frame", F.round("score", 4).alias("score"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("ingest_tool_logs", """
+WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn FROM events),
+p AS (SELECT user_id AS file_id, rn AS n, CAST(round(value * 100) AS BIGINT) AS frames, event_id AS i FROM a WHERE event_id % 7 > 1)
+SELECT file_id, n, frames, CASE WHEN i % 3 <> 0 THEN CAST(2000 AS BIGINT) END AS total_frames, CASE WHEN i % 5 <> 0 THEN 3600 + i % 60 END AS eta_s FROM p""")
+def ingest_tool_logs(spark, sf):
+    lines = s.progress_lines(spark, sf).select(F.col("job_id").cast("long").alias("file_id"), "n", "value")
+    path, names = _written(spark, lines)
+    return _numbered(readers.read_tool_logs(spark, path, glob="*")[1].select("file_id", "n", "frames", "total_frames", "eta_s"), names)
+
+
+@query("ingest_loudness_reports")
+def ingest_loudness_reports(spark, sf):
+    return _ingested(spark, s._loudness_documents(spark, sf).withColumn("n", F.lit(0)), lambda *a: readers.read_loudness_reports(*a, glob="*"))
+
+
+@query("ingest_job_history")
+def ingest_job_history(spark, sf):
+    path, _ = _written(spark, s._history_documents(spark, sf).select(F.col("doc").alias("file_id"), F.lit(0).alias("n"), "value"))
+    return readers.read_job_history(spark, path, glob="*")[0].select("job_id", "state", "input_bytes")
+
+
+@query("ingest_scene_slices")
+def ingest_scene_slices(spark, sf):
+    """A file for each slice; which film and slice it is comes from the context."""
+    d = s._slice_documents(spark, sf).select((F.col("file_id") * 1_000_000 + F.col("slice")).alias("file_id"), F.lit(0).alias("n"), "value")
+    path, names = _written(spark, d)
+    context = names.select("path", F.expr("of div 1000000").alias("file_id"), (F.col("of") % 1_000_000).alias("slice"))
+    return readers.read_scene_slices(spark, path, context, glob="*")[1]
+
+
+for name in ("packet_records", "packet_hashes", "frame_hashes", "frame_records", "grain_segments", "loudness_reports", "job_history", "scene_slices"):
     ORACLES[f"ingest_{name}"] = ORACLES[f"read_{name}"]
+ORACLES["ingest_metric_lines"] = ORACLES["read_metric_reports"].split("UNION ALL SELECT file_id, 'vmaf'")[0]

@@ -180,28 +180,38 @@ def read_cues(spark, sf):
 
 @query("read_grain_segments", """SELECT file_id, ordinal AS n, ordinal * 417083 AS start_tick, (ordinal + 1) * 417083 AS end_tick FROM frames WHERE ordinal % 9 <> 4 AND o_orderkey % 701 <> 3""")
 def read_grain_segments(spark, sf):
+    return rec.parse_grain_segments(_grain_lines(spark, sf))[0]
+
+
+def _grain_lines(spark, sf):
     k, n = F.col("o_orderkey"), F.col("ordinal")
     line = F.when(n % 9 == 4, "p 6 0 0 0").when(k % 701 == 3, "E 1 2").otherwise(F.concat(F.lit("E "), (n * 417083).cast("string"), F.lit("  "), ((n + 1) * 417083).cast("string"), F.lit(" 1 7 1")))
-    lines = v.frames(spark, sf).select("file_id", F.lit("").alias("path"), n.alias("n"), line.alias("value"))
-    return rec.parse_grain_segments(lines)[0]
+    return v.frames(spark, sf).select("file_id", F.lit("").alias("path"), n.alias("n"), line.alias("value"))
 
 
 @query("read_scene_slices", """
 WITH s AS (SELECT file_id, ordinal // 40 AS slice, ordinal % 40 AS n, count(*) OVER (PARTITION BY file_id, ordinal // 40) AS c FROM frames)
 SELECT file_id, slice, l.list, n, n * 24 AS start_frame, n * 24 + 24 AS end_frame FROM s, (VALUES ('scenes'), ('split_scenes')) l(list) WHERE file_id % 7 <> 5 AND (list = 'scenes' OR file_id % 2 = 0)""")
 def read_scene_slices(spark, sf):
+    return docs.parse_scene_slices(_slice_documents(spark, sf))[1]
+
+
+def _slice_documents(spark, sf):
     f = v.frames(spark, sf).withColumn("slice", F.expr("ordinal div 40")).withColumn("i", F.col("ordinal") % 40)
     item = F.struct((F.col("i") * 24).alias("start_frame"), (F.col("i") * 24 + 24).alias("end_frame"))
     d = _groups(f, ["file_id", "slice"], "i", item, "scenes")
     frames = F.when(F.col("file_id") % 7 != 5, F.size("scenes") * 24)
-    d = d.select("file_id", "slice", F.lit("").alias("path"), F.to_json(F.struct(frames.alias("frames"), "scenes", F.when(F.col("file_id") % 2 == 0, F.col("scenes")).alias("split_scenes"))).alias("value"))
-    return docs.parse_scene_slices(d)[1]
+    return d.select("file_id", "slice", F.lit("").alias("path"), F.to_json(F.struct(frames.alias("frames"), "scenes", F.when(F.col("file_id") % 2 == 0, F.col("scenes")).alias("split_scenes"))).alias("value"))
 
 
 @query("read_job_history", """
 WITH o AS (SELECT o_orderkey // 100 AS doc, o_orderkey::VARCHAR AS job_id, CASE o_orderstatus WHEN 'P' THEN 'stopped' WHEN 'F' THEN 'failed' ELSE 'succeeded' END AS state, CAST(round(o_totalprice * 100) AS BIGINT) AS input_bytes FROM orders)
 SELECT job_id, state, input_bytes FROM o WHERE doc % 11 <> 3 AND doc % 13 <> 4""")
 def read_job_history(spark, sf):
+    return docs.parse_job_history(_history_documents(spark, sf))[0].select("job_id", "state", "input_bytes")
+
+
+def _history_documents(spark, sf):
     """One history document per hundred orders; some have another version or a repeated id."""
     o = v.table(spark, sf, "orders").withColumn("doc", F.expr("o_orderkey div 100"))
     state = F.when(F.col("o_orderstatus") == "P", "stopped").when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded")
@@ -210,8 +220,7 @@ def read_job_history(spark, sf):
     d = _groups(o, ["doc"], "o_orderkey", job, "jobs")
     k = F.col("doc")
     jobs_ = F.when(k % 13 == 4, F.concat("jobs", F.slice("jobs", 1, 1))).otherwise(F.col("jobs"))
-    d = d.select(S("doc").alias("path"), F.to_json(F.struct(F.when(k % 11 == 3, 2).otherwise(1).alias("version"), jobs_.alias("jobs"))).alias("value"))
-    return docs.parse_job_history(d)[0].select("job_id", "state", "input_bytes")
+    return d.select("doc", S("doc").alias("path"), F.to_json(F.struct(F.when(k % 11 == 3, 2).otherwise(1).alias("version"), jobs_.alias("jobs"))).alias("value"))
 
 
 def progress_lines(spark, sf):
@@ -276,6 +285,10 @@ def read_gap_samples(spark, sf):
 SELECT c_custkey AS file_id, CASE WHEN c_custkey % 6 <> 0 THEN -70 + c_custkey % 640 / 8e0 END AS integrated, CASE WHEN c_custkey % 6 <> 0 THEN -(c_custkey % 160) / 8e0 END AS peak, c_custkey % 24 / 2e0 AS lra
 FROM customer WHERE c_custkey % 17 <> 3 AND c_custkey % 19 <> 4""")
 def read_loudness_reports(spark, sf):
+    return docs.parse_loudness_reports(_loudness_documents(spark, sf))[0]
+
+
+def _loudness_documents(spark, sf):
     k = F.col("c_custkey")
     t = lambda c: c.cast("string")
     i = F.when(k % 6 == 0, "-inf").when(k % 19 == 4, "300.0").otherwise(t(-70 + k % 640 / 8.0))
@@ -283,8 +296,7 @@ def read_loudness_reports(spark, sf):
     text = F.when(k % 17 == 3, "no json at all").otherwise(F.concat(F.lit('frame 1 {"input_i": "1"}\n[loudnorm]\n'), j))
     # The value 300 is reached only where the loudness is not silent.
     text = F.when((k % 19 == 4) & (k % 6 == 0), "nothing").otherwise(text)
-    d = v.table(spark, sf, "customer").select(k.alias("file_id"), F.lit("").alias("path"), text.alias("value"))
-    return docs.parse_loudness_reports(d)[0]
+    return v.table(spark, sf, "customer").select(k.alias("file_id"), F.lit("").alias("path"), text.alias("value"))
 
 
 @query("read_dynamic_metadata", """
