@@ -25,6 +25,8 @@ STALE_MS = 15_000
 REDRAW_MS = 10_000
 PART_ROWS = 65_536
 SALTS = 8
+# Watermarks begin at 1970; clocks that begin at zero, or before, are moved behind it.
+EPOCH_MS = 10**12
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -41,8 +43,8 @@ class Reorder:
     lies behind it, so no row can follow that should have come before.
     """
 
-    def __init__(self, handle: StatefulProcessorHandle, fields: dict[str, str]) -> None:
-        self.handle, self.fields = handle, fields
+    def __init__(self, handle: StatefulProcessorHandle, fields: dict[str, str], shift_ms: int = 0) -> None:
+        self.handle, self.fields, self.shift = handle, fields, shift_ms
         self.rows = handle.getMapState("held", "second bigint", ", ".join(f"{name} array<{kind}>" for name, kind in fields.items()))
         self.due = handle.getValueState("due", "at bigint")
 
@@ -67,19 +69,19 @@ class Reorder:
                 self.rows.updateValue(key, tuple([*old, *new] for old, new in zip(held, plain)))
                 first = int(second) if first is None else min(first, int(second))
         if first is not None:
-            at = (first + 1) * 1000
+            at = (first + 1) * 1000 + self.shift
             self._wait(min(at, int(self.due.get()[0])) if self.due.exists() else at)
 
     def release(self, watermark_ms: int, order: list[str]) -> pd.DataFrame:
         """What the watermark has passed, in order."""
         seconds = sorted(int(key[0]) for key in self.rows.keys())
-        ready = [second for second in seconds if (second + 1) * 1000 <= watermark_ms]
+        ready = [second for second in seconds if (second + 1) * 1000 + self.shift <= watermark_ms]
         out = {name: [] for name in self.fields}
         for second in ready:
             for name, values in zip(self.fields, self.rows.getValue((second,))):
                 out[name] += values
             self.rows.removeKey((second,))
-        self._wait((seconds[len(ready)] + 1) * 1000 if len(ready) < len(seconds) else None)
+        self._wait((seconds[len(ready)] + 1) * 1000 + self.shift if len(ready) < len(seconds) else None)
         return pd.DataFrame(out).sort_values(order, kind="stable", ignore_index=True)
 
 
@@ -89,7 +91,7 @@ NOBODY = -(1 << 63)
 def _jobs(rows: DataFrame, delay: str | None) -> DataFrame:
     """Rows for a processor by job.  A null key would turn the batch's keys into floats, which the state takes for nulls."""
     d = rows.withColumn("job_id", F.coalesce("job_id", F.lit(NOBODY).cast("long")))
-    return d.withColumn("event_time", F.timestamp_millis("t_ms")).withWatermark("event_time", delay) if delay else d
+    return d.withColumn("event_time", F.timestamp_millis(F.col("t_ms") + EPOCH_MS)).withWatermark("event_time", delay) if delay else d
 
 
 # Progress estimates ---------------------------------------------------------
@@ -155,7 +157,7 @@ class ProgressProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("progress", "phase string, times array<bigint>, values array<double>")
-        self.buffer = Reorder(handle, self.FIELDS) if self.mode == "event" else None
+        self.buffer = Reorder(handle, self.FIELDS, EPOCH_MS) if self.mode == "event" else None
 
     def _estimated(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         s = self.state.get() if self.state.exists() else (None, [], [])
@@ -240,7 +242,7 @@ class ThinProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("thin", "logged bigint, held_n bigint, held_t bigint, held_text string")
-        self.buffer = Reorder(handle, self.FIELDS) if self.by_event else None
+        self.buffer = Reorder(handle, self.FIELDS, EPOCH_MS) if self.by_event else None
 
     def _thinned(self, key, lines: pd.DataFrame) -> pd.DataFrame:
         s = self.state.get() if self.state.exists() else (None, None, None, None)
@@ -383,13 +385,13 @@ class RateProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         start, end = int(key[-2]), int(key[-2]) + self.window_us
-        if end <= timerValues.getCurrentWatermarkInMs() * 1000:
+        if end <= (timerValues.getCurrentWatermarkInMs() - EPOCH_MS) * 1000:
             for part in rows:
                 yield self._rows(key, "late", start, 1, part["size"], part["t_us"])
             return
         packets, total = self.sums.get() if self.sums.exists() else (0, 0)
         if not packets:
-            self.handle.registerTimer(-(-end // 1000))
+            self.handle.registerTimer(-(-end // 1000) + EPOCH_MS)
         for part in rows:
             packets, total = packets + len(part), total + int(part["size"].sum())
         self.sums.update((packets, total))
@@ -420,7 +422,7 @@ def stream_rate_and_late(packets: DataFrame, window_us: int, delay: str, *, keys
     """
     use_rocksdb(packets.sparkSession)
     start = F.expr(f"`{t}` - pmod(`{t}`, {int(window_us)}L)")
-    d = packets.dropna(subset=[*keys, t]).withColumn("event_time", F.timestamp_micros(F.col(t))).withWatermark("event_time", delay)
+    d = packets.dropna(subset=[*keys, t]).withColumn("event_time", F.timestamp_micros(F.col(t) + EPOCH_MS * 1000)).withWatermark("event_time", delay)
     # Without the time column Spark drops nothing before the processor has seen it; only the watermark goes on.
     salt = F.pmod(F.xxhash64(t), F.lit(int(salts)).cast("long"))
     d = d.select(*keys, start.alias("__start"), salt.alias("__salt"), F.col(t).alias("t_us"), F.col(size).cast("long").alias("size"))

@@ -262,3 +262,16 @@ def test_rate_and_late_rows(spark, tmp_path):
     assert sorted((x.file_id, x.start_us, x.t_us, x.packet_bytes) for x in out.where("kind = 'late'").collect()) == sorted(late) and late
     closed = {(x.file_id, x.start_us): (x.packets, x.packet_bytes) for x in stateful.closed_windows(out).collect()}
     assert closed == {k: v for k, v in sums.items() if k[1] + window <= mark}
+
+
+def test_clocks_that_begin_before_zero(spark, tmp_path):
+    """Nothing is late before the watermark has moved, not even at time zero or below."""
+    data = [(1, i, t, True, f"frame {i}") for i, t in enumerate([-25_000, -12_000, -500, 0, 1, 9_000, 12_000])]
+    d = spark.createDataFrame(data, COLS).withColumn("last", F.col("n") == 6)
+    d = d.withColumn("arrival", F.expr("n div 2")).unionByName(spark.createDataFrame([(10**7, 4)], "t_ms long, arrival long"), allowMissingColumns=True)
+    out = run_available(stateful.thin_progress_log(arriving(spark, d, str(tmp_path / "in"), files=5), delay="30 seconds"), mode="append")
+    assert sorted((r.job_id, r.n, r.t_ms, r.text) for r in out.collect()) == reference_thin(data)
+    p = spark.createDataFrame([(1, 0, t, 5, i) for i, t in enumerate([-700_000, -300_000, 0, 900_000])], "file_id long, stream_index long, t_us long, size long, arrival long")
+    out = run_available(stateful.stream_rate_and_late(arriving(spark, p, str(tmp_path / "rate"), files=4), 500_000, "0 seconds", salts=1), mode="append")
+    assert out.where("kind = 'late'").count() == 0
+    assert sorted((r.start_us, r.packets) for r in stateful.closed_windows(out).collect()) == [(-1_000_000, 1), (-500_000, 1), (0, 1)]
