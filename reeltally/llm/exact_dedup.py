@@ -41,8 +41,8 @@ def exact_duplicates(
     """One row per input row: ``id``, ``keep_id``, ``group_size``, ``kept``, ``copies``, ``key``, ``sha256``.
 
     Rows are grouped by ``digest`` of the text; ``keep`` ("min" or "max") names the id that stays.  Groups
-    whose texts differ are regrouped by the text itself, so a collision never joins two texts.  Only the
-    rows of groups of two or more move their text, and only to meet the text that stays.
+    whose texts differ are regrouped by the text itself, so a collision never joins two texts.  Hashes are grouped without
+    the texts; to compare bytes each text is dealt out by its hash, once to find the one that stays and once to meet it.
 
     Null text counts as empty, and empty texts equal each other.  Null ids lose to any other id; a group
     of nulls keeps one.  Of rows repeated with id and text, exactly one is ``kept``; ``copies`` is their
