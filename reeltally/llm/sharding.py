@@ -56,8 +56,8 @@ class Cut:
 def _settle(rows: DataFrame, cuts: list[Cut], tolerance: float) -> None:
     """Finds every cut by radix selection: each pass sums weights by one digit and narrows all open cuts together.
 
-    A pass returns one row per leaf.  It ends at a digit whose rows weigh no more than the tolerance, which then go whole
-    to the nearer side.
+    A pass returns one row per leaf.  It ends at a digit that holds a single row, or rows that weigh no more than the tolerance, which then
+    go whole to the nearer side.
     """
     for cut in cuts:
         cut.whole = None
@@ -69,16 +69,16 @@ def _settle(rows: DataFrame, cuts: list[Cut], tolerance: float) -> None:
             where = here if where is None else where | here
             digit = F.when(mine, value) if digit is None else digit.when(mine, value)
             left = F.when(mine, F.lit(c.left)) if left is None else left.when(mine, F.lit(c.left))
-        sums = rows.where(where).groupBy("leaf", digit.alias("digit")).agg(F.sum("size").alias("w"))
+        sums = rows.where(where).groupBy("leaf", digit.alias("digit")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
         run = W.partitionBy("leaf").orderBy("digit")
         sums = sums.withColumn("upto", F.sum("w").over(run)).withColumn("left", left)
-        found = sums.where("upto >= left").groupBy("leaf").agg(F.min(F.struct("digit", "w", "upto")).alias("m")).select("leaf", "m.*")
+        found = sums.where("upto >= left").groupBy("leaf").agg(F.min(F.struct("digit", "w", "upto", "n")).alias("m")).select("leaf", "m.*")
         at = {r["leaf"]: r for r in found.collect()}
         for c in todo:
             r = at[c.leaf]
             c.prefix.append(r["digit"])
             c.left -= r["upto"] - r["w"]
-            if r["w"] <= tolerance or len(c.prefix) == len(_digits(c.dim)):
+            if r["n"] == 1 or r["w"] <= tolerance or len(c.prefix) == len(_digits(c.dim)):
                 c.whole = 2 * c.left >= r["w"]
 
 
