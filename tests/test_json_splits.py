@@ -146,3 +146,16 @@ def test_metric_and_scene_documents(spark, tmp_path, small_splits):
     rows, bad = readers.read_dynamic_metadata(spark, str(tmp_path / "s"), paths.withColumn("frames", F.lit(200)))
     assert {(r.path[-8:-5], r.reason) for r in bad.collect()} == {("ort", "record count differs"), ("odd", "invalid frame index or windows")}
     assert rows.count() == 200 and [r.scene_id for r in rows.where("frame = 150").collect()] == [3]
+
+
+def test_closing_brackets_in_strings_cost_no_more(spark, tmp_path):
+    """Read as if it began inside a string, this document falls by a level with every record; time was the square of their number."""
+    import time
+
+    frames = [{"i": i, "t": "}],"} for i in range(200_000)]
+    (tmp_path / "a.json").write_text(json.dumps({"frames": frames}))
+    begun = time.perf_counter()
+    records, documents = js.read_json_records(spark, str(tmp_path), "frames", glob="*.json")
+    assert records.agg(F.count("n"), F.sum("n")).first() == (200_000, 200_000 * 199_999 // 2)
+    assert [r.reason for r in documents.collect()] == [None]
+    assert time.perf_counter() - begun < 60
