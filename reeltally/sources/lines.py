@@ -44,6 +44,26 @@ def read_documents(spark: SparkSession, paths: str | Sequence[str], *, glob: str
     )
 
 
+def write_bundles(rows: DataFrame, path: str, member: Column) -> None:
+    """Small files, gathered in few: each of ``rows``' documents (``value``) or lines (``n, value``) is a JSON line that names its file ``member``.
+
+    A folder for each file would cost a rename, a listing and a task's opening for each; here the number of files is that of the tasks.
+    """
+    fields = [member.alias("member"), *[c for c in ("n", "value") if c in rows.columns]]
+    rows.select(F.to_json(F.struct(*fields)).alias("value")).write.text(path)
+
+
+def read_bundles(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """``path, value`` or, with ``lines``, ``path, n, value`` of the files that :func:`write_bundles` gathered below ``path``.
+
+    A file's path is the folder with its name: where it lies among the bundles does not matter, and they are cut into splits at any line.
+    """
+    fields = "member string, n long, value string" if lines else "member string, value string"
+    raw = spark.read.schema(fields).option("mode", "FAILFAST").json(path)
+    name = F.concat(F.regexp_replace(F.col("_metadata.file_path"), r"[^/]*$", ""), F.col("member"))
+    return raw.select(name.alias("path"), *(["n"] if lines else []), F.coalesce("value", F.lit("")).alias("value"))
+
+
 def with_file_id(df: DataFrame) -> DataFrame:
     """Adds ``file_id`` from the path unless the caller already provided one."""
     return df if "file_id" in df.columns else df.withColumn("file_id", X.path_id("path"))

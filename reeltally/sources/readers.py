@@ -1,7 +1,7 @@
 """Corpus readers: many dump files to typed tables plus a quarantine table.
 
 Every reader lists files with the Spark file sources, keeps the position inside each file as the ordinal and
-takes ``file_id`` from the path.  Side information that a dump does not contain (formats, sampled
+takes ``file_id`` from the path.  Dumps of many small files may be ``bundled``, see :func:`~reeltally.sources.lines.write_bundles`.  Side information that a dump does not contain (formats, sampled
 positions, expected counts) comes from ``context``, a table keyed by ``path``.
 """
 
@@ -14,7 +14,7 @@ from reeltally.functions import exprs as X
 from reeltally.sources import documents as docs
 from reeltally.sources import records as rec
 from reeltally.sources.json_splits import read_json_records
-from reeltally.sources.lines import read_documents, read_lines
+from reeltally.sources.lines import read_bundles, read_documents, read_lines
 from reeltally.sources.records import read_tool_logs
 
 __all__ = [
@@ -28,6 +28,10 @@ def _with_context(df: DataFrame, context: DataFrame | None) -> DataFrame:
     return df if context is None else df.join(context, "path", "left")
 
 
+def _documents(spark: SparkSession, path: str, glob: str | None, bundled: bool) -> DataFrame:
+    return read_bundles(spark, path) if bundled else read_documents(spark, path, glob=glob)
+
+
 def read_probe_documents(spark: SparkSession, path: str, *, glob: str = "*.json", context: DataFrame | None = None):
     """``(files, streams, chapters, quarantine)``; ``context`` may add ``size_bytes`` and ``modified_at``."""
     return docs.parse_probe_documents(_with_context(read_documents(spark, path, glob=glob), context))
@@ -73,13 +77,13 @@ def read_grain_segments(spark: SparkSession, path: str, *, glob: str | None = No
     return rec.parse_grain_segments(read_lines(spark, path, glob=glob))
 
 
-def read_scene_slices(spark: SparkSession, path: str, context: DataFrame, *, glob: str = "*.json"):
+def read_scene_slices(spark: SparkSession, path: str, context: DataFrame, *, glob: str = "*.json", bundled: bool = False):
     """``context`` maps each path to its ``file_id`` and ``slice``."""
-    return docs.parse_scene_slices(_with_context(read_documents(spark, path, glob=glob), context))
+    return docs.parse_scene_slices(_with_context(_documents(spark, path, glob, bundled), context))
 
 
-def read_job_history(spark: SparkSession, path: str, *, glob: str = "*.json"):
-    return docs.parse_job_history(read_documents(spark, path, glob=glob))
+def read_job_history(spark: SparkSession, path: str, *, glob: str = "*.json", bundled: bool = False):
+    return docs.parse_job_history(_documents(spark, path, glob, bundled))
 
 
 def read_detector_samples(spark: SparkSession, path: str, context: DataFrame, *, glob: str = "*.log"):
@@ -88,8 +92,8 @@ def read_detector_samples(spark: SparkSession, path: str, context: DataFrame, *,
     return rec.parse_field_samples(lines), rec.parse_gap_samples(lines), rec.parse_crop_samples(lines)
 
 
-def read_loudness_reports(spark: SparkSession, path: str, *, glob: str = "*.log", context: DataFrame | None = None):
-    return docs.parse_loudness_reports(_with_context(read_documents(spark, path, glob=glob), context))
+def read_loudness_reports(spark: SparkSession, path: str, *, glob: str = "*.log", context: DataFrame | None = None, bundled: bool = False):
+    return docs.parse_loudness_reports(_with_context(_documents(spark, path, glob, bundled), context))
 
 
 def read_dynamic_metadata(spark: SparkSession, path: str, context: DataFrame, *, glob: str = "*.json"):

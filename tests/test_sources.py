@@ -230,3 +230,29 @@ def test_every_crop_counts(spark):
     text = [f"[Parsed_cropdetect] crop=1900:1000:{i % 16}:{i % 70}" for i in range(130)]
     rows = rec.parse_crop_samples(lines(spark, text, position=1, frame_w=1920, frame_h=1080))
     assert sorted(r.n for r in rows.collect()) == list(range(130))
+
+
+def test_bundles_of_small_files(spark, tmp_path):
+    """Some hundred small files lie in few; names, places and line ends of every one come back."""
+    from reeltally.sources.lines import read_bundles, write_bundles
+
+    d = spark.range(300).select("id", F.concat(F.lit("a\n\t\"{ü}\r\n"), F.col("id").cast("string")).alias("value")).repartition(3)
+    write_bundles(d, str(tmp_path / "d"), F.concat(F.lit("x="), F.col("id").cast("string")))
+    rows = {r.path.rsplit("/", 1)[1]: r.value for r in read_bundles(spark, str(tmp_path / "d")).collect()}
+    assert rows == {f"x={i}": f'a\n\t"{{ü}}\r\n{i}' for i in range(300)}
+    lines = d.select(F.lit("log").alias("name"), F.col("id").alias("n"), "value").unionByName(spark.createDataFrame([("log", 300, "")], "name string, n long, value string"))
+    write_bundles(lines, str(tmp_path / "l"), F.col("name"))
+    back = read_bundles(spark, str(tmp_path / "l"), lines=True)
+    assert back.select("path").distinct().count() == 1 and sorted(r.n for r in back.collect()) == list(range(301))
+    assert [r.value for r in back.where("n = 300").collect()] == [""]
+
+
+@pytest.mark.parametrize("name", ["ingest_loudness_reports", "ingest_job_history", "ingest_scene_slices", "ingest_tool_logs"])
+def test_small_files_are_gathered(spark, sf, tmp_path, monkeypatch, name):
+    """The files written are as many as the tasks, not as the documents."""
+    import __spark_entry__ as entry
+    from reeltally.queries import ingest
+
+    monkeypatch.setattr(ingest, "shared_dir", lambda spark: str(tmp_path / "out"))
+    assert entry.queries()[name](spark, sf).count() > 0
+    assert len(list((tmp_path / "out").rglob("part-*"))) <= 16
