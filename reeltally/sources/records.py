@@ -176,13 +176,16 @@ def parse_metric_lines(lines: DataFrame, metric: str) -> tuple[DataFrame, DataFr
     ``frame`` is the reported ordinal from zero and ``n`` the record position; see :func:`metric_verdict`.
     XPSNR rows carry the weighted frame error; every other score is used as reported, infinite PSNR as null.
     """
+    # Texts, then numbers, then what follows from them, each a step of one row: written as one expression, every rule repeats the searches.
+    once = lambda d, **columns: judged(d.withColumns(columns), F.lit(None).cast("string")).drop("__reason")
     v = X.strip("value")
     if metric in ("ssim", "psnr"):
         name = "All" if metric == "ssim" else "psnr_avg"
-        get = lambda k: F.when(v.rlike(rf"(?:^|\s){k}:\S+"), F.regexp_extract(v, rf"(?:^|\s){k}:(\S+)", 1))
-        frame = X.unsigned(get("n")) - 1
-        raw = get(name)
-        score = X.finite(raw, None)
+        # The text behind a mark is never empty, so an empty one stands for none.
+        get = lambda k: F.regexp_extract(v, rf"(?:^|\s){k}:(\S+)", 1)
+        src = once(once(with_file_id(lines), __n=get("n"), __raw=get(name)), __frame=X.unsigned("__n") - 1, __score=X.finite("__raw", None))
+        frame, score = F.col("__frame"), F.col("__score")
+        raw = F.when(F.col("__raw") != "", F.col("__raw"))
         infinite = F.lit(metric == "psnr") & (raw == "inf")
         in_range = score.between(-1.0, 1.0) if metric == "ssim" else score >= 0
         why = reason(
@@ -190,22 +193,22 @@ def parse_metric_lines(lines: DataFrame, metric: str) -> tuple[DataFrame, DataFr
             (raw.isNull(), "no metric value"),
             (~F.coalesce(in_range, F.lit(False)) & ~F.coalesce(infinite, F.lit(False)), "score out of range"),
         )
-        src = lines
         out = [score.alias("score"), F.lit(None).cast("double").alias("error")]
     elif metric == "xpsnr":
         p = r"^n:\s+([0-9]+)\s+XPSNR\s+y:\s+(\S+)\s+XPSNR\s+u:\s+(\S+)\s+XPSNR\s+v:\s+(\S+)$"
-        src = lines.where(v.startswith("n:"))
-        frame = X.unsigned(F.regexp_extract(v, p, 1)) - 1
-        part = lambda i: F.when(F.regexp_extract(v, p, i) == "inf", float("inf")).otherwise(X.finite(F.regexp_extract(v, p, i), None))
-        y, u, w = part(2), part(3), part(4)
+        src = once(with_file_id(lines).where(v.startswith("n:")), **{f"__t{i}": F.regexp_extract(v, p, i) for i in (1, 2, 3, 4)})
+        part = lambda i: F.when(F.col(f"__t{i}") == "inf", float("inf")).otherwise(X.finite(f"__t{i}", None))
+        src = once(src, __frame=X.unsigned("__t1") - 1, __y=part(2), __u=part(3), __w=part(4))
+        frame, y, u, w = (F.col(c) for c in ("__frame", "__y", "__u", "__w"))
         err = lambda c: F.when(c == float("inf"), 0.0).otherwise(F.pow(F.lit(10.0), -c / 10.0))
-        error = (err(y) * 4.0 + err(u) + err(w)) / 6.0
+        src = once(src, __error=(err(y) * 4.0 + err(u) + err(w)) / 6.0)
+        error = F.col("__error")
         valid = (y >= 0) & (u >= 0) & (w >= 0)
-        why = reason((~v.rlike(p), "invalid record"), (~F.coalesce(valid, F.lit(False)), "invalid channel value"))
+        why = reason((F.col("__t2") == "", "invalid record"), (~F.coalesce(valid, F.lit(False)), "invalid channel value"))
         out = [F.when(error > 0, F.log10(error) * -10.0).alias("score"), error.alias("error")]
     else:
         raise ValueError(metric)
-    d = with_file_id(src).select("*", F.lit(metric).alias("metric"), frame.alias("frame"), *out)
+    d = src.select("*", F.lit(metric).alias("metric"), frame.alias("frame"), *out)
     d = judged(d, why)
     return split_quarantine(d, ["file_id", "metric", "n", "frame", "score", "error"], ["file_id", "path", "n", "value"])
 

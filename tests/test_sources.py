@@ -256,3 +256,11 @@ def test_small_files_are_gathered(spark, sf, tmp_path, monkeypatch, name):
     monkeypatch.setattr(ingest, "shared_dir", lambda spark: str(tmp_path / "out"))
     assert entry.queries()[name](spark, sf).count() > 0
     assert len(list((tmp_path / "out").rglob("part-*"))) <= 16
+
+
+@pytest.mark.parametrize("metric", ["psnr", "ssim", "xpsnr"])
+def test_metric_lines_are_searched_once(spark, metric):
+    """No rule repeats the searches of a line: each text is extracted in one place of the plan."""
+    d = spark.range(3).select(F.lit(1).alias("file_id"), F.lit("f").alias("path"), F.col("id").alias("n"), F.concat(F.lit("n: x"), F.col("id").cast("string")).alias("value"))
+    plan = rec.parse_metric_lines(d, metric)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_extract") <= 4
