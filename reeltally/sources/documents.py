@@ -337,41 +337,60 @@ def list_files(spark: SparkSession, path: str, *, recursive: bool = True) -> Dat
 
 
 def source_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """Fingerprint of each file: path, length, time and three 64 KiB samples.
+    """:func:`fingerprints` of every file below ``path``.  Spark's listing leaves out empty files."""
+    return fingerprints(list_files(spark, path))
 
-    The listing is dealt over tasks, which read only the samples, so a file may have any length.  A file that cannot be read
-    or ends before its listed length raises.  Spark's listing leaves out empty files.
+
+def fingerprints(listing: DataFrame) -> DataFrame:
+    """Fingerprint of each file of a listing: path, length, time and three 64 KiB samples.
+
+    The listing (``path, size_bytes, modified_at``) is dealt over tasks, which read only the samples, so a file may have any length.
+    Small files may lie in bundles: ``bundle`` is then the file that holds ``path``'s bytes from ``offset`` on, and a task opens a bundle once
+    for all its files that it reads.  A file that cannot be read or ends before its listed length raises.
     """
     from reeltally.operators.catalog import file_fingerprint
 
     size = 65_536
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), 64):  # 12 MB of samples at most
-                part = batch.iloc[lo : lo + 64]
-                samples: dict[str, list[bytes]] = {"head": [], "middle": [], "tail": []}
-                for name, length in zip(part["path"], part["size_bytes"]):
-                    last = max(length - size, 0)
-                    with opened(name) as file:
+        held, file = None, None
+        try:
+            for batch in batches:
+                for lo in range(0, len(batch), 64):  # 12 MB of samples at most
+                    part = batch.iloc[lo : lo + 64]
+                    samples: dict[str, list[bytes]] = {"head": [], "middle": [], "tail": []}
+                    for name, begin, length in zip(part["bundle"], part["offset"], part["size_bytes"]):
+                        if name != held:
+                            if file is not None:
+                                file.close()
+                            held, file = name, opened(name)
+                        last = max(length - size, 0)
                         for sample, offset in zip(samples.values(), (0, last // 2, last)):
-                            file.seek(offset)
-                            sample.append(file.read(size))
+                            file.seek(begin + offset)
+                            sample.append(file.read(min(size, length)))
                             if len(sample[-1]) < min(size, length):
-                                raise OSError(f"{name} ends before its {length} bytes")
-                yield part.assign(**samples)
-
-    listed = list_files(spark, path).select("path", "size_bytes", F.unix_micros("modified_at").alias("us"))
-    d = listed.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "path string, size_bytes long, us long, head binary, middle binary, tail binary")
+                                raise OSError(f"{name} ends before its {begin + length} bytes")
+                    yield part[["path", "size_bytes", "us"]].assign(**samples)
+        finally:
+            if file is not None:
+                file.close()
+
+    bundled = "bundle" in listing.columns
+    place = (F.col("bundle"), F.col("offset")) if bundled else (F.col("path").alias("bundle"), F.lit(0).cast("long").alias("offset"))
+    listed = listing.select("path", "size_bytes", F.unix_micros("modified_at").alias("us"), *place)
+    listed = listed.repartition(listing.sparkSession.sparkContext.defaultParallelism)
+    if bundled:
+        listed = listed.sortWithinPartitions("bundle", "offset")
+    d = listed.mapInPandas(run, "path string, size_bytes long, us long, head binary, middle binary, tail binary")
     samples = {name: F.col(name) for name in ("head", "middle", "tail")}
     return d.select("path", file_fingerprint(F.col("path"), F.col("size_bytes"), F.col("us"), samples).alias("fingerprint"))
 
 
 def opened(path: str):
     """A file of a listing for reading at any place: local, or in a store that Arrow knows."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return open("/" + rest.lstrip("/"), "rb")
+    scheme, colon, rest = path.partition(":")
+    if scheme == "file" or not colon:
+        return open("/" + (rest or path).lstrip("/"), "rb")
     from pyarrow.fs import FileSystem
 
     store, name = FileSystem.from_uri(quote(path, safe=":/@"))
