@@ -171,8 +171,8 @@ def nonblank(text: ColumnOrName) -> Column:
 
 
 def known_colour(text: ColumnOrName) -> Column:
-    t = nonblank(text)
-    return F.when(~t.isin(*UNSET_COLOURS), t)
+    t = _c(text)
+    return F.when((strip(t) != "") & ~t.isin(*UNSET_COLOURS), t)
 
 
 def tag(tags: ColumnOrName, name: str) -> Column:
@@ -181,18 +181,26 @@ def tag(tags: ColumnOrName, name: str) -> Column:
     return F.get(F.map_values(hit), F.lit(0))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_keys(tags: ColumnOrName, fold) -> Column:
     """Map with folded keys; the last entry wins when two keys become equal.
 
     Keys rarely collide, and then a plain key transform is enough; the general form is only evaluated
     for maps in which they do.
     """
-    t = _c(tags)
-    keys = F.transform(F.map_keys(t), fold)
-    entries = F.map_entries(t)
-    pick = lambda k: F.element_at(F.filter(entries, lambda e: fold(e["key"]) == k), -1)["value"]
-    merged = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), pick(k).alias("value"))))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.transform_keys(t, lambda k, _: fold(k))).otherwise(merged)
+
+    def folded(t: Column) -> Column:
+        entries = F.map_entries(t)
+        pick = lambda k: F.element_at(F.filter(entries, lambda e: fold(e["key"]) == k), -1)["value"]
+        merged = lambda keys: F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), pick(k).alias("value"))))
+        plain = lambda keys: F.map_from_arrays(keys, F.map_values(t))
+        return once(F.transform(F.map_keys(t), fold), lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), plain(keys)).otherwise(merged(keys)))
+
+    return once(_c(tags), folded)
 
 
 def lower_keys(tags: ColumnOrName) -> Column:

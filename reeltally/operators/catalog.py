@@ -150,19 +150,20 @@ def assemble_tracks(plan: DataFrame, streams: DataFrame, files: DataFrame, *, ke
     return attach(out, roles.select(key, "duration_s", "container_title"), [key], spread="position")
 
 
-def _signature_text(column: Column, field: str) -> Column:
-    """Comparable text of one signature field; unset tags and the default field order are null."""
-    c = column.cast("string")
-    if field in ("codec_tag", "field_order", "sample_aspect_ratio", "chroma_location") or field.startswith("color_"):
-        c = X.known_colour(c)
-    if field in ("sample_aspect_ratio", "frame_rate"):
-        c = F.when(c != "0/0", c)
-    return F.when(c != "progressive", c) if field == "field_order" else c
+def _tag_field(field: str) -> bool:
+    return field in ("codec_tag", "field_order", "sample_aspect_ratio", "chroma_location") or field.startswith("color_")
 
 
-def _upper_tags(tags: str, dropped: Sequence[str]) -> Column:
+def _signature_texts(fields: Sequence[str]) -> Column:
+    """Texts of the signature fields; unset ratios and the default field order are null."""
+    unset = {"sample_aspect_ratio": "0/0", "frame_rate": "0/0", "field_order": "progressive"}
+    text = lambda f: F.when(F.col(f).cast("string") != unset[f], F.col(f).cast("string")) if f in unset else F.col(f).cast("string")
+    return F.array(*[text(f) for f in fields])
+
+
+def _upper_tags(tags: str | Column, dropped: Sequence[str]) -> Column:
     """Tags with upper-cased keys, without those a container derives itself."""
-    present = F.coalesce(F.col(tags), F.expr("map()").cast("map<string,string>"))
+    present = F.coalesce(F.col(tags) if isinstance(tags, str) else tags, F.expr("map()").cast("map<string,string>"))
     return X.fold_keys(F.map_filter(present, lambda k, _: ~F.upper(k).isin(*dropped)), F.upper)
 
 
@@ -179,28 +180,36 @@ def compare_stream_layout(
     if absent:
         raise ValueError(f"fields missing from a side: {', '.join(absent)}")
 
+    kinds = {"marks": [f for f in fields if _tag_field(f)], "plain": [f for f in fields if not _tag_field(f)]}
+
     def side(df: DataFrame, tag: str) -> DataFrame:
-        cols = [F.col(c).alias(f"{tag}_{c}") for c in (*fields, "disposition", "tags")]
-        return df.select(*on, F.lit("present").alias(f"{tag}_stream"), *cols)
+        forms = {**{n: _signature_texts(of) for n, of in kinds.items()}, "disposition": F.col("disposition").cast("map<string,string>"), "tags": F.col("tags")}
+        return df.select(*on, F.lit("present").alias(f"{tag}_stream"), *[c.alias(f"{tag}_{n}") for n, c in forms.items()])
 
-    # One row per stream is shuffled; fields are compared in place and only those that differ become rows.
+    # One row per stream is shuffled; fields are compared in place and only those that differ become rows.  Fields lie in arrays with one
+    # rule for their elements, as an expression for each makes a method too long for the JVM to compile; what is equal as it
+    # stands, most of it, is not brought to its comparable form.
     d = side(expected, "l").join(side(actual, "r"), on, "full")
-    d = d.withColumns({f"{t}_tags": _upper_tags(f"{t}_tags", STREAM_DERIVED) for t in "lr"})
     empty = F.expr("map()").cast("map<string,string>")
+    nothing = F.array().cast("array<struct<part:string,field:string,expected:string,actual:string>>")
     row = lambda part, field, l, r: F.struct(F.lit(part).alias("part"), field.alias("field"), l.alias("expected"), r.alias("actual"))
-
-    def scalar(part: str, field: str, l: Column, r: Column) -> Column:
-        return F.when(~l.eqNullSafe(r), row(part, F.lit(field), l, r))
-
-    def entries(column: str, part: str, *, left_only: bool = False) -> Column:
-        l, r = (F.coalesce(F.col(f"{t}_{column}").cast("map<string,string>"), empty) for t in "lr")
-        names = F.map_keys(l) if left_only else F.array_union(F.map_keys(l), F.map_keys(r))
-        pairs = F.transform(names, lambda k: row(part, k, F.try_element_at(l, k), F.try_element_at(r, k)))
-        return F.filter(pairs, lambda e: ~e["expected"].eqNullSafe(e["actual"]))
-
-    plain = [scalar("stream", "stream", F.col("l_stream"), F.col("r_stream"))]
-    plain += [scalar("signature", f, _signature_text(F.col(f"l_{f}"), f), _signature_text(F.col(f"r_{f}"), f)) for f in fields]
-    found = F.concat(F.array_compact(F.array(*plain)), entries("disposition", "disposition"), entries("tags", "tag", left_only=True))
+    differing = lambda rows: F.filter(rows, lambda e: ~e["expected"].eqNullSafe(e["actual"]))
+
+    def signature(kind: str, form=lambda c: c) -> Column:
+        l, r = F.col(f"l_{kind}"), F.col(f"r_{kind}")
+        names = F.array(*[F.lit(f) for f in kinds[kind]]).cast("array<string>")
+        rows = F.transform(names, lambda f, i: row("signature", f, form(F.get(l, i)), form(F.get(r, i))))
+        return F.when(l.eqNullSafe(r), nothing).otherwise(differing(rows))
+
+    def entries(column: str, part: str, names, form=lambda c: F.coalesce(c, empty)) -> Column:
+        l, r = F.col(f"l_{column}"), F.col(f"r_{column}")
+        rows = lambda l, r: F.transform(names(F.map_keys(l), F.map_keys(r)), lambda k: row(part, k, F.try_element_at(l, k), F.try_element_at(r, k)))
+        found = X.once(form(l), lambda l: X.once(form(r), lambda r: differing(rows(l, r))))
+        return F.when(F.map_entries(l).eqNullSafe(F.map_entries(r)), nothing).otherwise(found)
+
+    lone = differing(F.array(row("stream", F.lit("stream"), F.col("l_stream"), F.col("r_stream"))))
+    maps = [entries("disposition", "disposition", F.array_union), entries("tags", "tag", lambda l, _: l, lambda c: _upper_tags(c, STREAM_DERIVED))]
+    found = F.concat(lone, signature("plain"), signature("marks", X.known_colour), *maps)
     return d.select(*on, F.explode(found).alias("d")).select(*on, "d.*")
 
 
