@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from reeltally.functions import exprs as X
 from reeltally.operators.cues import cue_lines
-from reeltally.plans.blocks import BLOCK_ROWS, attach, neighbours
+from reeltally.plans.blocks import BLOCK_ROWS, attach, neighbours, numbered
 from reeltally.plans.verdicts import with_verdict
+from reeltally.sources.lines import write_bundles
 
 # Fixed value: the event field order of an ASS script.
 ASS_HEADER = "[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
 
 def write_cues(
-    cues: DataFrame, path: str, *, key: str = "file_id", headers: DataFrame | None = None
+    cues: DataFrame, path: str, *, key: str = "file_id", headers: DataFrame | None = None, bundled: bool = False
 ) -> None:
     """One text document per file below ``path/<key>=.../``, cues in order.
 
     A document is one text file, which one task writes as it reads its sorted rows; it never holds them.  ``headers`` may give ``header`` text per file
-    (ASS scripts); otherwise the format's own header is written.
+    (ASS scripts); otherwise the format's own header is written.  With ``bundled`` the documents' lines lie in few files, named ``<key>=...``,
+    see :func:`~reeltally.sources.lines.write_bundles`: a library of many short documents needs no folder for each.
     """
     lines = cue_lines(cues).select(key, F.col("n").cast("long").alias("n"), "format", "line")
     own = F.when(F.col("format") == "webvtt", "WEBVTT\n").when(F.col("format") == "ass", ASS_HEADER)
@@ -31,6 +33,10 @@ def write_cues(
         given = headers.select(key, F.col("header").alias("__h"))
         heads = heads.join(given, key, "left").withColumn("line", F.coalesce("__h", "line")).drop("__h")
     heads = heads.where(F.col("line").isNotNull()).select(key, F.lit(-1).cast("long").alias("n"), "format", "line")
+    if bundled:
+        every = lines.unionByName(heads).select(key, F.col("n").alias("__n"), F.posexplode(F.split("line", "\n")).alias("__at", "value"))
+        placed = numbered(every, keys=[key], order=["__n", "__at"]).withColumnRenamed("ordinal", "n")
+        return write_bundles(placed, path, F.concat(F.lit(f"{key}="), F.col(key).cast("string")))
     out = lines.unionByName(heads).repartition(key).sortWithinPartitions(key, "n")
     out.select(key, F.col("line").alias("value")).write.mode("errorifexists").partitionBy(key).text(path)
 
