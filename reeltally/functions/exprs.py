@@ -100,10 +100,17 @@ def reduced(value: ColumnOrName) -> Column:
 
 def tag_clock(text: ColumnOrName) -> Column:
     """``h:mm:ss.f`` as seconds; minutes and seconds below 60; anything else null."""
-    p = F.split(_c(text), ":")
-    h, m, s = unsigned(p.getItem(0)), unsigned(p.getItem(1)), p.getItem(2).try_cast("double")
-    good = (F.size(p) == 3) & h.isNotNull() & (m < 60) & (s >= 0) & (s < 60)
-    return F.when(good, h * F.lit(3600.0) + m * F.lit(60.0) + s)
+
+    def parts(p: Column) -> Column:
+        read = F.struct(unsigned(p.getItem(0)).alias("h"), unsigned(p.getItem(1)).alias("m"), p.getItem(2).try_cast("double").alias("s"))
+        return F.when(F.size(p) == 3, read)
+
+    def seconds(c: Column) -> Column:
+        good = c["h"].isNotNull() & (c["m"] < 60) & (c["s"] >= 0) & (c["s"] < 60)
+        return F.when(good, c["h"] * F.lit(3600.0) + c["m"] * F.lit(60.0) + c["s"])
+
+    # The text is often a search of tags, which each use would repeat.
+    return once(F.split(_c(text), ":"), lambda p: once(parts(p), seconds))
 
 
 def cue_clock(text: ColumnOrName) -> Column:
@@ -177,7 +184,10 @@ def known_colour(text: ColumnOrName) -> Column:
 
 def tag(tags: ColumnOrName, name: str) -> Column:
     """First non-blank value whose key matches ``name`` without regard to case."""
-    hit = F.map_filter(_c(tags), lambda k, v: (F.lower(k) == name.lower()) & (strip(v) != ""))
+    # No character is lower-cased to several that are all ASCII, so keys of another length are not lower-cased at all.
+    same = lambda k: F.lower(k) == name.lower()
+    alike = (lambda k: (F.length(k) == len(name)) & same(k)) if name.isascii() else same
+    hit = F.map_filter(_c(tags), lambda k, v: alike(k) & (strip(v) != ""))
     return F.get(F.map_values(hit), F.lit(0))
 
 

@@ -88,9 +88,9 @@ def parse_probe_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, D
         (F.col("doc").isNull() | F.col("doc._corrupt").isNotNull(), "unreadable document"),
         (F.exists(F.coalesce("doc.streams", F.array()), lambda s: s["index"].isNull()), "stream without index"),
     )
-    d = judged(d, why)
-    bad = d.where(F.col("__reason").isNotNull()).select("file_id", "path", "value", F.col("__reason").alias("reason"))
-    good = d.where(F.col("__reason").isNull())
+    rows = judged(d, why)
+    bad = rows.where(F.col("__reason").isNotNull()).select("file_id", "path", "value", F.col("__reason").alias("reason"))
+    good = rows.where(F.col("__reason").isNull())
     own = lambda s: F.coalesce(_nonnegative(s["duration"]), X.tag_clock(X.tag(s["tags"], "duration")))
     streams_max = F.array_max(F.transform(F.coalesce("doc.streams", F.array()), own))
     duration = F.coalesce(_nonnegative(F.col("doc.format.duration")), streams_max)
@@ -101,7 +101,7 @@ def parse_probe_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, D
         _positive_int(F.col("doc.format.bit_rate")).alias("bit_rate"), F.col("doc.format.tags").alias("tags"),
     )
     s = F.col("s")
-    e = good.select("file_id", F.posexplode("doc.streams").alias("position", "s"))
+    e = d.select("file_id", F.posexplode(F.when(why.isNull(), F.col("doc.streams"))).alias("position", "s"))
     transfer = X.known_colour(s["color_transfer"])
     hdr = F.lit(None).cast("string")
     for k, name in TRANSFER_CLASS.items():
@@ -111,8 +111,8 @@ def parse_probe_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, D
     video = s["codec_type"] == "video"
     raw_depth = _positive_int(s["bits_per_raw_sample"])
     flag = s["disposition"]["default"]
-    handler = X.tag(s["tags"], "handler_name")
-    title = F.coalesce(X.tag(s["tags"], "title"), X.tag(s["tags"], "name"), F.when(~handler.isin(*X.GENERIC_HANDLERS), handler))
+    handler = X.once(X.tag(s["tags"], "handler_name"), lambda h: F.when(~h.isin(*X.GENERIC_HANDLERS), h))
+    title = F.coalesce(X.tag(s["tags"], "title"), X.tag(s["tags"], "name"), handler)
     aspect = lambda c: F.when(X.rational(c, ":").isNotNull(), c)
     avg, nominal = X.rational(s["avg_frame_rate"]), X.rational(s["r_frame_rate"])
     turned = F.array_compact(F.transform(side, lambda m: X.finite(F.try_element_at(m, F.lit("rotation")), None)))
