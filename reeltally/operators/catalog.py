@@ -167,6 +167,13 @@ def _upper_tags(tags: str | Column, dropped: Sequence[str]) -> Column:
     return X.fold_keys(F.map_filter(present, lambda k, _: ~F.upper(k).isin(*dropped)), F.upper)
 
 
+def _tags_text(tags: Column) -> Column:
+    """Tags as one text that is equal where they are equal as sets: sorted, each part behind its length, null values as ``-``."""
+    part = lambda t: F.concat(F.octet_length(t).cast("string"), F.lit(":"), t)
+    entry = lambda e: F.concat(part(e["key"]), F.coalesce(part(e["value"]), F.lit("-")))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(tags)), entry), "")
+
+
 def compare_stream_layout(
     expected: DataFrame, actual: DataFrame, *, pair: str = "pair_id", position: str = "position", colour: bool = True
 ) -> DataFrame:
@@ -226,17 +233,17 @@ def compare_containers(
     expected: DataFrame, actual: DataFrame, expected_chapters: DataFrame, actual_chapters: DataFrame, *, pair: str = "pair_id"
 ) -> DataFrame:
     """Verdict per pair: stable container tags equal as sets; chapters equal in count, times and tags."""
-    tags = lambda df, n: df.select(pair, F.array_sort(F.map_entries(_upper_tags("tags", CONTAINER_DERIVED))).alias(n))
+    text = _tags_text(_upper_tags("tags", CONTAINER_DERIVED))
+    tags = lambda df, n: df.select(pair, text.alias(n))
     files = tags(expected, "l").join(tags(actual, "r"), pair, "full").select(pair, (~F.col("l").eqNullSafe(F.col("r"))).alias("tags_differ"))
 
-    def chapters(df: DataFrame, n: str) -> DataFrame:
-        t = F.array_sort(F.map_entries(_upper_tags("tags", CONTAINER_DERIVED)))
-        return df.select(pair, "position", F.struct("start_us", "end_us", t.alias("tags")).alias(n))
-
+    # A task sorts the chapters of both sides by the million, so their rows are flat: numbers and one text, which is never null.
+    chapters = lambda df, n: df.select(pair, "position", F.col("start_us").alias(f"{n}_start_us"), F.col("end_us").alias(f"{n}_end_us"), text.alias(f"{n}_tags"))
     c = chapters(expected_chapters, "l").join(chapters(actual_chapters, "r"), [pair, "position"], "full")
-    near = lambda f: F.coalesce(F.abs(F.col("l")[f] - F.col("r")[f]) <= START_TOLERANCE_US, F.col("l")[f].isNull() & F.col("r")[f].isNull())
-    lone = F.col("l").isNull() | F.col("r").isNull()
-    moved = ~near("start_us") | ~near("end_us") | ~F.col("l.tags").eqNullSafe(F.col("r.tags"))
+    both = lambda f: (F.col(f"l_{f}"), F.col(f"r_{f}"))
+    near = lambda l, r: F.coalesce(F.abs(l - r) <= START_TOLERANCE_US, l.isNull() & r.isNull())
+    lone = F.col("l_tags").isNull() | F.col("r_tags").isNull()
+    moved = ~near(*both("start_us")) | ~near(*both("end_us")) | (F.col("l_tags") != F.col("r_tags"))
     per = c.groupBy(pair).agg(
         F.count(F.when(lone, 1)).alias("unmatched_chapters"),
         F.min(F.when(~lone & moved, F.col("position"))).alias("first_changed_chapter"),
